@@ -55,3 +55,10 @@ def ascii_lower(text: Column) -> Column:
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut small, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -10,11 +10,21 @@ library whole. Both ways give the same ids, which the tests hold against each ot
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
-#: Words that a worker remembers before it starts anew; bounds its memory to about 150 MB.
-REMEMBERED = 400_000
+#: Words that a worker remembers before it starts anew; bounds its memory to about 200 MB.
+REMEMBERED = 500_000
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level BPE writes for each byte: its own where that is printable, else the next from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = chr(BYTE_LETTERS[32])
 _encoders: dict[str, Encoder] = {}
 
 
@@ -26,7 +36,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
-        self.break_ids = len(self._raw(["\n"])[0]) if self._splits_words() else -1
+        self.ends: dict[str, bytes] = {}
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: The id of a line end, if words encode apart and it is one id; else -1.
+        self.break_id = line_end[0] if self._splits_words() and len(line_end) == 1 else -1
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -42,23 +55,47 @@ class Encoder:
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _learn(self, new: list[str]) -> None:
+        """The ids of new words. A word that starts a line carries that line end and no space; the others carry a space.
+
+        Punctuation at a word's end encodes apart from the letter or digit before it, so a word of
+        letters alone goes to the library's model as one piece, and the ends are remembered too.
+        Every other word goes through the library's whole pipeline.
+        """
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for word in new:
+            core = word.rstrip(".,;:!?")
+            plain = core[1:] if core[:1] == "\n" else core
+            if not plain.isalpha():
+                rest.append(word)
+                continue
+            ids = self.words.get(core)
+            if ids is None:
+                piece = plain if plain.isascii() else plain.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+                found = [t.id for t in tokenize(piece if core is not plain else SPACE_LETTER + piece)]
+                ids = self.words[core] = array("I", [self.break_id, *found] if core is not plain else found).tobytes()
+            if core is not word:
+                end = word[len(core) :]
+                if end not in self.ends:
+                    self.ends[end] = self._raw([end])[0]
+                self.words[word] = ids + self.ends[end]
+        self.words.update(zip(rest, self._raw([w if w[0] == "\n" else " " + w for w in rest]), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         split: list[list[str] | None] = []
         met: set[str] = set()
         for text in texts:
             words = None
-            if text and self.break_ids >= 0 and " ".join(text.split()) == text.replace("\n", " "):
+            if text and self.break_id >= 0 and " ".join(text.split()) == text.replace("\n", " "):
                 words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
                 met.update(words)
             split.append(words)
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = [w for w in met if w not in self.words]
-        # A word that starts a line carries its line end and no space.
-        self.words.update(zip(new, self._raw([w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        self._learn([w for w in met if w not in self.words])
         whole = iter(self._raw([t for t, words in zip(texts, split, strict=True) if t and words is None]))
-        get, skip = self.words.__getitem__, self.break_ids
+        get, skip = self.words.__getitem__, 4
         return [b"" if not t else next(whole) if words is None else b"".join(map(get, words))[skip:] for t, words in zip(texts, split, strict=True)]
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from clausegraph.llm.common import load
+from clausegraph.llm.common import load, slices
 from clausegraph.llm.encode import default_path, encoder
 
 WINDOW, END_ID = 2048, 1
@@ -101,7 +101,7 @@ def _packer(path: str, window: int, end_id: int, with_ids: bool) -> Callable[[It
         doc_ids: list = []
         kept: list[bytes] = []
         starts, lengths, crcs, totals = [], [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 total = len(ids) // 4

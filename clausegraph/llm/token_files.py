@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import cut, load, new_folder
+from clausegraph.llm.common import cut, load, new_folder, slices
 from clausegraph.llm.encode import default_path, encoder
 
 MAGIC, BLOCK_IDS, END_ID, ROWS_A_SHARD = b"TIDB1\n", 1 << 16, 2, 8192
@@ -165,7 +165,7 @@ def _shard_writer(folder: str, path: str, end_id: int) -> Callable[[Iterator[pa.
         shard = TaskContext.get().partitionId()
         encode, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
         out = None
-        for batch in batches:
+        for batch in slices(batches):
             if out is None and batch.num_rows:
                 out = Writer(f"{folder}/{shard:08d}.tids", width(max(encode.vocab_size(), end_id + 1)))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist()), strict=True):
