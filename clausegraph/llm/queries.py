@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from clausegraph.llm.ctw import op9_ctw
 from clausegraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from clausegraph.llm.html_text import op7_main_text
+from clausegraph.llm.langid import op8_language
+from clausegraph.llm.mixing import op1_mixing
 from clausegraph.llm.packing import op6_packing
+from clausegraph.llm.quality import op2_quality
+from clausegraph.llm.simhash import op3_simhash
 from clausegraph.llm.token_files import op5_token_files
+from clausegraph.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+    "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op7_main_text": op7_main_text,
+    "op8_language": op8_language,
+    "op9_ctw": op9_ctw,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op10_exact_dedup": OP10_SQL}

@@ -1,27 +1,52 @@
-"""A corpus pipeline of five of the training-data operators."""
+"""A corpus pipeline of five of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The stages but the
+last return the columns of documents; packing returns its pieces. run() writes each stage's rows
+below the folder in spark.checkpoint.dir and reads them again, so a lost executor costs one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegraph.llm import exact_dedup, packing
-from clausegraph.llm.common import load
+from clausegraph.llm import exact_dedup, langid, mixing, packing, simhash
+from clausegraph.llm.common import load, new_folder
+
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that makes up half of them or more."""
+    return langid.keep_identified(docs)
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints, the document with the smallest id."""
+    return simhash.near_dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget has it; none is left out."""
+    return mixing.mix(docs, whole=True)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows."""
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("packing", pack)]
+STAGES = [("language ID", identify), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
+#: SQL can express neither the fitted languages nor the fingerprints; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = new_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
