@@ -30,7 +30,7 @@ from clausegraph.llm.common import BROADCAST_BYTES, cut, load
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
-COVERAGE, STEPS, LEAST_ROWS, CUTOFF, ACCURACY = 0.75, 4, 200, 60.0, 2000
+COVERAGE, STEPS, LEAST_ROWS, CUTOFF, ACCURACY = 0.75, 4, 200, 90.0, 2000
 #: Name: (expression over the statistics, least standard deviation).
 FEATURES = {
     "word_length": ("ln(word_chars / n_words)", 0.05),
