@@ -54,7 +54,7 @@ def by_class(spark, d):
     return E.by_class(scored(spark, d), "recall5", "hit5")
 
 
-@query("e4_reciprocal_rank", RUNS + "SELECT config, qid, round(coalesce(1.0 / list_min(list_filter(list_transform(range(1, len(ranked) + 1), i -> CASE WHEN list_contains(gold, ranked[i]) THEN i END), x -> x IS NOT NULL)), 0), 9)::DOUBLE AS rr FROM scored")
+@query("e4_reciprocal_rank", RUNS + "SELECT config, qid, round(coalesce(1.0 / list_min(list_filter(list_transform(range(1, len(ranked) + 1), lambda i: CASE WHEN list_contains(gold, ranked[i]) THEN i END), lambda x: x IS NOT NULL)), 0), 9)::DOUBLE AS rr FROM scored")
 def reciprocal(spark, d):
     return scored(spark, d).select("config", "qid", F.round(E.reciprocal_rank(F.col("ranked"), F.col("gold")), 9).alias("rr"))
 
@@ -147,9 +147,9 @@ def subsets(spark, d):
     return E.subsets(sets)
 
 
-@query("s23_missing_ids", "SELECT l_partkey AS id FROM (SELECT DISTINCT l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("s23_missing_ids", "SELECT DISTINCT l_partkey * 10 AS id FROM lineitem WHERE l_partkey * 10 NOT IN (SELECT o_orderkey FROM orders)")
 def missing_ids(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct().join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_anti")
+    return table(spark, d, "lineitem").select((F.col("l_partkey") * 10).alias("id")).distinct().join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_anti")
 
 
 @query("w2_per_group_top", "SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 2")

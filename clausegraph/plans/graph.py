@@ -50,11 +50,11 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     mentions = li.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("term")).distinct()
     operations = s.select(F.col("s_suppkey").alias("op"), (F.col("s_nationkey")).alias("service"))
     describes = li.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("op")).distinct()
-    provided = s.join(p, F.col("p_partkey") % 10 == F.col("s_suppkey") % 10).where(F.col("p_size") == 1).select(F.col("s_suppkey").alias("op"), F.col("p_partkey").alias("term"))
+    provided = s.join(p, F.col("p_partkey") % 10 == F.col("s_suppkey") % 10).where(F.col("p_partkey") < 100).select(F.col("s_suppkey").alias("op"), F.col("p_partkey").alias("term"))
     step = F.concat_ws("::", F.col("l_orderkey"), F.col("l_linenumber"))
     steps = li.select(step.alias("step_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ord"))
     involves = li.select(step.alias("step_id"), F.explode(F.array(F.col("l_partkey") % 40, F.col("l_suppkey") % 40)).alias("term")).distinct()
-    refs = li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") * 3 + F.col("l_linenumber")).alias("dst"), (F.col("l_returnflag") == "R").alias("is_external"), F.when(F.col("l_linenumber") % 2 == 0, "clause").otherwise("table").alias("ref_type"))
+    refs = li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("dst"), (F.col("l_returnflag") == "R").alias("is_external"), F.when(F.col("l_linenumber") % 2 == 0, "clause").otherwise("table").alias("ref_type"))
     refs = refs.where("src <> dst").groupBy("src", "dst").agg(F.max("is_external").alias("is_external"), F.min("ref_type").alias("ref_type"))
     return Graph(chunks, terms, mentions, operations, describes, provided, steps, involves, refs)
 
@@ -69,8 +69,8 @@ terms AS (SELECT p_partkey AS term, p_name AS full_name, p_partkey % 25 AS prima
 mentions AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey AS term FROM lineitem),
 operations AS (SELECT s_suppkey AS op, s_nationkey AS service FROM supplier),
 describes AS (SELECT DISTINCT l_orderkey AS chunk_id, l_suppkey AS op FROM lineitem),
-provided AS (SELECT s_suppkey AS op, p_partkey AS term FROM supplier JOIN part ON p_partkey % 10 = s_suppkey % 10 WHERE p_size = 1),
+provided AS (SELECT s_suppkey AS op, p_partkey AS term FROM supplier JOIN part ON p_partkey % 10 = s_suppkey % 10 WHERE p_partkey < 100),
 steps AS (SELECT CAST(l_orderkey AS VARCHAR) || '::' || CAST(l_linenumber AS VARCHAR) AS step_id, l_orderkey AS chunk_id, l_linenumber AS ord FROM lineitem),
 involves AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '::' || CAST(l_linenumber AS VARCHAR) AS step_id, unnest([l_partkey % 40, l_suppkey % 40]) AS term FROM lineitem),
-refs AS (SELECT src, dst, bool_or(ext) AS is_external, min(kind) AS ref_type FROM (SELECT l_orderkey AS src, l_partkey * 3 + l_linenumber AS dst, l_returnflag = 'R' AS ext, CASE WHEN l_linenumber % 2 = 0 THEN 'clause' ELSE 'table' END AS kind FROM lineitem) WHERE src <> dst GROUP BY src, dst)
+refs AS (SELECT src, dst, bool_or(ext) AS is_external, min(kind) AS ref_type FROM (SELECT l_orderkey AS src, l_partkey * 8 + l_linenumber AS dst, l_returnflag = 'R' AS ext, CASE WHEN l_linenumber % 2 = 0 THEN 'clause' ELSE 'table' END AS kind FROM lineitem) WHERE src <> dst GROUP BY src, dst)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from clausegraph.operators import hierarchy as H
@@ -61,7 +63,7 @@ graph("j12_one_term", ONE + "SELECT f.chunk_id, spec_id, section_id, CASE WHEN m
 graph("j13_term_in_spec", "SELECT chunk_id, term, CASE WHEN chunk_type = 'procedure' THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM mentions JOIN chunks USING (chunk_id) WHERE spec_id = 3 AND chunk_type IN ('procedure', 'requirement')")(
     lambda g: g.mentions.join(g.chunks.where((F.col("spec_id") == SPEC) & F.col("chunk_type").isin("procedure", "requirement")), "chunk_id").select("chunk_id", "term", F.when(F.col("chunk_type") == "procedure", 1.0).otherwise(0.7).alias("score"))
 )
-graph("j14_many_terms", "SELECT c.chunk_id, m.term, CASE WHEN m.term IS NOT NULL THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM chunks c LEFT JOIN mentions m ON m.chunk_id = c.chunk_id AND m.term IN (1, 2, 3) WHERE spec_id IN (SELECT primary_spec FROM terms WHERE term IN (1, 2, 3)) ORDER BY score DESC, c.chunk_id, m.term LIMIT 20")(lambda g: P.many_terms(g, TERMS))
+graph("j14_many_terms", "SELECT c.chunk_id, coalesce(m.term, -1) AS term, CASE WHEN m.term IS NOT NULL THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM chunks c LEFT JOIN mentions m ON m.chunk_id = c.chunk_id AND m.term IN (1, 2, 3) WHERE spec_id IN (SELECT primary_spec FROM terms WHERE term IN (1, 2, 3)) ORDER BY score DESC, c.chunk_id, 2 LIMIT 20")(lambda g: P.many_terms(g, TERMS).withColumn("term", F.coalesce("term", F.lit(-1).cast("long"))))
 graph("j15_same_step", "SELECT chunk_id, count(DISTINCT step_id) AS score FROM steps JOIN (SELECT step_id FROM involves WHERE term IN (5, 7) GROUP BY step_id HAVING count(DISTINCT term) = 2) USING (step_id) GROUP BY chunk_id")(lambda g: P.same_step(g, PAIR))
 PATHS = ", paths AS (SELECT DISTINCT * FROM (SELECT chunk_id, term, 'mention' AS via FROM mentions WHERE term IN (1, 11) UNION ALL SELECT chunk_id, term, 'operation' FROM describes JOIN provided USING (op) WHERE term IN (1, 11))), byc AS (SELECT chunk_id, count(DISTINCT term) AS n, count(DISTINCT CASE WHEN via = 'operation' THEN term END) AS by_op, count(DISTINCT CASE WHEN via = 'mention' THEN term END) AS said FROM paths GROUP BY chunk_id) "
 graph("j16_all_terms_any_way", PATHS + "SELECT chunk_id, by_op AS score FROM byc WHERE n = 2 AND chunk_id IN (SELECT chunk_id FROM describes)")(lambda g: P.all_terms_any_way(g, [1, 11]))
@@ -73,7 +75,7 @@ SELECT chunk_id, full_steps, said, by_op, 100 * full_steps + CASE WHEN by_op = 2
 graph("j18_title_phrase", "SELECT chunk_id, title, 1.0::DOUBLE AS score FROM chunks WHERE regexp_matches(title, '(^|[^A-Za-z0-9_])URGENT([^A-Za-z0-9_]|$)') ORDER BY chunk_id LIMIT 20")(lambda g: P.title_phrases(g.chunks, ["urgent"]))
 graph("j19_two_phrases", "SELECT chunk_id, title, 1.0::DOUBLE AS score FROM chunks WHERE contains(title, 'LOW clause 3') AND regexp_matches(title, 'clause 3([^A-Za-z0-9_]|$)') OR contains(title, 'HIGH') ORDER BY chunk_id LIMIT 20")(lambda g: P.title_phrases(g.chunks, ["low clause 3", "high"]))
 graph("j20_chunks_of_operation", "SELECT chunk_id FROM describes WHERE op = 1")(lambda g: g.describes.where("op = 1").select("chunk_id"))
-graph("j21_chunks_of_terms", "SELECT DISTINCT chunk_id FROM mentions JOIN terms USING (term) WHERE full_name LIKE '%1%'")(lambda g: g.mentions.join(g.terms.where("full_name like '%1%'"), "term", "left_semi").select("chunk_id").distinct())
+graph("j21_chunks_of_terms", "SELECT DISTINCT chunk_id FROM mentions JOIN terms USING (term) WHERE full_name LIKE '%ring%'")(lambda g: g.mentions.join(g.terms.where("full_name like '%ring%'"), "term", "left_semi").select("chunk_id").distinct())
 graph("j22_cited_with", ", e AS (SELECT src, dst FROM refs WHERE is_external AND src IN (SELECT chunk_id FROM chunks WHERE spec_id = 3) AND dst IN (SELECT chunk_id FROM chunks)) SELECT src AS chunk_id FROM e UNION SELECT dst FROM e")(lambda g: P.cited_with(g, SPEC))
 graph("j23_nothing", "SELECT chunk_id, title FROM chunks WHERE false")(lambda g: g.chunks.where(F.lit(False)).select("chunk_id", "title"))
 graph("j24_values_of_service", "SELECT service, term, count(DISTINCT op) AS n_ops FROM operations JOIN provided USING (op) GROUP BY ALL")(lambda g: g.operations.join(g.provided, "op").groupBy("service", "term").agg(F.countDistinct("op").alias("n_ops")))
@@ -106,7 +108,7 @@ graph("j42_all_operations", "SELECT chunk_id, matched, length(content) AS size F
 graph("j43_service_operations", "SELECT chunk_id, count(DISTINCT op) AS n_ops FROM describes WHERE op IN (SELECT op FROM operations WHERE service = 5) GROUP BY chunk_id")(lambda g: P.service_operations(g, 5))
 graph("j46_subtree", "SELECT chunk_id, section_id FROM chunks WHERE spec_id = 3 AND (section_id = '2' OR starts_with(section_id, '2.') OR starts_with(section_id, '2p'))")(lambda g: g.chunks.where((F.col("spec_id") == SPEC) & F.col("section_id").rlike(r"^2([.p]|$)")).select("chunk_id", "section_id"))
 graph("j51_unknown_targets", "SELECT DISTINCT dst FROM refs WHERE dst NOT IN (SELECT chunk_id FROM chunks)")(P.missing_targets)
-graph("j51_unused_terms", "SELECT term, full_name FROM terms WHERE term NOT IN (SELECT term FROM mentions)")(P.unused_terms)
+graph("j51_unused_terms", "SELECT term, full_name FROM terms WHERE term NOT IN (SELECT term FROM mentions JOIN chunks USING (chunk_id) WHERE spec_id = 3)")(lambda g: P.unused_terms(replace(g, mentions=g.mentions.join(g.chunks.where(F.col("spec_id") == SPEC), "chunk_id", "left_semi"))))
 graph("a1_chunk_types", "SELECT chunk_type, count(*) AS n FROM chunks GROUP BY chunk_type")(lambda g: g.chunks.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n")))
 graph("a2_distinct_counts", "SELECT spec_id, count(DISTINCT section_id) AS sections, count(DISTINCT term) AS terms FROM chunks JOIN mentions USING (chunk_id) GROUP BY spec_id")(lambda g: g.chunks.join(g.mentions, "chunk_id").groupBy("spec_id").agg(F.countDistinct("section_id").alias("sections"), F.countDistinct("term").alias("terms")))
 graph("a7_document_frequency", "SELECT term, count(DISTINCT chunk_id) AS df FROM mentions GROUP BY term")(lambda g: P.document_frequency(g.mentions))
