@@ -44,7 +44,7 @@ def capped(parts: Iterable[str], seconds: float = MOST_SECONDS, chars: int = MOS
 
 def split_thinking(parts: Iterable[str]) -> Iterator[tuple[str, str]]:
     """('thinking' or 'answer', text) of a stream whose answer may follow a think block; tags may be cut between parts."""
-    held, kind, begun = "", "answer", False
+    held, kind, begun, lead = "", "answer", False, False
     for part in parts:
         held += part
         if not begun and kind == "answer":
@@ -59,13 +59,16 @@ def split_thinking(parts: Iterable[str]) -> Iterator[tuple[str, str]]:
             if (end := held.find("</think>")) >= 0:
                 if held[:end]:
                     yield "thinking", held[:end]
-                kind, held = "answer", held[end + 8 :].lstrip()
+                kind, held, lead = "answer", held[end + 8 :], True
             else:
                 safe = len(held) - next((k for k in range(min(7, len(held)), 0, -1) if "</think>".startswith(held[-k:])), 0)
                 if safe:
                     yield "thinking", held[:safe]
                     held = held[safe:]
                 continue
+        if lead:  # white space between the block and the answer
+            held = held.lstrip()
+            lead = not held
         if held:
             yield "answer", held
             held = ""

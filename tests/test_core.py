@@ -213,7 +213,7 @@ def test_tables(spark):
     t = lambda h, *r: {"headers": h, "rows": [list(x) for x in r]}
     rows = [
         ("c1", "ts_23_501", "Standardised SST values", "", "", [t(["Slice/Service type", "SST value", "Characteristics"], ("eMBB", "1", "enhanced mobile broadband"), ("URLLC", "2", "low latency traffic"), ("NOTE", "NOTE 1", "a note that goes"))]),
-        ("c2", "ts_29_500", "Enumeration: Status", "", "", [t(["Enumeration value", "Description"], ('"ACTIVE(1)"', "on"), ("GROUP",))]),
+        ("c2", "ts_29_500", "Enumeration: SmStatus", "", "", [t(["Enumeration value", "Description"], ('"ACTIVE(1)"', "on"), ("GROUP",))]),
         ("c3", "ts_23_501", "x", "", "", [t(["5QIValue", "Resource Type", "Priority", "Priority"], ("1", "GBR", "20", "21"))]),
         ("c4", "ts_23_501", "Examples", "", "", [t(["A value", "Description"], ("1", "one two three"))]),
         ("c5", "ts_36_521", "x", "", "", [t(["A value", "Description"], ("1", "one two three"))]),
@@ -222,7 +222,7 @@ def test_tables(spark):
     ]
     chunks = spark.createDataFrame(rows, TB)
     found = {(r["concept"], r["kind"], r["name"], r["code"]) for r in extract.values(chunks).collect()}
-    assert found == {("SST", "value_set", "eMBB", "1"), ("SST", "value_set", "URLLC", "2"), ("Status", "enumeration", "ACTIVE", "ACTIVE"), ("5QI", "attribute_map", "5QI 1", "1")}
+    assert found == {("SST", "value_set", "eMBB", "1"), ("SST", "value_set", "URLLC", "2"), ("SmStatus", "enumeration", "ACTIVE", "ACTIVE"), ("5QI", "attribute_map", "5QI 1", "1")}
     attrs = extract.values(chunks).where("concept = '5QI'").first()["attrs"]
     assert attrs == {"Resource Type": "GBR", "Priority": "20", "Priority (2)": "21"}
     assert {(r["param_id"], r["name"]) for r in extract.parameters(chunks).where("chunk_id = 'c7'").collect()} == {("c7::0::0", "Cause")}
@@ -369,3 +369,29 @@ def test_fusion_cases(spark):
     chunks = spark.createDataFrame([("a", "s", "2"), ("b", "s", "2.1"), ("c", "s", "3")], "chunk_id string, spec_id string, section_id string")
     refs = spark.createDataFrame([("b", "c"), ("b", "a")], "src string, dst string")
     assert {(r["chunk_id"], r["role"]) for r in questions.closure(roots, chunks, refs).collect()} == {("a", "root"), ("b", "subtree"), ("c", "reference")}
+
+
+def test_store(spark, sf, tmp_path):
+    from clausegraph.plans import store
+
+    g = order_graph(spark, sf)
+    store.write(g, f"{tmp_path}/g")
+    back = store.read(spark, f"{tmp_path}/g")
+    assert back.chunks.count() == g.chunks.count() and back.refs.count() == g.refs.count()
+    store.wipe(spark, f"{tmp_path}/g")
+    assert not (tmp_path / "g").exists()
+    old = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "k string, v int, seq int")
+    new = spark.createDataFrame([("a", 9, 2)], "k string, v int, seq int")
+    assert {(r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "seq").collect()} == {("a", 9), ("b", 2)}
+    good, bad = store.checked(old, F.col("v") > 1)
+    assert good.count() == 1 and bad.count() == 1
+    assert store.backfill(old, new.unionByName(old), ["k"]).count() == 0
+    ends = spark.createDataFrame([("a", "b"), ("a", "z")], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
+    assert [tuple(r) for r in store.with_both_ends(ends, nodes, nodes).select("src", "dst").collect()] == [("a", "b")]
+    rows = spark.createDataFrame([("x y", None), ("kept", [1.0])], "content string, embedding array<float>")
+    found = {r["content"]: r["embedding"] for r in store.embed_missing(rows, dim=8).collect()}
+    assert found["kept"] == [1.0] and len(found["x y"]) == 8 and sum(v * v for v in found["x y"]) == pytest.approx(1)
+    gold = spark.createDataFrame([(1, "ts_23_501_5.1")], "qid int, chunk_id string")
+    tables = spark.createDataFrame([("ts_23_501", "ts_23_501_5.1", "t1"), ("ts_23_502", "x", "t2")], "spec_id string, chunk_id string, table string")
+    assert [r["table"] for r in store.snapshot_tables(gold, tables).collect()] == ["t1"]
