@@ -75,18 +75,8 @@ def _x(j: int) -> Column:
     return F.col(f"x{j}")
 
 
-def _distance(params: str = "") -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor (columns l{i}_{j}, m{j})."""
-    y: list[Column] = []
-    for i in range(P):
-        v = _x(i) - F.col(f"m{i}")
-        for j in range(i):
-            v = v - F.col(f"l{i}_{j}") * F.col(f"y{j}")
-        y.append(v)
-    return y
-
-
 def with_distance(rows: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance, by forward substitution in the Cholesky factor (columns m{j}, l{i}_{j})."""
     for i in range(P):
         v = _x(i) - F.col(f"m{i}")
         for j in range(i):
