@@ -73,13 +73,14 @@ def shortlist(questions: DataFrame, headings: DataFrame, k: int = 40) -> DataFra
     own = headings.select("chunk_id", F.explode(words(F.col("title"))).alias("w"))
     above = headings.select("chunk_id", F.explode(F.array_except(words(F.col("path")), words(F.col("title")))).alias("w"))
     n = headings.count()
-    idf = own.groupBy("w").agg(F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    idf = own.groupBy("w").agg(F.log(1 + F.lit(n) / (1 + F.count(F.lit(1)))).alias("idf"))
     asked = questions.select("qid", F.explode(words(F.col("question"))).alias("w"))
     total = own.join(idf, "w").groupBy("chunk_id").agg(F.sum("idf").alias("all"))
     hit = own.join(asked, "w").join(idf, "w").groupBy("qid", "chunk_id").agg(F.sum("idf").alias("own"))
     up = above.join(asked, "w").join(idf, "w").groupBy("qid", "chunk_id").agg(F.sum("idf").alias("up"))
-    score = F.round(F.col("own") + 0.5 * F.coalesce("up", F.lit(0.0)) - 0.3 * (F.col("all") - F.col("own")), 6)
-    rows = hit.join(up, ["qid", "chunk_id"], "left").join(total, "chunk_id").select("qid", "chunk_id", score.alias("score"))
+    mine = F.coalesce("own", F.lit(0.0))
+    score = F.round(mine + 0.5 * F.coalesce("up", F.lit(0.0)) - 0.3 * (F.col("all") - mine), 6)
+    rows = hit.join(up, ["qid", "chunk_id"], "full").join(total, "chunk_id").select("qid", "chunk_id", score.alias("score"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
     return rows.withColumn("n", best).where(F.col("n") <= k).drop("n")
 

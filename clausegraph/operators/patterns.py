@@ -18,11 +18,10 @@ def band(mentions: DataFrame, terms: DataFrame, low: int = 5, high: int = 5000)
     return mentions.join(df, "term").select("chunk_id", "term", "df")
 
 
-def co_occurrence(mentions: DataFrame, least: int = 3, most_a_chunk: int = 1000) -> DataFrame:
+def co_occurrence(mentions: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, weight) for terms a < b in one chunk at least `least` times.
 
-    Pairs grow with the square of a chunk's terms, which a chunk's few key terms bound; a chunk of
-    more than most_a_chunk terms is refused rather than cut.
+    Pairs grow with the square of a chunk's terms, and a chunk has ten key terms at most.
     """
     x = mentions.select("chunk_id", F.col("term").alias("a"))
     y = mentions.select("chunk_id", F.col("term").alias("b"))

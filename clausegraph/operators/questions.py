@@ -138,29 +138,43 @@ def scope_warnings(questions: DataFrame, terms: DataFrame, operations: DataFrame
     return ops.unionByName(short).withColumn("n", rank).where(F.col("n") <= most).select("qid", F.concat(F.when(F.col("k") == 0, "unknown operation ").otherwise("unknown abbreviation "), F.col("name")).alias("warning"))
 
 
+# What each role of a clause in a procedure is worth.
+ROLES = {"main": 1.0, "op_def": 0.8, "ref": 0.6}
+
+
 def root_headings(questions: DataFrame, headings: DataFrame, least: float = 0.75) -> DataFrame:
-    """(qid, chunk_id, coverage): the heading whose words (stemmed, without stop words) the question covers best, three quarters at least; ties by more words, then by id."""
-    stop = F.array(*[F.lit(w) for w in ("the", "a", "an", "of", "for", "in", "on", "to", "and", "or", "by", "with", "is", "are", "how", "what", "does")])
+    """(qid, chunk_id, coverage): for each question the heading (chunk_id, title, size) that names its procedure.
+
+    Three quarters of a title's words (stemmed, without stop words) stand in the question; then near
+    complete coverage (0.9) counts, then two words or more, then the larger subtree, then the id.
+    """
+    stop = F.array(*map(F.lit, T.MATCH_STOP))
     words = lambda c: F.array_distinct(F.transform(F.array_except(T.tokens(c), stop), T.stem))
-    h = headings.select("chunk_id", words(F.col("title")).alias("hw")).where(F.size("hw") >= 2)
+    h = headings.select("chunk_id", F.col("size").alias("subtree"), words(F.col("title")).alias("hw")).where(F.size("hw") >= 2)
     q = questions.select("qid", F.explode(words(F.col("question"))).alias("w"))
-    hits = q.join(h.select("chunk_id", F.size("hw").alias("n"), F.explode("hw").alias("w")), "w").groupBy("qid", "chunk_id", "n").agg(F.count(F.lit(1)).alias("hit"))
+    hits = q.join(h.select("chunk_id", "subtree", F.size("hw").alias("n"), F.explode("hw").alias("w")), "w").groupBy("qid", "chunk_id", "subtree", "n").agg(F.count(F.lit(1)).alias("hit"))
     covered = hits.withColumn("coverage", F.round(F.col("hit") / F.col("n"), 6)).where(F.col("coverage") >= least)
-    best = Window.partitionBy("qid").orderBy(F.desc("coverage"), F.desc("hit"), "chunk_id")
+    best = Window.partitionBy("qid").orderBy((F.col("coverage") >= 0.9).desc(), (F.col("hit") >= 2).desc(), F.desc("subtree"), "chunk_id")
     return covered.withColumn("k", F.row_number().over(best)).where("k = 1").select("qid", "chunk_id", "coverage")
 
 
-def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, most: int = 60) -> DataFrame:
-    """(qid, chunk_id, role, score): what belongs to a procedure. The root and its subtree come first, then what they cite; the first role wins."""
-    # Scores of roles.
-    scores = {"root": 1.0, "subtree": 0.9, "reference": 0.7}
+def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: DataFrame | None = None, most: int = 60) -> DataFrame:
+    """(qid, chunk_id, role, score): what belongs to a procedure.
+
+    The root and its subtree are main; then come chunks that define operations which the main ones
+    describe (their titles have the name), then what the main ones cite. A chunk's best role counts.
+    """
     placed = roots.select("qid", "chunk_id").join(chunks.select("chunk_id", "spec_id", "section_id"), "chunk_id")
     exploded = chunks.select("chunk_id", "spec_id", F.explode(T.prefixes(F.col("section_id"))).alias("section_id"))
-    below = placed.select("qid", "spec_id", "section_id").join(exploded, ["spec_id", "section_id"]).select("qid", "chunk_id", F.lit("subtree").alias("role"))
-    own = placed.select("qid", "chunk_id", F.lit("root").alias("role"))
-    cited = own.unionByName(below).select("qid", F.col("chunk_id").alias("src")).join(refs.select("src", "dst"), "src").select("qid", F.col("dst").alias("chunk_id"), F.lit("reference").alias("role"))
-    rank = F.when(F.col("role") == "root", 0).when(F.col("role") == "subtree", 1).otherwise(2)
-    rows = own.unionByName(below).unionByName(cited).withColumn("r", rank).groupBy("qid", "chunk_id").agg(F.min_by("role", "r").alias("role"), F.min("r").alias("r"))
-    n = F.row_number().over(Window.partitionBy("qid").orderBy("r", "chunk_id"))
-    score = F.when(F.col("role") == "root", scores["root"]).when(F.col("role") == "subtree", scores["subtree"]).otherwise(scores["reference"])
-    return rows.withColumn("n", n).where(F.col("n") <= most).select("qid", "chunk_id", "role", score.alias("score"))
+    below = placed.select("qid", "spec_id", "section_id").join(exploded, ["spec_id", "section_id"]).select("qid", "chunk_id")
+    main = placed.select("qid", "chunk_id").union(below).distinct()
+    rows = main.withColumn("role", F.lit("main"))
+    rows = rows.unionByName(main.select("qid", F.col("chunk_id").alias("src")).join(refs.select("src", "dst"), "src").select("qid", F.col("dst").alias("chunk_id"), F.lit("ref").alias("role")))
+    if describes is not None:
+        ops = main.join(describes, "chunk_id").select("qid", "op").distinct()
+        named = describes.join(chunks.select("chunk_id", "title"), "chunk_id").where(F.col("title").contains(F.col("op")))
+        rows = rows.unionByName(ops.join(named, "op").select("qid", "chunk_id", F.lit("op_def").alias("role")))
+    worth = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("role")]
+    rows = rows.withColumn("score", worth).groupBy("qid", "chunk_id").agg(F.max_by("role", "score").alias("role"), F.max("score").alias("score"))
+    n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
+    return rows.withColumn("n", n).where(F.col("n") <= most).select("qid", "chunk_id", "role", "score")

@@ -35,9 +35,12 @@ def dense(spark, d):
     return R.dense(items, items.where("vec_id % 50 = 0")).select("qid", "doc", "score", "rank")
 
 
-@query("r4_title_bm25", BM25.replace(f"{WORDS} AS t FROM documents", "list_filter(regexp_extract_all(lower(left(text, 60)), '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*'), lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'a', 'is', 'for')) AS t FROM documents") + "SELECT qid, doc, score, rank FROM bm")
+TITLE_WORDS = "list_filter(regexp_extract_all(lower(left(text, 60)), '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.TITLE_STOP) + "))"
+
+
+@query("r4_title_bm25", BM25.replace(f"{WORDS} AS t FROM documents", f"{TITLE_WORDS} AS t FROM documents") + "SELECT qid, doc, score, rank FROM bm")
 def title_bm25(spark, d):
-    stop = r"(?<![A-Za-z0-9_])(the|of|and|to|in|a|is|for)(?![A-Za-z0-9_])"
+    stop = r"(?<![A-Za-z0-9_])(" + "|".join(T.TITLE_STOP) + r")(?![A-Za-z0-9_])"
     titled = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower(F.substring("text", 1, 60)), stop, " ").alias("text"))
     return R.bm25(titled, table(spark, d, "benchmark")).select("qid", "doc", "score", "rank")
 
@@ -67,7 +70,7 @@ def normalised(spark, d):
     return R.normalised(bm25(spark, d), only_above_one=False, factor=0.99).select("qid", "doc", "score")
 
 
-LOGITS = BM25 + ", l AS (SELECT qid, doc, score / 4 - 2 AS logit, round(score / max(score) OVER (PARTITION BY qid), 6) AS upstream, (CASE WHEN doc % 3 = 0 THEN 0.7 ELSE 0 END + CASE WHEN doc % 4 = 0 THEN -0.6 ELSE 0 END)::DOUBLE AS bias, doc % 7 = 0 AS protected FROM bm), pp AS (SELECT *, protected OR CASE WHEN upstream >= 1 THEN logit >= -2 ELSE logit >= 0 END AS passes, round(0.6 / (1 + exp(-logit)) + 0.3 * upstream + CASE WHEN upstream >= 1 THEN 0.15 ELSE 0 END + 0.5 * bias, 9) AS score FROM l), t AS (SELECT *, sum(passes::INT) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, passes ORDER BY logit DESC, doc) AS turn FROM pp) "
+LOGITS = BM25 + ", l AS (SELECT qid, doc, score / 4 - 2 AS logit, round(score / max(score) OVER (PARTITION BY qid), 6) AS upstream, (CASE WHEN doc % 3 = 0 THEN 0.7 ELSE 0 END + CASE WHEN doc % 4 = 0 THEN -0.6 ELSE 0 END)::DOUBLE AS bias, doc % 7 = 0 AS protected FROM bm), pp AS (SELECT *, protected OR CASE WHEN upstream >= 1 THEN logit >= -2 ELSE logit >= 0 END AS passes, round(0.6 / (1 + exp(-logit)) + 0.3 * upstream + CASE WHEN upstream >= 1 THEN 0.15 ELSE 0 END + 0.5 * bias, 9) AS score FROM l), t AS (SELECT *, sum(passes::INT) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid, passes, logit >= -2 ORDER BY score DESC, doc) AS turn FROM pp) "
 
 
 def _logits(spark, d):

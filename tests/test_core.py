@@ -71,7 +71,7 @@ def brute_split(content, limit):
 def test_split_and_segments(spark):
     for content in ("a\nb", "aaaa\nbbbb\ncc\n" + "d" * 30 + "\ne\n\nf", "\n" * 20, "x" * 50):
         assert one(spark, T.split_lines(F.col("s"), 10), s=content) == brute_split(content, 10)
-    assert one(spark, T.segments(F.col("s"), 1), s="intro\n1. one\n2. two") == ["intro", "1. one", "2. two"]
+    assert one(spark, T.segments(F.col("s"), 1), s="intro\n1.\tone\n2.\ttwo") == ["intro", "1.\tone", "2.\ttwo"]
     assert one(spark, T.segments(F.col("s"), 1), s="a\n\nb") == ["a", "b"]
     assert one(spark, T.segments(F.col("s"), 200), s="a\nb\nc") == ["a\nb\nc"]
     assert one(spark, T.preview(F.col("s"), 5), s="ab\ncdefg") == "ab cd..."
@@ -360,15 +360,16 @@ def test_fusion_cases(spark):
     assert {r["name"] for r in X.concepts_named(asked, concepts).collect()} == {"SST", "smContextStatus", "Cause"}
     rows = spark.createDataFrame([("x H I\n1 2 3 4 y", ["H", "I"], [["1", "2"], ["3", "4"]]), ("H I 1 2", ["H", "I"], [["1", "2"], ["3", "9"]]), ("none", ["H"], [["1"]])], "c string, h array<string>, r array<array<string>>")
     assert [tuple(r["x"]) for r in rows.select(X.locate_table(F.col("c"), F.col("h"), F.col("r")).alias("x")).collect()] == [(True, 2, False), (True, 1, True), (False, 0, False)]
-    heads = spark.createDataFrame([("a", "Registration procedure", ""), ("b", "Paging", "Registration")], "chunk_id string, title string, path string")
+    heads = spark.createDataFrame([("a", "Registration of devices", "", 2), ("b", "Paging", "Registration", 1)], "chunk_id string, title string, path string, size int")
     best = X.shortlist(spark.createDataFrame([(1, "registration")], "qid int, question string"), heads).collect()
-    assert [r["chunk_id"] for r in best] == ["a"]
+    assert [r["chunk_id"] for r in best] == ["a", "b"]
     assert [r["term"] for r in X.sanity(spark.createDataFrame([("AMF",)], "term string"), ["AMF", "SMF"]).collect()] == ["SMF"]
-    roots = questions.root_headings(spark.createDataFrame([(1, "how does registration procedure work")], "qid int, question string"), heads)
+    roots = questions.root_headings(spark.createDataFrame([(1, "how does registration of a device work")], "qid int, question string"), heads)
     assert [(r["chunk_id"], r["coverage"]) for r in roots.collect()] == [("a", 1.0)]
-    chunks = spark.createDataFrame([("a", "s", "2"), ("b", "s", "2.1"), ("c", "s", "3")], "chunk_id string, spec_id string, section_id string")
+    chunks = spark.createDataFrame([("a", "s", "2", "x"), ("b", "s", "2.1", "x"), ("c", "s", "3", "x"), ("d", "s", "4", "Nx_A_B")], "chunk_id string, spec_id string, section_id string, title string")
+    says = spark.createDataFrame([("b", "Nx_A_B"), ("d", "Nx_A_B")], "chunk_id string, op string")
     refs = spark.createDataFrame([("b", "c"), ("b", "a")], "src string, dst string")
-    assert {(r["chunk_id"], r["role"]) for r in questions.closure(roots, chunks, refs).collect()} == {("a", "root"), ("b", "subtree"), ("c", "reference")}
+    assert {(r["chunk_id"], r["role"]) for r in questions.closure(roots, chunks, refs, says).collect()} == {("a", "main"), ("b", "main"), ("c", "ref"), ("d", "op_def")}
 
 
 def test_store(spark, sf, tmp_path):
