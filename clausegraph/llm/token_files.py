@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from clausegraph.llm.common import cut, load, new_folder, slices
 from clausegraph.llm.encode import default_path, encoder
 
-MAGIC, BLOCK_IDS, END_ID, ROWS_A_SHARD = b"TIDB1\n", 1 << 16, 2, 8192
+MAGIC, BLOCK_IDS, END_ID, ROWS_A_SHARD, MOST_FILES = b"TIDB1\n", 1 << 16, 2, 8192, 50_000
 HEAD, DOC = struct.Struct("<IIQQ"), np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u4")])
 
 
@@ -153,7 +153,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     """Writes docs under folder; returns the shards: shard, path, n_docs, n_ids. The texts shuffle once, by range of doc_id; ids go to the file where they are made."""
     path = tokenizer or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shards = max(1, -(-rows.count() // rows_a_shard))
+    shards = min(MOST_FILES, max(1, -(-rows.count() // rows_a_shard)))
     spread = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return cut(spread.mapInArrow(_shard_writer(folder, path, end_id), "shard int, path string, n_docs long, n_ids long"))
 
@@ -182,7 +182,7 @@ def read_tokens(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     spark = shards.sparkSession
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
-    files = max(1, min(shards.count(), 100_000))
+    files = max(1, shards.count())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
