@@ -101,7 +101,7 @@ def offline(model: str, prompt: str) -> str:
     """A backend without a model: the first sentence of the prompt's context that has most of the question's words."""
     context, _, question = prompt.rpartition("\nQuestion:")
     asked = set(re.findall(r"\w+", question.lower()))
-    sentences = re.split(r"(?<=[.!?])\s+", context)
+    sentences = re.split(r"(?<=[.!?])\s+", context[max(0, context.find("[1]")) :])
     return max(sentences, key=lambda s: len(asked & set(re.findall(r"\w+", s.lower()))), default="")
 
 
