@@ -10,9 +10,12 @@ is the share of the node's own estimate in its weighted probability. A context n
 says one half. The score is the log10 probability of the text; bits_per_byte is its code length.
 
 The corpus gives the counts of all (depth + 1)-byte strings, which determine every node of every
-tree; they are counted over all training texts, in tasks first and then by a grouping. The tree has
-the largest depth up to `depth` at which the distinct strings number MOST_STRINGS or fewer: this is
-the bound on what is broadcast (about 100 MB at the most).
+tree; they are counted over all training texts, in tasks first and then by a grouping. The depth is
+the same at every size. Strings are dealt by the SPLIT bytes before their last, so that all nodes of
+depth SPLIT and more that a string meets stand in its partition; the nodes above, 256 x 255 of depth
+1 and 255 of depth 0 at the most, are made of sums over the partitions and broadcast. About HEAD_STRINGS
+of the most frequent strings are broadcast with their probabilities (some 12 MB); rows carry the
+strings that are not among them, and these are answered in the partitions of the trees and joined.
 
 The base score needs every word's count. The HEAD_WORDS most frequent words are broadcast; rows
 carry the words that are not among them, and these meet their counts in a join.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm.common import bucket_of, cut, load, slices
 
-DEPTH, MOST_STRINGS, HEAD_WORDS, HELD_ROWS = 4, 1 << 20, 300_000, 400_000
+DEPTH, SPLIT, MOST_STRINGS, HEAD_STRINGS, PART_STRINGS, HEAD_WORDS, HELD_ROWS = 4, 2, 1 << 20, 1 << 20, 1 << 16, 300_000, 400_000
 END, SLOT_BITS = 0xFF, 22
 _u = np.uint64
 
@@ -76,73 +79,82 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - 2 * half
 
 
-class Tree:
-    """The weighted context trees of all bit positions, as one sorted table a depth."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
-        """keys: the distinct (depth + 1)-byte strings."""
-        self.depth, self.levels = depth, []
+def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Zeros and ones of each (context, bits so far): the bits stand behind a leading one. Sorted strings hold each node's in one run."""
+    x, context, names, zeros, ones = keys & _u(255), keys >> _u(8) << _u(8), [], [], []
+    if not len(keys):
+        return keys, counts, counts
+    for k in range(8):
+        name = context | _u(1 << k) | (x >> _u(8 - k))
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        one = np.add.reduceat(counts * ((x >> _u(7 - k)) & _u(1)), first)
+        names.append(name[first])
+        ones.append(one)
+        zeros.append(np.add.reduceat(counts, first) - one)
+    order = np.argsort(np.concatenate(names))
+    return np.concatenate(names)[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
+
+
+def _parents(nodes: np.ndarray, depth: int) -> np.ndarray:
+    """Names of the nodes' ancestors of that depth."""
+    return (((nodes >> _u(8)) & _u((1 << (8 * depth)) - 1)) << _u(8)) | (nodes & _u(255))
+
+
+def _level(depth: int, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[tuple, np.ndarray]:
+    """The level (depth, names, own weights, chances of a one), and the log weighted probabilities; below: the log product over each node's children."""
+    total = own = log_kt(zeros, ones)
+    log_w = np.zeros_like(own)
+    if below is not None:
+        total = np.logaddexp(own, below) - np.log(2)
+        log_w = own - np.log(2) - total
+    return (depth, node, np.exp(np.minimum(log_w, 0)).astype(np.float32), ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)), total
+
+
+def levels_of(keys: np.ndarray, counts: np.ndarray, depth: int, least: int = 0) -> tuple[list[tuple], tuple]:
+    """The levels from `depth` to `least`; and names, zeros, ones and log weighted probabilities of the last. keys: distinct (depth + 1)-byte strings, all that share their nodes of depth `least`."""
+    order = np.argsort(keys)
+    k, n, levels, below = keys[order].astype(_u), counts[order].astype(np.float64), [], None
+    for d in range(depth, least - 1, -1):
+        if d < depth:
+            k, at = np.unique(k & _u((1 << (8 * d + 8)) - 1), return_inverse=True)
+            n = np.bincount(at, n, len(k))
+        node, zeros, ones = _nodes(k, n)
+        if levels:
+            below = np.bincount(np.searchsorted(node, _parents(levels[-1][1], d)), total, len(node))
+        level, total = _level(d, node, zeros, ones, below)
+        levels.append(level)
+    return levels, (node, zeros, ones, total)
+
+
+def log10_by(levels: list[tuple], keys: np.ndarray) -> np.ndarray:
+    """log10 probability of each string's last byte after the others, by the mixture over the levels, deepest first."""
+    out = np.zeros(len(keys))
+    x, context = keys & _u(255), keys >> _u(8)
+    for k in range(8):
+        p, one = np.full(len(keys), 0.5), ((x >> _u(7 - k)) & _u(1)).astype(bool)
+        for d, node, w, p1 in levels:
+            if not len(node):
+                continue
+            name = ((context & _u((1 << (8 * d)) - 1)) << _u(8)) | _u(1 << k) | (x >> _u(8 - k))
+            at = np.minimum(np.searchsorted(node, name), len(node) - 1)
+            own = p1[at].astype(np.float64)
+            weight = w[at].astype(np.float64)
+            p = np.where(node[at] == name, weight * np.where(one, own, 1 - own) + (1 - weight) * p, 0.5)
+        out += np.log10(p)
+    return out
+
+
+class Known:
+    """Strings with their log10 probabilities."""
+
+    def __init__(self, keys: np.ndarray, log10: np.ndarray):
         order = np.argsort(keys)
-        self.keys, top = keys[order].astype(_u), (keys[order].astype(_u), counts[order].astype(np.float64))
-        tables = []
-        for d in range(depth, -1, -1):
-            if d < depth:
-                k, at = np.unique(top[0] & _u((1 << (8 * d + 8)) - 1), return_inverse=True)
-                top = (k, np.bincount(at, top[1], len(k)))
-            tables.append(self._nodes(*top))
-        weighted = None
-        for d, (node, zeros, ones) in zip(range(depth, -1, -1), tables, strict=True):
-            own = log_kt(zeros, ones)
-            if weighted is None:
-                log_w, total = np.zeros_like(own), own
-            else:
-                child, log_p = weighted
-                parent = (((child >> _u(8)) & _u((1 << (8 * d)) - 1)) << _u(8)) | (child & _u(255))
-                below = np.bincount(np.searchsorted(node, parent), log_p, len(node))
-                total = np.logaddexp(own, below) - np.log(2)
-                log_w = own - np.log(2) - total
-            weighted = (node, total)
-            self.levels.append((node, np.exp(np.minimum(log_w, 0)).astype(np.float32), ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)))
-        self.log10 = self.log10_of(self.keys).astype(np.float32)
-        self.slots = None
-
-    @staticmethod
-    def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Zeros and ones of each (context, bits so far): the bits stand behind a leading one. Sorted strings hold each node's in one run."""
-        x, context, names, zeros, ones = keys & _u(255), keys >> _u(8) << _u(8), [], [], []
-        if not len(keys):
-            return keys, counts, counts
-        for k in range(8):
-            name = context | _u(1 << k) | (x >> _u(8 - k))
-            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-            one = np.add.reduceat(counts * ((x >> _u(7 - k)) & _u(1)), first)
-            names.append(name[first])
-            ones.append(one)
-            zeros.append(np.add.reduceat(counts, first) - one)
-        order = np.argsort(np.concatenate(names))
-        return np.concatenate(names)[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-
-    def log10_of(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each string's last byte after the others, by the mixture over depths."""
-        out = np.zeros(len(keys))
-        x, context = keys & _u(255), keys >> _u(8)
-        for k in range(8):
-            p, one = np.full(len(keys), 0.5), ((x >> _u(7 - k)) & _u(1)).astype(bool)
-            for d, (node, w, p1) in zip(range(self.depth, -1, -1), self.levels, strict=True):
-                if not len(node):
-                    continue
-                name = ((context & _u((1 << (8 * d)) - 1)) << _u(8)) | _u(1 << k) | (x >> _u(8 - k))
-                at = np.minimum(np.searchsorted(node, name), len(node) - 1)
-                own = p1[at].astype(np.float64)
-                weight = w[at].astype(np.float64)
-                p = np.where(node[at] == name, weight * np.where(one, own, 1 - own) + (1 - weight) * p, 0.5)
-            out += np.log10(p)
-        return out
+        self.keys, self.log10, self.slots = keys[order].astype(_u), log10[order].astype(np.float32), None
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10_of by table where the string was met in training."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each string, 0 where it is not known; and the places of those that are not."""
         if not len(self.keys):
-            return self.log10_of(keys)
+            return np.zeros(len(keys)), np.arange(len(keys))
         spread = lambda k: ((k * _u(0x9E3779B97F4A7C15)) >> _u(64 - SLOT_BITS)).astype(np.int64)
         if self.slots is None:  # made by each worker, once
             self.slots = np.zeros(1 << SLOT_BITS, np.int32)
@@ -153,9 +165,28 @@ class Tree:
         if len(miss):
             distinct, back = np.unique(keys[miss], return_inverse=True)
             at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            value, unmet = self.log10[at].astype(np.float64), self.keys[at] != distinct
-            value[unmet] = self.log10_of(distinct[unmet])
-            out[miss] = value[back]
+            unmet = self.keys[at] != distinct
+            out[miss] = np.where(unmet, 0, self.log10[at].astype(np.float64))[back]
+            miss = miss[unmet[back]]
+        return out, miss
+
+
+class Tree:
+    """The weighted context trees of all bit positions in one place, as one sorted table a depth."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+        """keys: the distinct (depth + 1)-byte strings."""
+        self.depth, self.levels = depth, levels_of(keys, counts, depth)[0]
+        self.known = Known(keys, self.log10_of(keys.astype(_u)))
+        self.keys = self.known.keys
+
+    def log10_of(self, keys: np.ndarray) -> np.ndarray:
+        return log10_by(self.levels, keys)
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log10_of by table where the string was met in training."""
+        out, miss = self.known.find(keys)
+        out[miss] = self.log10_of(keys[miss])
         return out
 
 
@@ -207,7 +238,7 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def fit_tree(counts: DataFrame, depth: int = DEPTH, most: int = MOST_STRINGS) -> Tree:
-    """The tree of the largest depth whose distinct strings number `most` or fewer."""
+    """One tree in one place, of the largest depth whose distinct strings number `most` or fewer. Scoring does not use it: what it makes of a corpus that fits, Trees makes of any."""
     grams = counts.where("gram is not null").select("gram", "n")
     while depth and grams.count() > most:
         depth -= 1
@@ -216,29 +247,96 @@ def fit_tree(counts: DataFrame, depth: int = DEPTH, most: int = MOST_STRINGS) ->
     return Tree(table["gram"].to_numpy().astype(_u), table["n"].to_numpy(), depth)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings and counts of a partition."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False).astype(_u), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    return tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, _u), np.zeros(0, np.int64))
+
+
+class Trees:
+    """The weighted context trees over partitions: grams is (gram, n) of distinct (depth + 1)-byte strings."""
+
+    def __init__(self, grams: DataFrame, depth: int):
+        self.grams, self.depth, self.split, self.size = grams, depth, min(SPLIT, depth), grams.count()
+        split, parts = self.split, F.aggregate(F.array_sort(F.collect_list("below")), F.lit(0.0), lambda a, x: a + x)  # in one order; 256 at the most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            node, zeros, ones, total = levels_of(*_whole(batches), depth, split)[1]
+            k, at = np.unique(_parents(node, split - 1), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), *(pa.array(np.bincount(at, v, len(k))) for v in (zeros, ones, total))], ["node", "zeros", "ones", "below"])
+
+        self.top: list[tuple] = []
+        if split:
+            table = self._dealt(grams, self.size).mapInArrow(run, "node long, zeros double, ones double, below double")
+            table = table.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), parts.alias("below")).toArrow().sort_by("node")
+            node, (zeros, ones, below) = table["node"].to_numpy().astype(_u), (table[c].to_numpy() for c in ("zeros", "ones", "below"))
+            for d in range(split - 1, -1, -1):
+                if d < split - 1:
+                    node, at = np.unique(_parents(node, d), return_inverse=True)
+                    zeros, ones, below = (np.bincount(at, v, len(node)) for v in (zeros, ones, total))
+                level, total = _level(d, node, zeros, ones, below)
+                self.top.append(level)
+
+    def _dealt(self, grams: DataFrame, size: int) -> DataFrame:
+        shared = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * self.split)) - 1))
+        return grams.repartition(size // PART_STRINGS + 1, shared)
+
+    def log10_of(self, asked: DataFrame, size: int) -> DataFrame:
+        """(gram, log10) of the `size` strings of asked (gram), met in training or not."""
+        depth, split = self.depth, self.split
+        top = self.grams.sparkSession.sparkContext.broadcast(self.top)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, counts = _whole(batches)
+            met = counts > 0
+            levels = [*levels_of(keys[met], counts[met], depth, split)[0], *top.value]
+            keys = keys[~met]
+            for at in range(0, len(keys), 50_000):
+                part = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(log10_by(levels, part))], ["gram", "log10"])
+
+        both = self.grams.select("gram", "n").unionByName(asked.select("gram", F.lit(0).cast("long").alias("n")))
+        return self._dealt(both, self.size + size).mapInArrow(run, "gram long, log10 double")
+
+    def known(self, most: int) -> Known:
+        """About `most` of the most frequent strings; all, where there are no more."""
+        least = _least(self.grams, self.size, most)
+        table = self.log10_of(self.grams.where(F.col("n") > least), min(self.size, most)).toArrow()
+        return Known(table["gram"].to_numpy().astype(_u), table["log10"].to_numpy())
+
+
+def _least(rows: DataFrame, distinct: int, most: int) -> int:
+    """The count above which about `most` of the distinct rows lie."""
+    return 0 if distinct <= most else rows.agg(F.percentile_approx("n", F.lit(1 - most / distinct), F.lit(10_000))).first()[0]
+
+
 def score_texts(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, and whether the row was trained on."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(trained_on, F.lit(False)).alias("trained"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = cut(count_corpus(rows.where("trained").select("text"), depth))
     words = counts.where("word is not null").select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = 0 if distinct <= HEAD_WORDS else words.agg(F.percentile_approx("n", F.lit(1 - HEAD_WORDS / distinct), F.lit(10_000))).first()[0]
-    head = words.where(F.col("n") > least).toArrow()
+    head = words.where(F.col("n") > _least(words, distinct, HEAD_WORDS)).toArrow()
     divisor = total + 0.1 * (distinct + 1)
     known = dict(zip(head["word"].to_pylist(), range(head.num_rows), strict=True))
     logs = np.append(np.log10((head["n"].to_numpy() + 0.1) / divisor), 0.0)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((fit_tree(counts, depth), known, logs))
+    trees = Trees(counts.where("gram is not null").select("gram", "n"), depth)
+    sent = docs.sparkSession.sparkContext.broadcast((trees.known(HEAD_STRINGS), known, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, known, logs = sent.value
+        frequent, known, logs = sent.value
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             texts = batch.column(2).to_pylist()
-            keys, begins = strings(texts, tree.depth)
-            score = np.add.reduceat(tree.score(keys), begins)
+            keys, begins = strings(texts, depth)
+            log10, miss = frequent.find(keys)
+            score = np.add.reduceat(log10, begins)
+            # A text's place among the 256 of a slice stands above the 40 bits of a string.
+            unmet, unmet_n = np.unique((np.searchsorted(begins, miss, "right") - 1).astype(_u) << _u(40) | keys[miss], return_counts=True)
+            starts = np.searchsorted(unmet, np.arange(len(texts) + 1).astype(_u) << _u(40)).astype(np.int32)
+            strings_ = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array((unmet & _u((1 << 40) - 1)).astype(np.int64)), pa.array(unmet_n)], ["gram", "times"]))
             n_tokens, hits, base, tail, tail_n, bounds = [], [], [], [], [], [0]
             for t in texts:
                 words = [*words_of(t), b""]
@@ -254,18 +352,23 @@ def score_texts(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", tex
             size = np.diff(np.append(begins, len(keys)))
             others = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(tail_n, pa.int64())], ["word", "tf"]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(texts))), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size), others],
-                ["row", "doc_id", "trained", "n_tokens", "hits", "base", "score", "bits_per_byte", "others"],
+                [pa.array(np.arange(row, row + len(texts))), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base), pa.array(score), pa.array(size, pa.int64()), others, strings_],
+                ["row", "doc_id", "trained", "n_tokens", "hits", "base", "score", "size", "others", "strings"],
             )
             row += len(texts)
 
-    scored = cut(rows.mapInArrow(run, "row long, doc_id long, trained boolean, n_tokens long, hits long, base double, score double, bits_per_byte double, others array<struct<word: binary, tf: long>>"))
+    scored = cut(rows.mapInArrow(run, "row long, doc_id long, trained boolean, n_tokens long, hits long, base double, score double, size long, others array<struct<word: binary, tf: long>>, strings array<struct<gram: long, times: long>>"))
     # The rest of the words: each document has one row for each, and frequent words are not among them.
     rest = scored.select("row", F.inline("others")).join(words, "word", "left")
     log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.1) / F.lit(float(divisor)))
     rest = rest.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))).alias("more"), F.sum(F.col("tf") * log).alias("rest"))
-    return scored.drop("others").join(rest, "row", "left").select(
-        "doc_id", "trained", "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte"
+    # The rest of the strings, likewise.
+    met = scored.select("row", F.inline("strings"))
+    asked = cut(met.select("gram").distinct())
+    met = met.join(trees.log10_of(asked, asked.count()), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("more_score"))
+    scored = scored.drop("others", "strings").join(rest, "row", "left").join(met, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
+    return scored.select(
+        "doc_id", "trained", "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("size")).alias("bits_per_byte")
     )
 
 

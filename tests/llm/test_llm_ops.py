@@ -369,6 +369,24 @@ def test_scores(spark, docs, odd, empty, monkeypatch):
     assert all(r["base_score"] == 0 and r["bits_per_byte"] == pytest.approx(8) for r in none)
 
 
+def test_scores_have_one_depth_at_every_size(spark, docs, monkeypatch):
+    """No bound on tables, broadcasts or partitions changes a score."""
+    trained = F.col("doc_id") % 3 != 0
+    tree = ctw.fit_tree(ctw.count_corpus(docs.where(trained).select("text")), most=1 << 30)
+    assert tree.depth == ctw.DEPTH and len(tree.keys) > 1000
+    monkeypatch.setattr(ctw.fit_tree, "__defaults__", (ctw.DEPTH, 500))
+    for name, bound in (("MOST_STRINGS", 500), ("HEAD_STRINGS", 500), ("PART_STRINGS", 2000)):
+        monkeypatch.setattr(ctw, name, bound, raising=False)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = ctw.score_texts(docs, trained).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        keys, _ = ctw.strings([texts[r["doc_id"]]], ctw.DEPTH)
+        want = tree.score(keys).sum()
+        assert r["score"] == pytest.approx(want, rel=1e-5)
+        assert r["bits_per_byte"] == pytest.approx(-want / math.log10(2) / len(keys), rel=1e-5)
+
+
 # quality
 
 
