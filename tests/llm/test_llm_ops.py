@@ -591,6 +591,21 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_repeats_are_found_over_the_whole_host(spark, monkeypatch):
+    """A stretch on two pages of a host goes however the pages are dealt to groups; copies of a page do not repeat each other."""
+    own = lambda i, n=30: " ".join(f"u{i}x{j}" for j in range(n))
+    shared = lambda i: " ".join(f"s{i}x{j}" for j in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<div>{shared(i // 2)}</div><p>{own(i)}</p>") for i in range(40)]
+    rows += [(i, f"http://h.example/{i}", f"<p>{own('copy')}</p>") for i in range(100, 110)]
+    rows += [(200, "http://h.example/200", f"<div>{own('quoted')}</div><p>{own(200)}"), (201, "http://h.example/201", f"<article><p>{own('quoted')}</article>")]
+    rows += [(i, f"http://marked.example/{i}", f"<article><p>{own('all')}</article>") for i in range(300, 320)]
+    pages = spark.createDataFrame(rows, PAGES)
+    want = {i: own(i) for i in [*range(40), 200]} | dict.fromkeys(range(100, 110), own("copy")) | {201: own("quoted")} | dict.fromkeys(range(300, 320), own("all"))
+    for group in (1000, 4):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", group)
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == want
+
+
 def test_marked_articles_are_whole(spark, sf):
     import re
 
