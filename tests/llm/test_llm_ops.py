@@ -548,6 +548,19 @@ def test_main_text_of_marked_pages():
     assert text_of("<table><tr><td>x<td>y<tr><td>z</table>") == "x\n\ny\n\nz"
 
 
+def test_main_text_keeps_every_article_but_teasers():
+    body = " ".join(f"w{i}" for i in range(40))
+    assert text_of(f"<main><h1>Title</h1><p>lead</p><article><p>{body}</article><p>end</main>") == f"Title\n\nlead\n\n{body}\n\nend"
+    assert text_of(f"<article><p>{body}</article><article><p>a shorter second part</article>") == f"{body}\n\na shorter second part"
+    assert text_of(f"<article><p>{body}</article><article><h2><a href=x>Another story here</a></h2><p>soon</article>") == body
+    assert text_of("<article><a href=x>Only this</a></article>") == "Only this"
+    teaser = " ".join(f"t{i}" for i in range(9))
+    blocks = [html_text.blocks_of(f"<article><p>{body} {k}</article><article><p>{teaser}</article>") for k in range(2)]
+    covered = html_text.repeated([[t for t, _ in b] for b in ([(f"{k} x", 1), (teaser, 2)] for k in range(2))])
+    assert [html_text.main_text(b, c) for b, c in zip(blocks, covered, strict=True)] == [f"{body} 0", f"{body} 1"]
+    assert html_text.main_text(blocks[0], np.array([0.9, 1.0])) == f"{body} 0\n\n{teaser}"
+
+
 def test_repeats_by_brute_force():
     rng = random.Random(2)
     boiler = " ".join(f"b{i}" for i in range(12))
