@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausegraph.functions import text as T
+from clausegraph.operators import extract as X
 from clausegraph.operators import retrieval as R
 from clausegraph.plans.registry import query, table
 
@@ -233,6 +234,23 @@ def definitions(spark, d):
     return rows.where(F.length("definition") > 10)
 
 
+DEFINITION_LINES = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+x AS (SELECT doc_id, pos, trim(regexp_replace(CASE WHEN contains(line, ':') THEN line ELSE regexp_replace(line, '^([^\s:]+) ', '\1: ') END, '^\s+|\s+$', '', 'g')) AS line FROM l),
+p AS (SELECT doc_id, pos, trim(split_part(line, ':', 1)) AS term, trim(substr(line, strpos(line, ':') + 1)) AS definition FROM x WHERE contains(line, ':') AND NOT starts_with(lower(line), 'for the purposes')
+AND NOT contains(left(lower(line), 50), 'apply') AND NOT contains(lower(line), 'tr 21.905') AND NOT contains(lower(line), 'ts 23.501'))
+SELECT doc_id, pos, term, definition FROM p WHERE length(term) BETWEEN 2 AND 100 AND length(definition) > 10 AND regexp_matches(term, '\p{{L}}') AND NOT (starts_with(term, '[') AND ends_with(term, ']')) AND NOT regexp_matches(term, '{X.JUNK_HEAD}')
+"""
+
+
+@query("t3_definition_lines", DEFINITION_LINES)
+def definition_lines(spark, d):
+    """The definition extractor over all lines of every document; a line without a colon is read as if one stood after its first word."""
+    content = F.regexp_replace("text", r"(?md)^([^\s:]+) (?=[^:\n]*$)", "$1: ")
+    chunks = table(spark, d, "documents").select(F.lit("").alias("spec_id"), F.col("doc_id").alias("chunk_id"), content.alias("content"))
+    return X.definitions(chunks).select(F.col("chunk_id").alias("doc_id"), "pos", "term", F.col("full_name").alias("definition"))
+
+
 @query("w9_event_neighbours", "SELECT event_id, user_id FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM events) WHERE near = 1")
 def event_neighbours(spark, d):
     near = F.max((F.col("event_type") == "purchase").cast("int")).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-1, 1))

@@ -396,3 +396,12 @@ def test_store(spark, sf, tmp_path):
     gold = spark.createDataFrame([(1, "ts_23_501_5.1")], "qid int, chunk_id string")
     tables = spark.createDataFrame([("ts_23_501", "ts_23_501_5.1", "t1"), ("ts_23_502", "x", "t2")], "spec_id string, chunk_id string, table string")
     assert [r["table"] for r in store.snapshot_tables(gold, tables).collect()] == ["t1"]
+
+
+def test_definitions_stand_on_any_line(spark, tmp_path):
+    from clausegraph.plans import registered
+
+    text = "alpha a first line of words\n\n  PDU session: a connection of a kind\nfor the purposes of this: nothing is defined\nshort: few\nomega the last line of words"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registered()[0]["t3_definition_lines"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 0, "alpha", "a first line of words"), (1, 2, "PDU session", "a connection of a kind"), (1, 5, "omega", "the last line of words")]
