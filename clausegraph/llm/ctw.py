@@ -13,8 +13,8 @@ The corpus gives the counts of all (depth + 1)-byte strings, which determine eve
 tree; they are counted over all training texts, in tasks first and then by a grouping. The depth is
 the same at every size. Strings are dealt by the SPLIT bytes before their last, so that all nodes of
 depth SPLIT and more that a string meets stand in its partition; the nodes above, 256 x 255 of depth
-1 and 255 of depth 0 at the most, are made of sums over the partitions and broadcast. About HEAD_STRINGS
-of the most frequent strings are broadcast with their probabilities (some 12 MB); rows carry the
+1 and 255 of depth 0 at the most, are made of sums over the partitions and broadcast. HEAD_STRINGS of
+the most frequent strings or fewer are broadcast with their probabilities (some 12 MB); rows carry the
 strings that are not among them, and these are answered in the partitions of the trees and joined.
 
 The base score needs every word's count. The HEAD_WORDS most frequent words are broadcast; rows
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm.common import bucket_of, cut, load, slices
 
-DEPTH, SPLIT, MOST_STRINGS, HEAD_STRINGS, PART_STRINGS, HEAD_WORDS, HELD_ROWS = 4, 2, 1 << 20, 1 << 20, 1 << 16, 300_000, 400_000
-END, SLOT_BITS = 0xFF, 22
+DEPTH, SPLIT, HEAD_STRINGS, PART_STRINGS, HEAD_WORDS, HELD_ROWS = 5, 2, 1 << 20, 1 << 16, 300_000, 400_000
+END, SLOT_BITS, MOST_DEPTH = 0xFF, 22, 6  # a string of 7 bytes and a place among 256 rows fill 64 bits
 _u = np.uint64
 
 
@@ -237,13 +237,9 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return texts.mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
-def fit_tree(counts: DataFrame, depth: int = DEPTH, most: int = MOST_STRINGS) -> Tree:
-    """One tree in one place, of the largest depth whose distinct strings number `most` or fewer. Scoring does not use it: what it makes of a corpus that fits, Trees makes of any."""
-    grams = counts.where("gram is not null").select("gram", "n")
-    while depth and grams.count() > most:
-        depth -= 1
-        grams = cut(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * depth + 8)) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
-    table = grams.toArrow()
+def fit_tree(counts: DataFrame, depth: int = DEPTH) -> Tree:
+    """One tree in one place, for corpora whose strings fit there. Scoring does not use it: what it makes of a corpus that fits, Trees makes of any."""
+    table = counts.where("gram is not null").select("gram", "n").toArrow()
     return Tree(table["gram"].to_numpy().astype(_u), table["n"].to_numpy(), depth)
 
 
@@ -300,23 +296,31 @@ class Trees:
 
     def known(self, most: int) -> Known:
         """About `most` of the most frequent strings; all, where there are no more."""
-        least = _least(self.grams, self.size, most)
+        least = _least(self.grams, most)
         table = self.log10_of(self.grams.where(F.col("n") > least), min(self.size, most)).toArrow()
         return Known(table["gram"].to_numpy().astype(_u), table["log10"].to_numpy())
 
 
-def _least(rows: DataFrame, distinct: int, most: int) -> int:
-    """The count above which about `most` of the distinct rows lie."""
-    return 0 if distinct <= most else rows.agg(F.percentile_approx("n", F.lit(1 - most / distinct), F.lit(10_000))).first()[0]
+def _least(rows: DataFrame, most: int) -> int:
+    """The least count such that no more than `most` of the rows (n) lie above it, to one part in 64 of a doubling: exact, from a histogram of a few thousand rows."""
+    bands = rows.groupBy(F.floor(F.log2("n") * 64).alias("band")).agg(F.max("n").alias("last"), F.count(F.lit(1)).alias("rows"))
+    held = 0
+    for r in sorted(bands.collect(), key=lambda r: -r["last"]):
+        held += r["rows"]
+        if held > most:
+            return r["last"]
+    return 0
 
 
 def score_texts(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, and whether the row was trained on."""
+    if not 0 <= depth <= MOST_DEPTH:
+        raise ValueError(f"a depth is 0 to {MOST_DEPTH}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(trained_on, F.lit(False)).alias("trained"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = cut(count_corpus(rows.where("trained").select("text"), depth))
     words = counts.where("word is not null").select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = words.where(F.col("n") > _least(words, distinct, HEAD_WORDS)).toArrow()
+    head = words.where(F.col("n") > _least(words, HEAD_WORDS)).toArrow()
     divisor = total + 0.1 * (distinct + 1)
     known = dict(zip(head["word"].to_pylist(), range(head.num_rows), strict=True))
     logs = np.append(np.log10((head["n"].to_numpy() + 0.1) / divisor), 0.0)
@@ -333,10 +337,11 @@ def score_texts(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", tex
             keys, begins = strings(texts, depth)
             log10, miss = frequent.find(keys)
             score = np.add.reduceat(log10, begins)
-            # A text's place among the 256 of a slice stands above the 40 bits of a string.
-            unmet, unmet_n = np.unique((np.searchsorted(begins, miss, "right") - 1).astype(_u) << _u(40) | keys[miss], return_counts=True)
-            starts = np.searchsorted(unmet, np.arange(len(texts) + 1).astype(_u) << _u(40)).astype(np.int32)
-            strings_ = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array((unmet & _u((1 << 40) - 1)).astype(np.int64)), pa.array(unmet_n)], ["gram", "times"]))
+            # A text's place among the 256 of a slice stands above the bits of a string, which are 56 at the most.
+            above = _u(8 * depth + 8)
+            unmet, unmet_n = np.unique((np.searchsorted(begins, miss, "right") - 1).astype(_u) << above | keys[miss], return_counts=True)
+            starts = np.append(np.searchsorted(unmet, np.arange(len(texts)).astype(_u) << above), len(unmet)).astype(np.int32)
+            strings_ = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array((unmet & _u((1 << int(above)) - 1)).astype(np.int64)), pa.array(unmet_n)], ["gram", "times"]))
             n_tokens, hits, base, tail, tail_n, bounds = [], [], [], [], [], [0]
             for t in texts:
                 words = [*words_of(t), b""]

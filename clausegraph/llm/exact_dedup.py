@@ -1,13 +1,17 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions alone.
 
-Pass one hashes each normalised text and counts the filter slots that its hash sets; the slots that
-were set twice or more form the filter of possibly repeated hashes. Pass two tests each row against
-that filter: rows that miss it are unique and pass straight through, and only the rest shuffle.
-
-The filter is blocked: a hash picks one block of 32768 bits and three bits in it. It has 16 bits a
-row, within MIN_BITS and MAX_BITS, so what is broadcast never exceeds 16 MB. A fuller filter only
-lets more rows through to the exact step; it never changes the result. Equality is decided on the
-SHA-256 of the normalised text, never on the filter's hash.
+Pass one counts the documents by the top SLOT_BITS bits of their normalised text's hash, in tasks
+first: one long a document and no text. (A bitmap a task would be larger: at 16 bits a row each task
+would send 2 bytes for every row of the whole table, not of its own.) The slots that were met twice
+make the filter of possibly repeated hashes. Pass two tests each row against that filter: rows that
+miss it are unique and pass straight through, and only the rest shuffle.
+
+The filter is a blocked Bloom filter: a slot picks one word of 64 bits and three bits in it. It has a
+word for every WORD_KEYS slots or fewer, so it grows with what is repeated and lets the same share
+through in error at every size. Words are broadcast within BROADCAST_BYTES; beyond that rows' hashes
+meet their words by shuffle, but for the words that many rows share, which are still broadcast. What
+the filter lets through changes no result: equality is decided on the SHA-256 of the normalised
+text, never on the filter's hash.
 
 Defined cases: a null text counts as empty; a null doc_id is smaller than any other; of rows that
 repeat both doc_id and text, all are reported and exactly one is kept; an empty table gives an
@@ -19,53 +23,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import ascii_lower, cut
+from clausegraph.llm.common import BROADCAST_BYTES, ascii_lower, cut, join_hot, load
+
+SLOT_BITS, WORD_KEYS, WORD_BYTES, KEY_BYTES = 40, 4, 32, 128
 
-BLOCK_BITS, MIN_BITS, MAX_BITS, BITS_A_ROW = 1 << 15, 1 << 20, 1 << 27, 16
-#: A group with this share of all rows is hot; there are at most as many such groups as its inverse.
-HOT_SHARE, HOT_ROWS = 1 / 1000, 5_000
 
+def slot_of(sha: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(sha), 64 - SLOT_BITS)
 
-def _place(sha: Column, blocks: int) -> tuple[Column, Column]:
-    """The block of a hash, and the bits that it sets there."""
-    h = F.xxhash64(sha)
-    return h.bitwiseAND(F.lit(blocks - 1)), F.array_distinct(F.array(*[F.shiftrightunsigned(h, 16 + 15 * j).bitwiseAND(F.lit(BLOCK_BITS - 1)) for j in range(3)]))
 
+def _mask(slot: Column) -> Column:
+    """The bits that a slot sets in its word."""
+    h = F.xxhash64(slot, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * j).bitwiseAND(F.lit(63)).cast("int")) for j in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
-def filter_bits(rows: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, BITS_A_ROW * rows - 1).bit_length()))
 
+class Filter:
+    """The filter of the slots that rows of `hashes` (column _sha) meet at least twice."""
 
-def repeated_filter(hashes: DataFrame, bits: int) -> DataFrame:
-    """(block, bitmap) of the slots that rows of `hashes` (column _sha) set at least twice."""
-    block, places = _place(F.col("_sha"), bits // BLOCK_BITS)
-    slots = hashes.select(block.alias("_block"), F.explode(places).alias("_bit")).groupBy("_block", "_bit").agg(F.count(F.lit(1)).alias("_n"))
-    return slots.where("_n >= 2").groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    def __init__(self, hashes: DataFrame, total: int):
+        slots = cut(hashes.select(slot_of(F.col("_sha")).alias("_slot")).groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2"))
+        self.total, self.words = total, 1 << max(0, (slots.count() // WORD_KEYS).bit_length())
+        table = slots.groupBy(self._word(F.col("_slot")).alias("_word")).agg(F.bit_or(_mask(F.col("_slot"))).alias("_bits"), F.sum("_n").alias("_n"))
+        self.table, self.small = cut(table), self.words * WORD_BYTES <= BROADCAST_BYTES
 
+    def _word(self, slot: Column) -> Column:
+        return F.xxhash64(slot).bitwiseAND(F.lit(self.words - 1))
 
-def mark_possible(rows: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
-    """Adds _possible: whether the filter holds all the bits of a row's _sha. The filter has at most MAX_BITS, so it is broadcast."""
-    block, places = _place(F.col("_sha"), bits // BLOCK_BITS)
-    found = rows.withColumn("_block", block).withColumn("_places", places).join(F.broadcast(repeated), "_block", "left")
-    held = F.expr("forall(_places, p -> (conv(hex(substr(_map, cast(p div 8 as int) + 1, 1)), 16, 10) div shiftleft(1, cast(p % 8 as int))) % 2 = 1)")
-    return found.withColumn("_possible", F.coalesce(F.col("_map").isNotNull() & held, F.lit(False))).drop("_block", "_places", "_map")
+    def mark(self, rows: DataFrame) -> DataFrame:
+        """Adds _possible to rows (_sha and others): whether the filter holds all bits of the row's slot."""
+        rows, slot = rows.withColumn("_word", self._word(slot_of(F.col("_sha")))), slot_of(F.col("_sha"))
+        if self.small:
+            found = rows.join(F.broadcast(self.table.drop("_n")), "_word", "left")
+        else:
+            found = join_hot(rows, self.table, "_word", "_n", self.total, "left")
+        return found.withColumn("_possible", F.coalesce(F.col("_bits").bitwiseAND(_mask(slot)) == _mask(slot), F.lit(False))).drop("_word", "_bits")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256).alias("_sha"))
+def _sha(text_col: str) -> Column:
+    return F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    hashed = cut(digests(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    hashed = cut(docs.select(F.col(id_col).alias("doc_id"), _sha(text_col).alias("_sha"), F.monotonically_increasing_id().alias("_row")))
     total = hashed.count()
-    bits = filter_bits(total)
-    marked = mark_possible(hashed, cut(repeated_filter(hashed, bits)), bits)
-    possible = marked.where("_possible")
-    groups = cut(possible.groupBy("_sha").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size")))
-    hot = groups.where(F.col("group_size") >= max(HOT_ROWS, int(total * HOT_SHARE)))  # at most 1 / HOT_SHARE rows
-    spread = possible.join(F.broadcast(hot), "_sha", "left")
-    resolved = spread.where("_keep is not null").unionByName(spread.where("_keep is null").drop("_keep", "group_size").join(groups, "_sha"))
+    marked = Filter(hashed, total).mark(hashed)
+    possible = marked.where("_possible").drop("_possible")
+    groups = cut(possible.groupBy("_sha").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size")).withColumn("_n", F.col("group_size")))
+    resolved = join_hot(possible, groups, "_sha", "_n", total)
     alone = marked.where("not _possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
     return alone.unionByName(resolved.select("doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), F.col("_sha").alias("text_sha256")))
 
@@ -73,24 +80,30 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts the one with the largest id.
 
-    Texts of rows that miss the filter never shuffle. Those that may be repeated are dealt by id and
-    hash, so that no group of copies meets in one task.
+    Which ids and hashes go is decided without the texts. Rows that miss the filter never shuffle; the
+    others meet the ids that go by broadcast within BROADCAST_BYTES, else dealt by id and hash, so that
+    no group of copies meets in one task.
     """
-    hashed = cut(digests(docs, id_col, text_col))
-    bits = filter_bits(hashed.count())
-    repeated = cut(repeated_filter(hashed, bits))
-    keep = mark_possible(hashed, repeated, bits).where("_possible").groupBy("_sha").agg(F.max(F.struct("doc_id")).alias("_keep"))
-    keep = keep.select(F.col("_sha").alias("_keep_sha"), F.col("_keep.doc_id").alias("_keep_id"))
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(id_col).alias("_id"), F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256).alias("_sha"))
-    marked = mark_possible(rows, repeated, bits)
-    stay = marked.where("_possible").join(keep, (F.col("_sha") == F.col("_keep_sha")) & F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi").dropDuplicates(["_sha"])
-    return marked.where("not _possible").select("_doc").unionByName(stay.select("_doc")).select("_doc.*")
+    hashed = cut(docs.select(F.col(id_col).alias("_id"), _sha(text_col).alias("_sha")))
+    total = hashed.count()
+    repeated = Filter(hashed, total)
+    each = cut(repeated.mark(hashed).where("_possible").groupBy("_sha", "_id").agg(F.count(F.lit(1)).alias("_times")))
+    groups = cut(each.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.sum("_times").alias("_size"), F.count(F.lit(1)).alias("_n")).where("_size > 1").drop("_size"))
+    ruled = cut(join_hot(each, groups, "_sha", "_n", total).select(F.col("_sha").alias("_gone_sha"), F.col("_id").alias("_gone"), F.col("_id").eqNullSafe(F.col("_keep")).alias("_stays"), "_times"))
+    gone, again = ruled.where("not _stays or _times > 1"), ruled.where("_stays and _times > 1").drop("_stays", "_times")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    marked = repeated.mark(docs.select(F.col(id_col).alias("_id"), _sha(text_col).alias("_sha"), doc)) if repeated.small else docs.select(F.col(id_col).alias("_id"), _sha(text_col).alias("_sha"), doc, F.lit(True).alias("_possible"))
+    met = (F.col("_sha") == F.col("_gone_sha")) & F.col("_id").eqNullSafe(F.col("_gone"))
+    small = lambda t: F.broadcast(t) if t.count() * KEY_BYTES <= BROADCAST_BYTES else t
+    possible = marked.where("_possible")
+    stay = possible.join(small(gone), met, "left_anti").select("_doc")
+    stay = marked.where("not _possible").select("_doc").unionByName(stay)
+    if not again.isEmpty():  # rows that repeat both id and text
+        stay = stay.unionByName(possible.join(small(again), met, "left_semi").dropDuplicates(["_sha"]).select("_doc"))
+    return stay.select("_doc.*")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from clausegraph.llm.common import load
-
     return exact_groups(load(spark, sf_dir, "documents"))
 
 

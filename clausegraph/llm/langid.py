@@ -7,8 +7,11 @@ log of the number of trigrams. The answer is the language with the largest propo
 
 Fitting: trigram counts of labelled documents, hashed into BUCKETS, so the model takes BUCKETS * 4
 bytes a language. SAMPLE_DOCS is the (expected) number of labelled documents a language is fitted
-on, chosen by a hash of the id; languages with fewer use all of theirs. The prior of a language is
-its share of all labelled documents.
+on, chosen by a hash of the id; languages with fewer use all of theirs. The model is fitted on the
+MOST_LANGUAGES labels that have the most documents, which bounds it to 52 MB; more labels than that
+are mostly wrong ones, and their documents get the likeliest of the others. The prior of a language
+is its share of the labelled documents fitted on. A document's set may be of any size: languages
+join it in the order of their proportions while the penalised likelihood rises.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0 and no languages; so is
 every text when there is no labelled document; null labels are not learned from; repeated rows get
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm.common import bucket_of, load, slices
 
-BUCKETS, SAMPLE_DOCS, PENALTY, SMOOTHING, ROUNDS, MOST_LANGUAGES = 1 << 16, 4000, 3.0, 0.1, 25, 400
+BUCKETS, SAMPLE_DOCS, PENALTY, SMOOTHING, ROUNDS, MOST_LANGUAGES = 1 << 16, 4000, 3.0, 0.1, 25, 200
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that can be part of a letter in UTF-8 keep their value; all others count as a space.
 _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -66,7 +69,7 @@ class Model:
         chosen, shares, value = [best], np.ones(1), alone[best]
         if full - value > cost:  # else no larger set can be worth its cost
             order = [best, *[k for k in np.argsort(-share).tolist() if k != best]]
-            for size in range(2, min(len(order), 8) + 1):
+            for size in range(2, len(order) + 1):
                 share, log_l = self._em(p[:, order[:size]], c, total)
                 if log_l - cost * (size - 1) <= value:
                     break
@@ -87,19 +90,17 @@ class Model:
         return share, float(c @ np.log(p @ share))
 
 
-def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
     """Fits on rows for which `labelled` holds and the label is not null."""
     known = docs.where(labelled & F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = known.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
     languages = sorted(r["l"] for r in sizes)
     total = sum(r["count"] for r in sizes)
     by = {r["l"]: r["count"] for r in sizes}
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, sample_docs / by[l]))])
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.lit(1 << 20) * share[F.col(lang_col)])
+    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.lit(1 << 20) * F.coalesce(share[F.col(lang_col)], F.lit(0.0)))
     index = {l: i for i, l in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +114,9 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), index[lang], np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    rows = chosen.select(F.col(lang_col), F.col(text_col).cast("string")).mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages * BUCKETS rows
+    rows = chosen.select(F.col(lang_col), F.col(text_col).cast("string")).mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * BUCKETS rows
     counts = np.zeros((len(languages), BUCKETS))
-    counts[rows["lang"].to_numpy(int), rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(float)
+    counts[rows["lang"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return Model(languages, counts, np.array([by[l] / total for l in languages]))
 
 

@@ -2,16 +2,25 @@
 
 Base statistics come from each whole text; a document that fails a base rule is out. The others get
 a vector of transformed statistics (FEATURES), and each language and source gets a minimum-covariance-
-determinant estimate of their centre and scatter: starting from coordinatewise medians and median
-deviations, each concentration step keeps the COVERAGE share of rows with the smallest distances
-and takes its mean and covariance. Steps are grouped aggregates over a narrow checkpointed table;
-the covariance's Cholesky factor and the distances are column expressions. A row is rejected where
-its squared Mahalanobis distance passes CUTOFF times the consistency factor (the median distance
-against that of a chi-squared variable).
-
-A group with fewer than LEAST_ROWS rows takes the estimate of its language, then of all rows; with
-fewer still nothing is rejected. Many statistics are exactly zero for most rows, so FLOORS bounds
-each one's variance from below (the square of what is taken as ordinary spread).
+determinant estimate of their centre and scatter:
+
+- Three starts, all about the coordinatewise medians: the squared median deviations alone, the
+  covariance of spatial signs, and that of squashed (tanh) standard scores.
+- A concentration step keeps the COVERAGE share of rows with the smallest distances and takes its
+  mean and covariance. After FIRST_STEPS steps each group goes on with the start of the smallest
+  determinant, until no group's determinant falls any more (MOST_STEPS steps at the most).
+- A row is rejected where its squared Mahalanobis distance, over the consistency factor (the median
+  distance against that of a chi-squared variable), passes the chi-squared quantile of 1 - TAIL.
+
+Many statistics are exactly zero for most rows, so the squares of FLOORS (what is taken as ordinary
+spread) are added to the variances, as in the regularised form of the estimate. Statistics of text
+have heavier tails than normal ones, so TAIL is small. Steps are grouped aggregates over a narrow
+checkpointed table; Cholesky factors and distances are column expressions. Quantiles come from
+histograms (a thirty-second of a floor for medians, 1/200 for distances), which tasks count first, so
+a group of any size meets as a few thousand rows and the results do not depend on partitions.
+
+A group with fewer than LEAST_ROWS rows, ten a statistic, takes the estimate of its language, then of
+all rows; with fewer still nothing is rejected.
 
 Windows of three words are compared by 64-bit hash inside one text.
 
@@ -22,15 +31,16 @@ repeated rows are judged each; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import itertools
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import BROADCAST_BYTES, cut, load
+from clausegraph.llm.common import BROADCAST_BYTES, cut, join_hot, load
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
-COVERAGE, STEPS, LEAST_ROWS, CUTOFF, ACCURACY = 0.75, 4, 200, 90.0, 2000
+COVERAGE, FIRST_STEPS, MOST_STEPS, LEAST_ROWS, TAIL, LEAST_FALL = 0.75, 2, 30, 60, 1e-15, 1e-3
 #: Name: (expression over the statistics, least standard deviation).
 FEATURES = {
     "word_length": ("ln(word_chars / n_words)", 0.05),
@@ -40,7 +50,20 @@ FEATURES = {
     "repeats": ("sqrt(n_repeat_words / n_words)", 0.06),
     "capitals": ("sqrt(n_capitals / word_chars)", 0.05),
 }
-P, MEDIAN_CHI2 = len(FEATURES), 5.348
+P, FLOORS = len(FEATURES), [f for _, f in FEATURES.values()]
+PAIRS = [(i, j) for i, j in itertools.product(range(P), repeat=2) if j <= i]
+PARAMS = [*[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i, j in PAIRS]]
+
+
+def chi2_quantile(tail: float, degrees: int = P) -> float:
+    """What a chi-squared variable of even degrees passes with the probability `tail`."""
+    half = degrees // 2
+    over = lambda x: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(half))
+    low, high = 0.0, 2000.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if over(middle) > tail else (low, middle)
+    return low
 
 
 def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -85,20 +108,19 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))).drop(*[f"y{i}" for i in range(P)])
 
 
-def _cholesky(groups: DataFrame) -> DataFrame:
-    """From means m{i} and covariances s{i}_{j}: the factor's columns. Variances have their floors, and pivots never fall under a hundredth of them."""
-    floors = [f for _, f in FEATURES.values()]
+def _cholesky(groups: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """From means m{i} and covariances s{i}_{j}: the factor's columns and log_det, that of the covariance with the squared floors added to its diagonal."""
     for j in range(P):
         for i in range(j, P):
             v = F.col(f"s{i}_{j}")
             for k in range(j):
                 v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             if i == j:
-                v = F.sqrt(F.greatest(v + F.lit(floors[i] ** 2), F.lit(floors[i] ** 2 / 100)))
+                v = F.sqrt(F.greatest(v + F.lit(FLOORS[i] ** 2), F.lit(FLOORS[i] ** 2 / 100)))  # the second against rounding alone
             else:
                 v = v / F.col(f"l{j}_{j}")
             groups = groups.withColumn(f"l{i}_{j}", v)
-    return groups.select("_g", *[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i in range(P) for j in range(i + 1)])
+    return groups.select(*keep, *PARAMS, sum((2 * F.log(F.col(f"l{i}_{i}")) for i in range(1, P)), 2 * F.log("l0_0")).alias("log_det"))
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -112,29 +134,80 @@ def _levels(rows: DataFrame) -> DataFrame:
     return joined.select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), group.alias("_g"))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(_g, means, factor, scale) by minimum covariance determinant over rows (_g, x0..)."""
-    med = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(ACCURACY))
-    middle = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), *[med(_x(i)).alias(f"m{i}") for i in range(P)])
-    middle = cut(middle)
-    groups = middle.count()
-    joined = rows.join(_small(middle.drop("n"), groups, 300), "_g")
-    spread = joined.groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.pow(med(F.abs(_x(i) - F.col(f"m{i}"))) * 1.4826, 2).alias(f"s{i}_{i}") for i in range(P)])
-    params = cut(_cholesky(spread.withColumns({f"s{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)})))
-    pairs = [(i, j) for i, j in itertools.product(range(P), repeat=2) if j <= i]
-    for _ in range(STEPS):
-        far = with_distance(rows.join(_small(params, groups, 300), "_g"))
-        near = far.groupBy("_g").agg(F.percentile_approx("d2", F.lit(COVERAGE), F.lit(ACCURACY)).alias("q"))
-        core = far.join(_small(near, groups, 64), "_g").where("d2 <= q")
-        dev = lambda i: _x(i) - F.col(f"m{i}")  # noqa: E731  about the last centre, which keeps the sums small
-        sums = core.groupBy("_g").agg(*[F.first(f"m{i}").alias(f"c{i}") for i in range(P)], *[F.avg(dev(i)).alias(f"d{i}") for i in range(P)], *[F.avg(dev(i) * dev(j)).alias(f"p{i}_{j}") for i, j in pairs])
-        params = cut(_cholesky(sums.select("_g", *[(F.col(f"c{i}") + F.col(f"d{i}")).alias(f"m{i}") for i in range(P)], *[(F.col(f"p{i}_{j}") - F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in pairs])))
-    far = with_distance(rows.join(_small(params, groups, 300), "_g"))
-    scale = far.groupBy("_g").agg(F.greatest(F.lit(1.0), med(F.col("d2")) / F.lit(MEDIAN_CHI2)).alias("scale"))
-    return cut(params.join(scale, "_g"))
+def _bin(d2: Column) -> Column:
+    """The bin of a distance, of 1/200 of its size."""
+    return F.floor(F.log(F.greatest(d2, F.lit(1e-12))) * 200)
+
+
+def _quantiles(binned: DataFrame, by: list[str], share: float) -> DataFrame:
+    """The first bin of each group of binned (by, bin) up to which `share` of its rows lie: by, q."""
+    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*by)
+    run = counts.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
+    return run.where(F.col("below") >= share * F.col("all")).groupBy(*by).agg(F.min("bin").alias("q"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """_g and q{i}, the median of each value to 1/32 of its floor."""
+    bins = F.array(*[F.round(v / F.lit(f / 32)).cast("long") for v, f in zip(values, FLOORS, strict=True)])
+    found = _quantiles(rows.select("_g", F.posexplode(bins).alias("i", "bin")), ["_g", "i"], 0.5)
+    return found.groupBy("_g").agg(*[F.max(F.when(F.col("i") == i, F.col("q") * F.lit(f / 32))).alias(f"q{i}") for i, f in enumerate(FLOORS)])
+
+
+def _joined(rows: DataFrame, params: DataFrame, sizes: DataFrame, groups: int, total: int) -> DataFrame:
+    """rows with their group's parameters: by broadcast if the groups are few enough, else with no group in one task."""
+    if groups * 300 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(params), "_g")
+    return join_hot(rows, params.join(sizes, "_g"), "_g", "_n", total)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(_g, means, factor, log_det, scale) by minimum covariance determinant over rows (_g, x0..)."""
+    sizes = cut(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
+    groups, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    place = lambda params: _joined(rows, params, sizes, groups, total)
+    middle = cut(_medians(rows, [_x(i) for i in range(P)]).select("_g", *[F.col(f"q{i}").alias(f"m{i}") for i in range(P)]))
+    spread = _medians(place(middle), [F.abs(_x(i) - F.col(f"m{i}")) for i in range(P)])
+    spread = cut(middle.join(spread.select("_g", *[F.sqrt(F.pow(F.col(f"q{i}") * 1.4826, 2) + FLOORS[i] ** 2).alias(f"w{i}") for i in range(P)]), "_g"))
+    z = place(spread).select("_g", *[((_x(i) - F.col(f"m{i}")) / F.col(f"w{i}")).alias(f"z{i}") for i in range(P)])
+    z = z.withColumn("r", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0"))), F.lit(1e-9)))
+    signs = {(i, j): F.col(f"z{i}") * F.col(f"z{j}") / F.col("r") / F.col("r") * P for i, j in PAIRS}
+    tanh = {(i, j): F.tanh(f"z{i}") * F.tanh(f"z{j}") for i, j in PAIRS}
+    shapes = z.groupBy("_g").agg(*[F.avg(v).alias(f"{k}{i}_{j}") for k, by in (("a", signs), ("b", tanh)) for (i, j), v in by.items()]).join(spread, "_g")
+    own = lambda k, i, j: (F.lit(float(i == j)) if k is None else F.col(f"{k}{i}_{j}")) * F.col(f"w{i}") * F.col(f"w{j}")
+    starts = F.array(*[F.struct(F.lit(n).alias("start"), *[own(k, i, j).alias(f"s{i}_{j}") for i, j in PAIRS]) for n, k in enumerate((None, "a", "b"))])
+    params = cut(_cholesky(shapes.select("_g", *[f"m{i}" for i in range(P)], F.inline(starts)), ("_g", "start")))
+    # A group's starts are columns of the same rows here, so that their minima are of one group.
+    steps = 0
+    while True:
+        far = with_distance(place(params)).withColumn("bin", _bin(F.col("d2")))
+        near = cut(_quantiles(far.select("_g", "start", "bin"), ["_g", "start"], COVERAGE).select(F.col("_g").alias("_ng"), F.col("start").alias("_ns"), "q"))
+        near = F.broadcast(near) if groups * 3 * 64 <= BROADCAST_BYTES else near
+        core = far.join(near, (F.col("_g") == F.col("_ng")) & (F.col("start") == F.col("_ns"))).where("bin <= q")
+        dev = lambda i: _x(i) - F.col(f"m{i}")  # noqa: E731  about the last centre, which keeps the sums small
+        sums = core.groupBy("_g", "start").agg(*[F.first(f"m{i}").alias(f"c{i}") for i in range(P)], *[F.avg(dev(i)).alias(f"d{i}") for i in range(P)], *[F.avg(dev(i) * dev(j)).alias(f"p{i}_{j}") for i, j in PAIRS])
+        new = cut(_cholesky(sums.select("_g", "start", *[(F.col(f"c{i}") + F.col(f"d{i}")).alias(f"m{i}") for i in range(P)], *[(F.col(f"p{i}_{j}") - F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]), ("_g", "start")))
+        steps += 1
+        if steps < FIRST_STEPS:
+            params = new
+        elif steps == FIRST_STEPS:  # the start of the smallest determinant
+            best = cut(new.groupBy("_g").agg(F.min_by(F.struct("start", *PARAMS, "log_det"), F.struct("log_det", "start")).alias("p")).select("_g", "p.*"))
+            params = best
+        else:
+            fell = new.join(best.select("_g", F.col("log_det").alias("_last")), "_g").where(F.col("log_det") < F.col("_last") - LEAST_FALL).drop("_last")
+            params = cut(fell)
+            if params.isEmpty():
+                break
+            best = cut(best.join(params.select("_g"), "_g", "left_anti").unionByName(params))
+            if steps >= MOST_STEPS:
+                break
+    best = best.drop("start")
+    median = _quantiles(with_distance(place(best)).select("_g", _bin(F.col("d2")).alias("bin")), ["_g"], 0.5)
+    scale = median.select("_g", F.greatest(F.lit(1.0), F.exp((F.col("q") + 0.5) / 200) / F.lit(chi2_quantile(0.5))).alias("scale"))
+    return cut(best.join(scale, "_g"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, and distance (squared, over its scale; null where not judged)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -144,10 +217,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     levels = cut(_levels(judged))
     levels = _small(levels, levels.count(), 96)
     placed = lambda rows: rows.join(levels, F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left").drop("_gl", "_gs")
-    params = estimates(placed(judged).where("_g is not null").select("_g", *[f"x{i}" for i in range(P)]))
-    rows = with_distance(placed(stats).join(_small(params, params.count(), 300), "_g", "left"))
+    grouped = cut(placed(stats))
+    params = estimates(grouped.where("not base_failed and _g is not null").select("_g", *[f"x{i}" for i in range(P)])).drop("log_det")
+    rows = grouped.join(_small(params, params.count(), 300), "_g", "left")
+    rows = with_distance(rows)
     far = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(far, F.lit(0.0)) <= cutoff)).alias("kept"), far.alias("distance"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(far, F.lit(0.0)) <= chi2_quantile(tail))).alias("kept"), far.alias("distance"))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -12,13 +12,14 @@ start (4), a half (2) and a third (3) is a key of 29 or 30 bits, and two linked
 one of their 24 keys. Rows meet by key; there the chain's budgets prune candidates, and the full
 Hamming check comes last.
 
-Hot keys. A histogram over at most BINS coarse bins of the keys (a proven bound, broadcast) shows
-where many fingerprints meet. Such keys are cut into blocks, and each pair of blocks is a group of
-its own, so a group's size is bounded. A group emits a spanning forest of its links, never all
-pairs.
+Hot keys. A histogram over bins of the keys, of which there are enough for BIN_ROWS keys a bin, shows
+where many fingerprints meet. The keys of a bin with more than GROUP_ROWS are cut into blocks, and
+each pair of blocks is a group of its own, so no group is larger than about GROUP_ROWS at any size of
+the table. A group emits a spanning forest of its links, never all pairs.
 
 Components come from alternating large-star and small-star rounds on the forests' edges, with a
-checkpoint each round; nothing is collected.
+checkpoint each round; nothing is collected. Vertices with very many edges meet their minima by
+broadcast (there are few of them), so that no hub meets in one task.
 
 Defined cases: a null or empty text has no word and fingerprint zero, linked like any other; rows
 with a null doc_id get a component as any other, but never name it unless no other does; repeated
@@ -34,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import BROADCAST_BYTES, cut, load, slices
+from clausegraph.llm.common import BROADCAST_BYTES, HOT_ROWS, cut, join_hot, load, slices
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-BINS, GROUP_ROWS, HOT_SHARE, HOT_ROWS = 1 << 16, 20_000, 1 / 1000, 5_000
+LEAST_BINS, BIN_ROWS, GROUP_ROWS = 1 << 12, 1000, 20_000
 #: (shift, bits) of the halves of a segment, and of its thirds.
 HALVES, THIRDS = ((8, 8), (0, 8)), ((11, 5), (6, 5), (0, 6))
+N_KEYS = 4 * len(HALVES) * len(THIRDS)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -63,14 +65,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """doc_id, fp: the fingerprint as a signed long, hash: XXH64 of the text, which tells rows apart that repeat an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(1)], ["doc_id", "fp", "hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "doc_id long, fp long, hash long")
 
 
 def chain_keys(fp: F.Column) -> list:
@@ -134,16 +137,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b) edges whose components are those of all links between the distinct fingerprints of column fp."""
     if distance > DISTANCE:
         raise ValueError("the chain keys are complete up to 3 differing bits")
-    spark = distinct.sparkSession
-    keyed = distinct.select("fp", F.explode(F.array(*chain_keys(F.col("fp")))).alias("key")).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(BINS)))
-    bins = keyed.groupBy("bin").count()
-    mean = distinct.count() * 24 / BINS
-    hot = bins.where(F.col("count") > max(GROUP_ROWS, 4 * mean)).select("bin", F.ceil(F.col("count") / (max(GROUP_ROWS, 4 * mean) / 2)).cast("int").alias("blocks"))
-    spread = keyed.join(F.broadcast(hot), "bin", "left")  # at most BINS rows
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bins = 1 << max(LEAST_BINS.bit_length() - 1, (distinct.count() * N_KEYS // BIN_ROWS).bit_length())
+    bin_of = F.xxhash64("key").bitwiseAND(F.lit(n_bins - 1))
+    keyed = distinct.repartition(n, "fp").select("fp", F.explode(F.array(*chain_keys(F.col("fp")))).alias("key")).withColumn("bin", bin_of)
+    hot = cut(keyed.groupBy("bin").count().where(F.col("count") > GROUP_ROWS).select(F.col("bin").alias("_bin"), F.ceil(F.col("count") / (GROUP_ROWS // 2)).cast("int").alias("blocks")))
+    hot = F.broadcast(hot) if hot.count() * 32 <= BROADCAST_BYTES else hot
+    spread = keyed.join(hot, F.col("bin") == F.col("_bin"), "left")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.least(t, mine) * F.col("blocks") + F.greatest(t, mine))
     spread = spread.select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = spread.repartition(n, "key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,43 +182,63 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        """Adds m, the least b of each a."""
+        low = cut(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")))
+        largest = low.agg(F.max("_n")).first()[0] or 0
+        return join_hot(pairs, low, "a", "_n", pairs.count()) if largest >= HOT_ROWS else pairs.join(low.drop("_n"), "a")
+
     for _ in range(most_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
         state = now
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.a", "e.b")
+        both = with_least(edges.union(edges.select("b", "a")))
+        large = cut(both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct())
+        small = with_least(large).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = cut(small.where("a <> b").distinct())
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def _groups(fps: DataFrame, distance: int) -> DataFrame:
+    """fp, n and the least row (doc_id, hash) of its component, in which rows without an id come last, for each fingerprint of fps (doc_id, fp, hash)."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    distinct = cut(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")))
+    members = cut(components(links(distinct.select("fp"), distance)))
+    owned = distinct.join(members.withColumnRenamed("v", "fp"), "fp").select("fp", "root", "first")
+    least = cut(owned.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("_n")))
+    named = join_hot(owned.select("fp", "root"), least, "root", "_n", owned.count()).select("fp", "least")
+    return cut(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least")))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed long), component_id."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    members = components(links(distinct.select("fp"), distance))
-    owned = distinct.join(members.withColumnRenamed("v", "fp"), "fp")
-    least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.withColumnRenamed("v", "fp").join(least, "root").select("fp", "component_id")
-    table = cut(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
-    total = fps.count()
-    hot = table.where(F.col("n") >= max(HOT_ROWS, int(total * HOT_SHARE))).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is"))  # at most 1 / HOT_SHARE rows
-    spread = fps.join(F.broadcast(hot), "fp", "left")
-    cold = spread.where("_is is null").select("doc_id", "fp").join(table.select("fp", "component_id"), "fp")
-    return spread.where("_is").select("doc_id", "fp", F.col("_hot").alias("component_id")).unionByName(cold.select("doc_id", "fp", "component_id"))
+    table = _groups(fps, distance).select("fp", "n", F.col("least.doc_id").alias("component_id"))
+    return join_hot(fps.select("doc_id", "fp"), table, "fp", "n", fps.count())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the document with the smallest id. Rows without an id stay; rows that repeat an id stay or go together."""
-    gone = cut(near_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    small = gone.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs that stay: of each group one row, that with the smallest id.
+
+    Rows without an id come last. Of rows that repeat the id, the text decides by its hash, and of
+    rows that repeat both one stays; rows that are near nothing stay whatever their ids.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col))
+    each = join_hot(fps, _groups(fps, DISTANCE), "fp", "n", fps.count())
+    each = each.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("hash") == F.col("least.hash")))
+    rows = cut(each.groupBy(F.col("doc_id").alias("_gone"), F.col("hash").alias("_gone_hash")).agg(F.max("stays").alias("_stays"), F.count(F.lit(1)).alias("_times")))
+    gone, again = rows.where("not _stays or _times > 1"), rows.where("_stays and _times > 1")
+    small = lambda t: F.broadcast(t) if t.count() * 32 <= BROADCAST_BYTES else t
+    doc = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    met = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash"))
+    stay = doc.join(small(gone), met, "left_anti").select("_doc")
+    if not again.isEmpty():
+        stay = stay.unionByName(doc.join(small(again), met, "left_semi").dropDuplicates(["_id", "_hash"]).select("_doc"))
+    return stay.select("_doc.*")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

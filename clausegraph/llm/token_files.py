@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import cut, load, new_folder, slices
+from clausegraph.llm.common import cut, file_system, load, new_folder, slices
 from clausegraph.llm.encode import default_path, encoder
 
 MAGIC, BLOCK_IDS, END_ID, ROWS_A_SHARD, MOST_FILES = b"TIDB1\n", 1 << 16, 2, 8192, 50_000
@@ -56,16 +56,10 @@ def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(wide, axis=1).view(">u4").reshape(-1).astype("<u4")
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 class Writer:
     def __init__(self, path: str, bits: int):
         self.path, self.bits = path, bits
-        self.fs, self.inner = _open(path)
+        self.fs, self.inner = file_system(path)
         self.temp = f"{self.inner}.{uuid.uuid4().hex}.tmp"
         self.out = self.fs.open_output_stream(self.temp)
         self.out.write(MAGIC)
@@ -106,7 +100,7 @@ class Reader:
     """Reads whole files block by block, or single documents by range reads."""
 
     def __init__(self, path: str):
-        system, inner = _open(path)
+        system, inner = file_system(path)
         self.file = system.open_input_file(inner)
         size = self.file.size()
         tail = self.file.read_at(8 + len(MAGIC), size - 8 - len(MAGIC))

@@ -8,15 +8,18 @@ Index: one line a record, keyed by the url with its host reversed. Lines are sor
 files and cut into compressed blocks of BLOCK_LINES; each index file has a directory beside it with
 the first key of each block, and one list has the first key of each index file. A lookup searches
 the list, then one directory, both by bisection, and range-reads the blocks that can hold the key;
-the lines give the ranges of the records. Reading everything back goes the same way: blocks by
-range, then records by range, in the order of their places.
+the lines give the ranges of the records. Reading many keys back goes the same way in tasks: the
+keys, in order, find their blocks by bisection of the list and the directories; each block is range-
+read once, its lines are bisected for the keys asked of it, and the records are range-read in the
+order of their places. A key with many records has many blocks, which meet in different tasks.
 
 The html never shuffles: only (page_id, digest) does. The table of repeated payloads is broadcast if
 its counted size is within bounds; else pages join it by shuffle.
 
 Defined cases: a null html is an empty payload; a null url has the key "-" and no target header; a
 null page_id stays null and never is what others refer to; rows that repeat a page_id and its
-payload are the same capture and all of one type; an empty table writes nothing and reads nothing.
+payload are the same capture and all of one type; an empty table writes nothing and reads nothing;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import BROADCAST_BYTES, cut, load, new_folder, slices
+from clausegraph.llm.common import BROADCAST_BYTES, cut, file_system, load, new_folder, slices
 
 BLOCK_LINES, INDEX_ROWS, LEVEL = 3000, 200_000, 4
 DATE, STAMP = "2024-01-01T00:00:00Z", "20240101000000"
@@ -108,17 +111,11 @@ def read_record(member: bytes) -> dict:
     return out | {"payload": payload}
 
 
-def _fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 class _File:
     """A file under another name until it is complete."""
 
     def __init__(self, path: str):
-        self.fs, self.inner = _fs(path)
+        self.fs, self.inner = file_system(path)
         self.temp = f"{self.inner}.{uuid.uuid4().hex}.tmp"
         self.out, self.at = self.fs.open_output_stream(self.temp), 0
 
@@ -214,13 +211,13 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
 
 
 def _range(path: str, at: int, size: int) -> bytes:
-    system, inner = _fs(path)
+    system, inner = file_system(path)
     with system.open_input_file(inner) as f:
         return f.read_at(size, at)
 
 
 def _whole(path: str) -> list[list[str]]:
-    system, inner = _fs(path)
+    system, inner = file_system(path)
     with system.open_input_file(inner) as f:
         return [line.split(" ") for line in f.read().decode().splitlines()]
 
@@ -247,16 +244,51 @@ def lookup(index_folder: str, url: str | None) -> list[dict]:
     return found
 
 
-def read_index(blocks: DataFrame) -> DataFrame:
-    """The index's lines, by range reads of its blocks: path, at, size."""
+def find_blocks(keys: DataFrame, index_folder: str) -> DataFrame:
+    """The blocks that can hold each key of `keys` (column key), by bisection of the list and of directories: key, path, at, size. A task holds the list and one directory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = [x.split(" ", 7)[5:] for x in zlib.decompress(_range(path, at, size), 31).decode().splitlines()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in lines]), pa.array([int(x[0]) for x in lines]), pa.array([int(x[1]) for x in lines])], ["path", "at", "size"])
+        files, held, firsts, path = None, [], [], None
+        for batch in slices(batches):
+            files = files if files is not None else _whole(f"{index_folder}/files.list")
+            firsts = firsts or [x[0] for x in files]
+            out: tuple[list, ...] = ([], [], [], [])
+            for key in batch.column(0).to_pylist():
+                for f in _may_hold(firsts, key):
+                    if files[f][1] != path:
+                        path = files[f][1]
+                        directory = _whole(path.removesuffix(".cdx.gz") + ".dir")
+                        held = [x[0] for x in directory]
+                    for b in _may_hold(held, key):
+                        for column, value in zip(out, (key, path, int(directory[b][1]), int(directory[b][2])), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "path", "at", "size"])
+
+    files = max(1, -(-keys.count() // INDEX_ROWS))
+    return keys.select("key").repartitionByRange(files, "key").sortWithinPartitions("key").mapInArrow(run, "key string, path string, at long, size long")
+
+
+def look_up(keys: DataFrame, index_folder: str) -> DataFrame:
+    """The places (path, at, size) of the records of the distinct keys of `keys` (column key), through the index's files alone."""
 
-    return blocks.select("path", "at", "size").repartition(max(1, min(blocks.count(), 100_000)), "path", "at").mapInArrow(run, "path string, at long, size long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lines = None, []
+        for batch in slices(batches, 4096):
+            out: tuple[list, ...] = ([], [], [])
+            for key, *here in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != place:
+                    place, lines = here, zlib.decompress(_range(*here), 31).decode().splitlines()
+                for i in range(bisect.bisect_left(lines, key + " "), len(lines)):
+                    if not lines[i].startswith(key + " "):
+                        break
+                    _, _, _, _, _, at, size, path = lines[i].split(" ", 7)
+                    for column, value in zip(out, (path, int(at), int(size)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "at", "size"])
+
+    found = cut(find_blocks(keys, index_folder))
+    tasks = max(1, min(found.select("path", "at").distinct().count(), 100_000))
+    return found.repartition(tasks, "path", "at").sortWithinPartitions("path", "at", "key").mapInArrow(run, "path string, at long, size long")
 
 
 def read_archives(lines: DataFrame, files: int, with_payload: bool = False) -> DataFrame:
@@ -273,7 +305,7 @@ def read_archives(lines: DataFrame, files: int, with_payload: bool = False) -> D
                     if f is not None:
                         f.close()
                     path = where
-                    system, inner = _fs(path)
+                    system, inner = file_system(path)
                     f = system.open_input_file(inner)
                 r = read_record(f.read_at(size, at))
                 rows.append((r["page_id"], r["payload_bytes"], r["payload_digest"], r["type"], r["refers_to"], r["payload"])[: 5 + with_payload])
@@ -288,5 +320,5 @@ def read_archives(lines: DataFrame, files: int, with_payload: bool = False) -> D
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     entries = write_archives(load(spark, sf_dir, "pages"), folder)
-    blocks = write_index(entries, folder)
-    return read_archives(read_index(blocks), entries.select("path").distinct().count())
+    write_index(entries, folder)
+    return read_archives(look_up(entries.select("key").distinct(), folder), entries.select("path").distinct().count())
