@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The stages but the
 last return the columns of documents; packing returns its pieces. run() writes each stage's rows
 below the folder in spark.checkpoint.dir and reads them again, so a lost executor costs one stage.
+
+Defined cases: a text that is null, empty or without a letter has no language, so the first stage
+drops it. Later stages, which take any table, count a null text as empty. Of rows that repeat id and
+text one passes exact dedup; rows that repeat an id alone, or have none, are documents of their own.
+A null source is a source. An empty table gives empty results with the same columns; other columns,
+whatever their names, are carried to the mixing stage and not read. Near copies are linked by the
+fingerprints' rule (three-word shingles, three bits).
 """
 
 from __future__ import annotations
@@ -24,12 +31,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, the document with the smallest id."""
+    """Of each group of linked fingerprints, the document with the smallest id."""
     return simhash.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget has it; none is left out."""
+    """Each document as often as its source's budget has it, in the order of the copies' places; none is left out."""
     return mixing.mix(docs, whole=True)
 
 
