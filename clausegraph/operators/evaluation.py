@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Z = 1.959964
+# Fixed value: the normal quantile of the intervals.
+Z = 1.96
 
 
 def recall_at(ranked: Column, gold: Column, k: int) -> Column:
@@ -36,6 +37,13 @@ def pool(runs: DataFrame, gold: DataFrame, depth: int = 5) -> DataFrame:
     return rows.groupBy("qid", "doc").agg(F.max("is_gold").alias("is_gold"), F.array_join(F.array_sort(F.collect_set("config")), ",").alias("configs"))
 
 
+def new_positives(pooled: DataFrame, judged: DataFrame) -> DataFrame:
+    """(config, relevant, partial): pooled documents beyond the gold that are judged so, by the configurations that surfaced them. judged: qid, doc, label."""
+    rows = pooled.where("not is_gold").join(judged.where(F.col("label").isin("RELEVANT", "PARTIAL")), ["qid", "doc"])
+    rows = rows.select(F.explode(F.split("configs", ",")).alias("config"), "label")
+    return rows.groupBy("config").agg(F.count_if(F.col("label") == "RELEVANT").alias("relevant"), F.count_if(F.col("label") == "PARTIAL").alias("partial"))
+
+
 def wilson(p: Column, n: Column, z: float = Z) -> Column:
     """struct(low, high) of the Wilson score interval."""
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
@@ -58,7 +66,7 @@ def fleiss(ratings: DataFrame) -> DataFrame:
     counts = label_counts(ratings).withColumn("n", F.sum("c").over(Window.partitionBy("item"))).where("n >= 2")
     observed = counts.groupBy("item").agg(((F.sum(F.col("c") * F.col("c")) - F.first("n")) / (F.first("n") * (F.first("n") - 1))).alias("p")).agg(F.avg("p").alias("po"))
     shares = counts.groupBy("label").agg(F.sum("c").alias("c")).agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("pe"))
-    return observed.crossJoin(shares).select(F.round(F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))).otherwise(1.0), 6).alias("kappa"))  # one row each
+    return observed.crossJoin(shares).select(F.round(F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))).when(F.col("pe").isNotNull(), 1.0), 6).alias("kappa"))  # one row each; null without items
 
 
 def krippendorff(ratings: DataFrame) -> DataFrame:
@@ -66,22 +74,23 @@ def krippendorff(ratings: DataFrame) -> DataFrame:
     counts = label_counts(ratings).withColumn("n", F.sum("c").over(Window.partitionBy("item"))).where("n >= 2")
     off = counts.agg(F.sum(F.col("c") * (F.col("n") - F.col("c")) / (F.col("n") - 1)).alias("d"), F.sum("c").alias("t"))
     shares = counts.groupBy("label").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("s"))
-    return off.crossJoin(shares).select(F.round(1 - (F.col("d") / F.col("t")) / ((F.col("t") * F.col("t") - F.col("s")) / (F.col("t") * (F.col("t") - 1))), 6).alias("alpha"))  # one row each
+    apart = F.col("t") * F.col("t") - F.col("s")  # 0 where all labels agree
+    alpha = F.when(apart == 0, 1.0).otherwise(1 - F.try_divide(F.col("d") * (F.col("t") - 1), apart))
+    return off.crossJoin(shares).select(F.round(alpha, 6).alias("alpha"))  # one row each; null without items
 
 
 def pairwise_cohen(ratings: DataFrame) -> DataFrame:
-    """(r1, r2, items, kappa, pabak) for raters r1 < r2 over the items that both rated."""
+    """(r1, r2, items, kappa, pabak) for raters r1 < r2 over the items that both rated; pabak is for the number of labels in all ratings, null for one."""
     a = ratings.select("item", F.col("rater").alias("r1"), F.col("label").alias("l1"))
     b = ratings.select("item", F.col("rater").alias("r2"), F.col("label").alias("l2"))
     cells = a.join(b, "item").where("r1 < r2").groupBy("r1", "r2", "l1", "l2").agg(F.count(F.lit(1)).alias("c"))
-    pair = Window.partitionBy("r1", "r2")
     total = cells.groupBy("r1", "r2").agg(F.sum("c").alias("items"), F.sum(F.when(F.col("l1") == F.col("l2"), F.col("c")).otherwise(0)).alias("same"))
     left = cells.groupBy("r1", "r2", F.col("l1").alias("l")).agg(F.sum("c").alias("x"))
     right = cells.groupBy("r1", "r2", F.col("l2").alias("l")).agg(F.sum("c").alias("y"))
     chance = left.join(right, ["r1", "r2", "l"]).groupBy("r1", "r2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
     po, pe = F.col("same") / F.col("items"), F.coalesce("xy", F.lit(0)) / (F.col("items") * F.col("items"))
-    del pair
-    return total.join(chance, ["r1", "r2"], "left").select("r1", "r2", "items", F.round(F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0), 6).alias("kappa"), F.round(2 * po - 1, 6).alias("pabak"))
+    labels = ratings.agg(F.countDistinct("label").alias("k"))  # one row
+    return total.join(chance, ["r1", "r2"], "left").crossJoin(F.broadcast(labels)).select("r1", "r2", "items", F.round(F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0), 6).alias("kappa"), F.round(F.try_divide(F.col("k") * po - 1, F.col("k") - 1), 6).alias("pabak"))
 
 
 def needs_adjudication(ratings: DataFrame, keep: str) -> DataFrame:
@@ -133,7 +142,37 @@ def inherited(own: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def subsets(sets: DataFrame) -> DataFrame:
-    """Names of sets (folder, name, items) that are strict subsets of another in their folder."""
-    a, b = sets.alias("a"), sets.alias("b")
-    within = (F.size(F.array_except("a.items", "b.items")) == 0) & (F.size("a.items") < F.size("b.items"))
-    return a.join(b, (F.col("a.folder") == F.col("b.folder")) & (F.col("a.name") != F.col("b.name"))).where(within).select("a.folder", "a.name").distinct()
+    """Names of sets (folder, name, items) that are strict subsets of another in their folder.
+
+    Only distinct sets are compared, and a set only with those that hold its rarest item of the folder.
+    """
+    named = sets.select("folder", "name", F.array_sort(F.array_distinct("items")).alias("items"))
+    distinct = named.groupBy("folder", "items").agg(F.count(F.lit(1)).alias("_"))
+    each = distinct.select("folder", "items", F.explode("items").alias("item"))
+    rare = each.groupBy("folder", "item").agg(F.count(F.lit(1)).alias("df"))
+    key = each.join(rare, ["folder", "item"]).groupBy("folder", "items").agg(F.min_by("item", F.struct("df", "item")).alias("item"))
+    larger = each.select("folder", "item", F.col("items").alias("other"))
+    within = key.join(larger, ["folder", "item"]).where((F.size("items") < F.size("other")) & (F.size(F.array_except("items", "other")) == 0)).select("folder", "items").distinct()
+    some = named.where(F.size("items") > 0).join(within, ["folder", "items"], "left_semi")
+    none = named.where(F.size("items") == 0).join(each.select("folder").distinct(), "folder", "left_semi")
+    return some.unionByName(none).select("folder", "name").distinct()
+
+
+def at_ranks(rows: DataFrame, by: str, value: str, ranks: dict, bands: int = 1000) -> DataFrame:
+    """(by, one column a rank): the value at each rank (from 0, a function of the group's size) of a group's sorted values.
+
+    Values fall into `bands` equal bands between the group's ends, counted first in tasks; only the band
+    that holds a rank is ordered, so a group of any size never meets in one task unless its values do.
+    """
+    ends = rows.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n"))
+    band = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(bands - 1), F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * bands))).otherwise(0)
+    placed = rows.where(F.col(value).isNotNull()).join(ends, by).withColumn("_band", band)
+    counts = placed.groupBy(by, "_band").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    run = Window.partitionBy(by).orderBy("_band")
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).alias("rank")) for name, rank in ranks.items()]))
+    counts = counts.withColumn("_to", F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c")).select(by, "_band", "_from", "_to", asked.alias("_a"))
+    held = counts.where((F.col("_a.rank") >= F.col("_from")) & (F.col("_a.rank") < F.col("_to"))).select(by, "_band", "_from", "_a.name", "_a.rank")
+    near = placed.select(by, "_band", value).join(held.select(by, "_band").distinct(), [by, "_band"], "left_semi").groupBy(by, "_band", value).agg(F.count(F.lit(1)).alias("_c"))
+    near = near.withColumn("_upto", F.sum("_c").over(Window.partitionBy(by, "_band").orderBy(value)))
+    found = near.join(held, [by, "_band"]).where(F.col("_from") + F.col("_upto") > F.col("rank")).groupBy(by, "name").agg(F.min(value).alias("v"))
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])

@@ -71,14 +71,24 @@ def siblings(seeds: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("seed", "chunk_id", "rank")
 
 
-def hops(seeds: DataFrame, refs: DataFrame, chunks: DataFrame, a_seed: int = 50, most: int = 40) -> DataFrame:
-    """Targets within two citations of the seeds (seed, ord), never by one citation twice, with the
-    fewest hops each; at most `a_seed` a seed, dealt round-robin, at most `most` in all."""
+# Fixed value: the least content of a clause that a hop may reach.
+HOP_LEAST_CHARS = 100
+
+
+def hops(seeds: DataFrame, refs: DataFrame, chunks: DataFrame, a_seed: int = 50, most: int = 40, by: str | None = None) -> DataFrame:
+    """Targets within two citations of the seeds (seed, ord), never by one citation twice, of another
+    specification and with content of HOP_LEAST_CHARS or more, with the fewest hops each; at most `a_seed` a seed, dealt round-robin, at most `most` in all, or for each value of
+    the seeds' column `by`."""
+    if by is None:
+        return hops(seeds.withColumn("_all", F.lit(0)), refs, chunks, a_seed, most, "_all").drop("_all")
     one = seeds.join(refs.select(F.col("src").alias("seed"), F.col("dst").alias("target")), "seed").withColumn("hops", F.lit(1))
-    two = one.join(refs.select(F.col("src").alias("target"), F.col("dst").alias("next")), "target").where("not (seed = target and target = next)").select("seed", "ord", F.col("next").alias("target"), F.lit(2).alias("hops"))
-    found = one.select("seed", "ord", "target", "hops").unionByName(two).where("seed <> target").groupBy("seed", "ord", "target").agg(F.min("hops").alias("hops"))
-    found = found.join(chunks.select(F.col("chunk_id").alias("target")), "target", "left_semi")
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("hops", "target"))).where(F.col("n") <= a_seed)
-    best = found.withColumn("first", F.row_number().over(Window.partitionBy("target").orderBy("hops", "n", "ord"))).where("first = 1")
-    best = best.withColumn("turn", F.row_number().over(Window.partitionBy("seed").orderBy("hops", "target")))
-    return best.orderBy("turn", "ord").limit(most).select("seed", "target", "hops", "turn")
+    two = one.join(refs.select(F.col("src").alias("target"), F.col("dst").alias("next")), "target").where("not (seed = target and target = next)").select(by, "seed", "ord", F.col("next").alias("target"), F.lit(2).alias("hops"))
+    found = one.select(by, "seed", "ord", "target", "hops").unionByName(two).where("seed <> target").groupBy(by, "seed", "ord", "target").agg(F.min("hops").alias("hops"))
+    found = found.join(chunks.select(F.col("chunk_id").alias("seed"), F.col("spec_id").alias("own")), "seed")
+    far = chunks.where(F.length("content") >= HOP_LEAST_CHARS).select(F.col("chunk_id").alias("target"), F.col("spec_id").alias("other"))
+    found = found.join(far, "target").where("own <> other").select(by, "seed", "ord", "target", "hops")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy(by, "seed").orderBy("hops", "target"))).where(F.col("n") <= a_seed)
+    best = found.withColumn("first", F.row_number().over(Window.partitionBy(by, "target").orderBy("hops", "n", "ord"))).where("first = 1")
+    best = best.withColumn("turn", F.row_number().over(Window.partitionBy(by, "seed").orderBy("hops", "target")))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("turn", "ord", "target")))
+    return best.where(F.col("place") <= most).select(by, "seed", "target", "hops", "turn")

@@ -158,9 +158,13 @@ def citation_keys(refs: DataFrame) -> DataFrame:
     return refs.select("src", "dst", F.substring(F.md5(F.concat_ws("_", F.col("src"), F.col("dst"), F.col("ref_type")).cast("binary")), 1, 10).alias("ref_uid"))
 
 
+# Fixed value: the least confidence of an external citation.
+EXTERNAL_CONFIDENCE = 0.7
+
+
 def known_targets(g: Graph) -> DataFrame:
-    """External clause citations whose target is loaded; the others drop out."""
-    return g.refs.where("is_external and ref_type = 'clause'").join(g.chunks.select(F.col("chunk_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """External clause citations of enough confidence whose target is loaded; the others drop out."""
+    return g.refs.where(F.col("is_external") & (F.col("ref_type") == "clause") & (F.col("confidence") >= EXTERNAL_CONFIDENCE)).join(g.chunks.select(F.col("chunk_id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def missing_targets(g: Graph) -> DataFrame:

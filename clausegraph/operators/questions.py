@@ -142,20 +142,47 @@ def scope_warnings(questions: DataFrame, terms: DataFrame, operations: DataFrame
 ROLES = {"main": 1.0, "op_def": 0.8, "ref": 0.6}
 
 
-def root_headings(questions: DataFrame, headings: DataFrame, least: float = 0.75) -> DataFrame:
-    """(qid, chunk_id, coverage): for each question the heading (chunk_id, title, size) that names its procedure.
+def content_words(c: Column) -> Column:
+    """The words of a text in order, stemmed and without stop words.
 
-    Three quarters of a title's words (stemmed, without stop words) stand in the question; then near
-    complete coverage (0.9) counts, then two words or more, then the larger subtree, then the id.
+    A word in capitals counts even where it spells a stop word, the plural of one is the one, and "to"
+    and "from" stay, so that their order can be told.
     """
-    stop = F.array(*map(F.lit, T.MATCH_STOP))
-    words = lambda c: F.array_distinct(F.transform(F.array_except(T.tokens(c), stop), T.stem))
-    h = headings.select("chunk_id", F.col("size").alias("subtree"), words(F.col("title")).alias("hw")).where(F.size("hw") >= 2)
-    q = questions.select("qid", F.explode(words(F.col("question"))).alias("w"))
-    hits = q.join(h.select("chunk_id", "subtree", F.size("hw").alias("n"), F.explode("hw").alias("w")), "w").groupBy("qid", "chunk_id", "subtree", "n").agg(F.count(F.lit(1)).alias("hit"))
-    covered = hits.withColumn("coverage", F.round(F.col("hit") / F.col("n"), 6)).where(F.col("coverage") >= least)
-    best = Window.partitionBy("qid").orderBy((F.col("coverage") >= 0.9).desc(), (F.col("hit") >= 2).desc(), F.desc("subtree"), "chunk_id")
-    return covered.withColumn("k", F.row_number().over(best)).where("k = 1").select("qid", "chunk_id", "coverage")
+    raw = F.filter(F.split(F.coalesce(c, F.lit("")), r"[^A-Za-z0-9']+"), lambda w: w != "")
+    plural = lambda w: (F.length(w) >= 3) & w.rlike(r"^[A-Z0-9]*[A-Z][A-Z0-9]*s$")
+    low = lambda w: F.when(plural(w), F.lower(F.regexp_replace(w, "s$", ""))).otherwise(F.lower(w))
+    capital = lambda w: (F.length(w) >= 2) & (F.upper(w) == w) & w.rlike("[A-Z]")
+    never = lambda w: F.lower(w).isin(*T.TITLE_JOINTS)
+    kept = F.filter(raw, lambda w: ~never(w) & (capital(w) | low(w).isin("to", "from") | ~low(w).isin(*T.MATCH_STOP)))
+    return F.transform(kept, lambda w: T.stem(low(w)))
+
+
+def _in_order(title: Column, question: Column) -> Column:
+    """Whether the title's words stand in the question in their order, each after the one before."""
+    step = lambda at, w: F.when(at < 0, at).otherwise(F.when(F.array_position(F.slice(question, at + 1, F.greatest(F.size(question) - at, F.lit(0))), w) > 0, at + F.array_position(F.slice(question, at + 1, F.greatest(F.size(question) - at, F.lit(0))), w).cast("int")).otherwise(-1))
+    return F.aggregate(title, F.lit(0), step) >= 0
+
+
+def root_headings(questions: DataFrame, headings: DataFrame, least: float = 0.75, before: int = 12) -> DataFrame:
+    """(qid, chunk_id, coverage): for each question the heading (chunk_id, spec_id, title, size) that names its procedure.
+
+    Only headings of the first specification that the question cites are asked. The last `before` words
+    in front of that citation come first; only where they name no heading, the whole question does. A
+    heading qualifies if three quarters of its words stand there, and in its order where it has "to" or
+    "from"; one of a single word only against few words. Then near complete coverage (0.9) counts, then
+    two words or more, then the larger subtree, then the id. A question that cites none has no root.
+    """
+    cited = r"(?s)^(.*?)\bT[SR]\s*(\d{2})\.(\d{3}(?:-\d+)?)"
+    q = questions.where(F.col("question").rlike(cited)).select("qid", F.concat_ws("_", F.lit("ts"), F.regexp_extract("question", cited, 2), F.regexp_extract("question", cited, 3)).alias("spec_id"), content_words(F.regexp_extract("question", cited, 1)).alias("front"), content_words(F.col("question")).alias("all"))
+    front = F.slice("front", F.greatest(F.size("front") - before + 1, F.lit(1)), before)
+    asked = q.select("qid", "spec_id", F.explode(F.array(F.struct(F.lit(1).alias("pass"), front.alias("qw")), F.struct(F.lit(2).alias("pass"), F.col("all").alias("qw")))).alias("p")).select("qid", "spec_id", "p.pass", "p.qw")
+    h = headings.select("chunk_id", F.col("spec_id").cast("string").alias("spec_id"), F.col("size").alias("subtree"), content_words(F.col("title")).alias("tw"))
+    met = asked.join(h, "spec_id").withColumn("own", F.array_distinct("tw")).withColumn("hit", F.size(F.array_intersect("own", "qw")))
+    short = (F.size("own") >= 2) | ((F.size("tw") == 1) & (F.size("qw") <= before))
+    directed = F.arrays_overlap("tw", F.array(F.lit("to"), F.lit("from")))
+    fits = met.where((F.col("hit") > 0) & short).withColumn("coverage", F.round(F.col("hit") / F.size("own"), 6)).where((F.col("coverage") >= least) & (~directed | _in_order(F.col("tw"), F.col("qw"))))
+    best = Window.partitionBy("qid").orderBy("pass", (F.col("coverage") >= 0.9).desc(), (F.col("hit") >= 2).desc(), F.desc("subtree"), "chunk_id")
+    return fits.withColumn("k", F.row_number().over(best)).where("k = 1").select("qid", "chunk_id", "coverage")
 
 
 def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: DataFrame | None = None, most: int = 60) -> DataFrame:

@@ -59,13 +59,17 @@ def reciprocal(spark, d):
     return scored(spark, d).select("config", "qid", F.round(E.reciprocal_rank(F.col("ranked"), F.col("gold")), 9).alias("rr"))
 
 
-@query("e6_new_positives", RUNS + "SELECT config, count(*) AS n FROM (SELECT config, qid, unnest(ranked[1:5]) AS doc FROM runs) x WHERE EXISTS (SELECT 1 FROM gold g WHERE g.qid = x.qid AND list_contains(g.gold, x.doc)) GROUP BY config")
+@query("e6_new_positives", RUNS + """, pooled AS (SELECT qid, doc, bool_or(g) AS g, list(DISTINCT config) FILTER (WHERE config IS NOT NULL) AS c FROM (SELECT qid, config, unnest(ranked[1:5]) AS doc, false AS g FROM runs UNION ALL SELECT qid, NULL, unnest(gold), true FROM gold) GROUP BY ALL),
+judged AS (SELECT qid, doc, CASE doc % 4 WHEN 0 THEN 'RELEVANT' WHEN 1 THEN 'PARTIAL' ELSE 'IRRELEVANT' END AS label, unnest(c) AS config FROM pooled WHERE NOT g)
+SELECT config, count(*) FILTER (WHERE label = 'RELEVANT') AS relevant, count(*) FILTER (WHERE label = 'PARTIAL') AS partial FROM judged WHERE label <> 'IRRELEVANT' GROUP BY config""")
 def new_positives(spark, d):
-    shown = runs(spark, d).select("config", "qid", F.explode(F.slice("ranked", 1, 5)).alias("doc"))
-    return shown.join(gold(spark, d).select("qid", F.explode("gold").alias("doc")), ["qid", "doc"], "left_semi").groupBy("config").agg(F.count(F.lit(1)).alias("n"))
+    """Documents beyond the gold that a judge calls relevant; a document's number stands for the judge."""
+    pooled = E.pool(runs(spark, d), gold(spark, d))
+    label = F.when(F.col("doc") % 4 == 0, "RELEVANT").when(F.col("doc") % 4 == 1, "PARTIAL").otherwise("IRRELEVANT")
+    return E.new_positives(pooled, pooled.select("qid", "doc", label.alias("label")))
 
 
-@query("e8_wilson", RUNS + ", p AS (SELECT config, count(*)::DOUBLE AS n, avg(hit5) AS p FROM scored GROUP BY config), c AS (SELECT *, (p + 1.959964 * 1.959964 / (2 * n)) / (1 + 1.959964 * 1.959964 / n) AS m, 1.959964 * sqrt(p * (1 - p) / n + 1.959964 * 1.959964 / (4 * n * n)) / (1 + 1.959964 * 1.959964 / n) AS h FROM p) SELECT config, round(greatest(0, m - h), 6) AS low, round(least(1, m + h), 6) AS high FROM c")
+@query("e8_wilson", RUNS + ", p AS (SELECT config, count(*)::DOUBLE AS n, avg(hit5) AS p FROM scored GROUP BY config), c AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS m, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM p) SELECT config, round(greatest(0, m - h), 6) AS low, round(least(1, m + h), 6) AS high FROM c")
 def wilson(spark, d):
     rows = scored(spark, d).groupBy("config").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("hit5").alias("p")).withColumn("w", E.wilson(F.col("p"), F.col("n")))
     return rows.select("config", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
@@ -74,7 +78,7 @@ def wilson(spark, d):
 query("e9_percent_agreement", RATINGS + "SELECT count(*) AS items, round(avg(CASE WHEN d = 1 THEN 1 ELSE 0 END), 6) AS agreed FROM (SELECT item, count(DISTINCT label) AS d FROM ratings GROUP BY item HAVING count(*) >= 2)")(lambda spark, d: E.percent_agreement(ratings(spark, d)))
 query("e10_fleiss", RATINGS + ", po AS (SELECT avg(p) AS po FROM (SELECT (sum(c * c) - max(n)) / (max(n) * (max(n) - 1)) AS p FROM m GROUP BY item)), pe AS (SELECT sum(c * c) / (sum(c) * sum(c)) AS pe FROM (SELECT label, sum(c)::DOUBLE AS c FROM m GROUP BY label)) SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM po, pe")(lambda spark, d: E.fleiss(ratings(spark, d)))
 query("e13_krippendorff", RATINGS + ", a AS (SELECT sum(c * (n - c) / (n - 1)::DOUBLE) AS d, sum(c)::DOUBLE AS t FROM m), s AS (SELECT sum(c * c) AS s FROM (SELECT label, sum(c)::DOUBLE AS c FROM m GROUP BY label)) SELECT round(1 - (d / t) / ((t * t - s) / (t * (t - 1))), 6) AS alpha FROM a, s")(lambda spark, d: E.krippendorff(ratings(spark, d)))
-query("e14_pairwise_cohen", RATINGS + ", j AS (SELECT a.rater AS r1, b.rater AS r2, a.label AS l1, b.label AS l2, count(*)::DOUBLE AS c FROM ratings a JOIN ratings b ON a.item = b.item AND a.rater < b.rater GROUP BY ALL), t AS (SELECT r1, r2, sum(c) AS n, sum(CASE WHEN l1 = l2 THEN c ELSE 0 END) AS s FROM j GROUP BY ALL), x AS (SELECT r1, r2, l1 AS l, sum(c) AS x FROM j GROUP BY ALL), y AS (SELECT r1, r2, l2 AS l, sum(c) AS y FROM j GROUP BY ALL), e AS (SELECT r1, r2, sum(x * y) AS xy FROM x JOIN y USING (r1, r2, l) GROUP BY ALL) SELECT r1, r2, n::BIGINT AS items, round((s / n - xy / (n * n)) / (1 - xy / (n * n)), 6) AS kappa, round(2 * s / n - 1, 6) AS pabak FROM t JOIN e USING (r1, r2)")(lambda spark, d: E.pairwise_cohen(ratings(spark, d)))
+query("e14_pairwise_cohen", RATINGS + ", j AS (SELECT a.rater AS r1, b.rater AS r2, a.label AS l1, b.label AS l2, count(*)::DOUBLE AS c FROM ratings a JOIN ratings b ON a.item = b.item AND a.rater < b.rater GROUP BY ALL), t AS (SELECT r1, r2, sum(c) AS n, sum(CASE WHEN l1 = l2 THEN c ELSE 0 END) AS s FROM j GROUP BY ALL), x AS (SELECT r1, r2, l1 AS l, sum(c) AS x FROM j GROUP BY ALL), y AS (SELECT r1, r2, l2 AS l, sum(c) AS y FROM j GROUP BY ALL), e AS (SELECT r1, r2, sum(x * y) AS xy FROM x JOIN y USING (r1, r2, l) GROUP BY ALL) SELECT r1, r2, n::BIGINT AS items, round((s / n - xy / (n * n)) / (1 - xy / (n * n)), 6) AS kappa, round((k * s / n - 1) / (k - 1), 6) AS pabak FROM t JOIN e USING (r1, r2), (SELECT count(DISTINCT label) AS k FROM ratings)")(lambda spark, d: E.pairwise_cohen(ratings(spark, d)))
 query("e12_cohen_labels", "WITH j AS (SELECT quality AS a, toxic AS b FROM labels), p AS (SELECT avg(CASE WHEN a = b THEN 1 ELSE 0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM j) SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM p")(
     lambda spark, d: table(spark, d, "labels").agg(F.avg((F.col("quality") == F.col("toxic")).cast("int")).alias("po"), (F.avg("quality") * F.avg("toxic") + (1 - F.avg("quality")) * (1 - F.avg("toxic"))).alias("pe")).select(F.round((F.col("po") - F.col("pe")) / (1 - F.col("pe")), 6).alias("kappa"))
 )
@@ -109,14 +113,8 @@ def overlapping(spark, d):
 
 @query("a12_positions", "SELECT event_type, v[len(v) // 2 + 1] AS p50, v[least(len(v), (9 * len(v)) // 10 + 1)] AS p90 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
 def positions(spark, d):
-    """The values at half and nine tenths of the sorted list, by rank in a window rather than by collecting the list."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy("event_type").orderBy("value")
-    rows = rows.withColumn("hi", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
-    at = lambda k: F.min(F.when(F.col("hi") > k, F.col("value")))
-    return rows.groupBy("event_type").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 9 / 10))).alias("p90"))
+    """The values at half and nine tenths of the sorted list."""
+    return E.at_ranks(table(spark, d, "events"), "event_type", "value", {"p50": lambda n: F.floor(n / 2), "p90": lambda n: F.least(n - 1, F.floor(n * 9 / 10))})
 
 
 @query("a14_facets", "SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
@@ -165,11 +163,13 @@ def union_distinct(spark, d):
     return table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("id")).union(table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
 
 
-@query("o4_set_equality", SETS + "SELECT a.name AS a, b.name AS b FROM s a JOIN s b ON a.folder = b.folder AND a.name < b.name WHERE list_sort(a.items) = list_sort(b.items)")
+@query("o4_set_equality", SETS + ", k AS (SELECT folder, name, list_sort(items) AS items FROM s) SELECT folder, name, min(name) OVER (PARTITION BY folder, items) AS same_as, count(*) OVER (PARTITION BY folder, items) AS n FROM k")
 def set_equality(spark, d):
+    """Equal sets of a folder, by the smallest name that has them, not as pairs."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     sets = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("folder"), F.col("o_custkey").alias("name")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("items"))
-    return sets.select("folder", F.col("name").alias("a"), "items").join(sets.select("folder", F.col("name").alias("b"), "items"), ["folder", "items"]).where("a < b").select("a", "b")
+    first = sets.groupBy("folder", "items").agg(F.min("name").alias("same_as"), F.count(F.lit(1)).alias("n"))
+    return sets.join(first, ["folder", "items"]).select("folder", "name", "same_as", "n")
 
 
 @query("o6_normalised_ids", "SELECT k, min(doc_id) AS doc_id FROM (SELECT doc_id, replace(lang || CASE WHEN doc_id % 2 = 0 THEN '.' ELSE '_' END || CAST(n_chars % 30 AS VARCHAR), '.', '_') AS k FROM documents) GROUP BY k")

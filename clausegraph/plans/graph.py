@@ -22,7 +22,7 @@ class Graph:
     chunks(chunk_id, spec_id, section_id, title, content, chunk_type), terms(term, full_name,
     primary_spec), mentions(chunk_id, term), operations(op, service), describes(chunk_id, op),
     provided(op, term), steps(step_id, chunk_id, ord), involves(step_id, term), refs(src, dst,
-    is_external, ref_type).
+    is_external, ref_type, confidence).
     """
 
     chunks: DataFrame
@@ -43,7 +43,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     section = F.concat(a.cast("string"), F.when(b > 0, F.concat(F.lit("."), b.cast("string"), F.when(c > 0, F.concat(F.lit("."), c.cast("string"))).otherwise(""))).otherwise(""))
     chunks = o.select(
         k.alias("chunk_id"), (F.col("o_custkey") % 25).alias("spec_id"), section.alias("section_id"), F.concat(F.col("o_orderpriority"), F.lit(" clause "), section).alias("title"),
-        F.concat(F.lit("The order "), k.cast("string"), F.when(F.col("o_orderstatus") == "O", F.lit(" shall be open")).otherwise(F.lit(" is closed"))).alias("content"),
+        F.concat(F.lit("The order "), k.cast("string"), F.when(F.col("o_orderstatus") == "O", F.lit(" shall be open")).otherwise(F.lit(" is closed")), F.repeat(F.lit(" by its own rules"), (k % 9).cast("int"))).alias("content"),
         F.when(k % 4 == 0, "procedure").when(k % 4 == 1, "definition").when(k % 4 == 2, "requirement").otherwise("general").alias("chunk_type"),
     )
     terms = p.select(F.col("p_partkey").alias("term"), F.col("p_name").alias("full_name"), (F.col("p_partkey") % 25).alias("primary_spec"))
@@ -54,8 +54,8 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     step = F.concat_ws("::", F.col("l_orderkey"), F.col("l_linenumber"))
     steps = li.select(step.alias("step_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ord"))
     involves = li.select(step.alias("step_id"), F.explode(F.array(F.col("l_partkey") % 40, F.col("l_suppkey") % 40)).alias("term")).distinct()
-    refs = li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("dst"), (F.col("l_returnflag") == "R").alias("is_external"), F.when(F.col("l_linenumber") % 2 == 0, "clause").otherwise("table").alias("ref_type"))
-    refs = refs.where("src <> dst").groupBy("src", "dst").agg(F.max("is_external").alias("is_external"), F.min("ref_type").alias("ref_type"))
+    refs = li.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("dst"), (F.col("l_returnflag") == "R").alias("is_external"), F.when(F.col("l_linenumber") % 2 == 0, "clause").otherwise("table").alias("ref_type"), F.round(F.col("l_discount") * 10, 2).alias("confidence"))
+    refs = refs.where("src <> dst").groupBy("src", "dst").agg(F.max("is_external").alias("is_external"), F.min("ref_type").alias("ref_type"), F.max("confidence").alias("confidence"))
     return Graph(chunks, terms, mentions, operations, describes, provided, steps, involves, refs)
 
 
@@ -63,7 +63,7 @@ VIEWS = """
 WITH chunks0 AS (SELECT *, o_orderkey % 7 + 1 AS a, o_orderkey // 7 % 4 AS b, o_orderkey // 28 % 3 AS c FROM orders),
 chunks1 AS (SELECT *, CAST(a AS VARCHAR) || CASE WHEN b > 0 THEN '.' || CAST(b AS VARCHAR) || CASE WHEN c > 0 THEN '.' || CAST(c AS VARCHAR) ELSE '' END ELSE '' END AS section_id FROM chunks0),
 chunks AS (SELECT o_orderkey AS chunk_id, o_custkey % 25 AS spec_id, section_id, o_orderpriority || ' clause ' || section_id AS title,
-  'The order ' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderstatus = 'O' THEN ' shall be open' ELSE ' is closed' END AS content,
+  'The order ' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderstatus = 'O' THEN ' shall be open' ELSE ' is closed' END || repeat(' by its own rules', o_orderkey % 9) AS content,
   CASE o_orderkey % 4 WHEN 0 THEN 'procedure' WHEN 1 THEN 'definition' WHEN 2 THEN 'requirement' ELSE 'general' END AS chunk_type FROM chunks1),
 terms AS (SELECT p_partkey AS term, p_name AS full_name, p_partkey % 25 AS primary_spec FROM part),
 mentions AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey AS term FROM lineitem),
@@ -72,5 +72,5 @@ describes AS (SELECT DISTINCT l_orderkey AS chunk_id, l_suppkey AS op FROM linei
 provided AS (SELECT s_suppkey AS op, p_partkey AS term FROM supplier JOIN part ON p_partkey % 10 = s_suppkey % 10 WHERE p_partkey < 100),
 steps AS (SELECT CAST(l_orderkey AS VARCHAR) || '::' || CAST(l_linenumber AS VARCHAR) AS step_id, l_orderkey AS chunk_id, l_linenumber AS ord FROM lineitem),
 involves AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '::' || CAST(l_linenumber AS VARCHAR) AS step_id, unnest([l_partkey % 40, l_suppkey % 40]) AS term FROM lineitem),
-refs AS (SELECT src, dst, bool_or(ext) AS is_external, min(kind) AS ref_type FROM (SELECT l_orderkey AS src, l_partkey * 8 + l_linenumber AS dst, l_returnflag = 'R' AS ext, CASE WHEN l_linenumber % 2 = 0 THEN 'clause' ELSE 'table' END AS kind FROM lineitem) WHERE src <> dst GROUP BY src, dst)
+refs AS (SELECT src, dst, bool_or(ext) AS is_external, min(kind) AS ref_type, max(c) AS confidence FROM (SELECT l_orderkey AS src, l_partkey * 8 + l_linenumber AS dst, l_returnflag = 'R' AS ext, CASE WHEN l_linenumber % 2 = 0 THEN 'clause' ELSE 'table' END AS kind, round(l_discount * 10, 2) AS c FROM lineitem) WHERE src <> dst GROUP BY src, dst)
 """

@@ -50,7 +50,7 @@ def _(g):
     return H.resolve(g.chunks.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("src"), "spec_id", cited.alias("cited")), g.chunks)
 
 
-graph("j5_known_targets", "SELECT src, dst FROM refs WHERE is_external AND ref_type = 'clause' AND dst IN (SELECT chunk_id FROM chunks)")(P.known_targets)
+graph("j5_known_targets", "SELECT src, dst FROM refs WHERE is_external AND ref_type = 'clause' AND confidence >= 0.7 AND dst IN (SELECT chunk_id FROM chunks)")(P.known_targets)
 graph("j6_parents", SECTIONS + "SELECT DISTINCT spec_id, ancestor AS section_id, parent AS chunk_id FROM anc")(lambda g: H.parents(g.chunks))
 graph("j6_leaves", SECTIONS + "SELECT spec_id, section_id, chunk_id FROM sections s WHERE NOT EXISTS (SELECT 1 FROM anc a WHERE a.parent = s.chunk_id)")(lambda g: H.leaves(g.chunks))
 graph("j7_nearest_ancestors", SECTIONS + "SELECT chunk_id AS child, arg_max(parent, length(ancestor)) AS parent FROM anc GROUP BY chunk_id")(lambda g: H.nearest_ancestors(g.chunks))
@@ -88,7 +88,7 @@ graph("j26_mention_counts", "SELECT chunk_id, count(DISTINCT term) AS hits FROM
 HOPS = """, seeds AS (SELECT chunk_id AS seed, row_number() OVER (ORDER BY chunk_id) AS ord FROM (SELECT DISTINCT chunk_id FROM mentions WHERE term <= 5 ORDER BY chunk_id LIMIT 12)),
 one AS (SELECT seed, ord, dst AS target FROM seeds JOIN refs ON src = seed),
 allh AS (SELECT seed, ord, target, 1 AS hops FROM one UNION ALL SELECT seed, ord, dst, 2 FROM one JOIN refs ON src = target WHERE NOT (seed = target AND target = dst)),
-best0 AS (SELECT seed, ord, target, min(hops) AS hops FROM allh WHERE seed <> target AND target IN (SELECT chunk_id FROM chunks) GROUP BY ALL),
+best0 AS (SELECT seed, ord, target, min(hops) AS hops FROM allh JOIN chunks s ON s.chunk_id = seed JOIN chunks t ON t.chunk_id = target WHERE s.spec_id <> t.spec_id AND length(t.content) >= 100 GROUP BY ALL),
 lim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, target) AS n FROM best0) WHERE n <= 50),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops, n, ord) AS f FROM lim) WHERE f = 1)
 """

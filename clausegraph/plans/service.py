@@ -10,6 +10,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegraph.functions.lineage import cut
+from clausegraph.operators import hierarchy as H
 from clausegraph.operators import patterns as P
 from clausegraph.operators import questions as Q
 from clausegraph.operators import retrieval as R
@@ -18,8 +20,13 @@ from clausegraph.plans.graph import Graph
 # Bounds of ad-hoc queries, modes, rungs of the ablation ladder, widths.
 MOST_ROWS = 1000
 MODES = ("fixed", "hybrid", "dense", "bm25", "bm25_dense", "graph", "react_agent", "none")
+VECTOR_DIM = 768
+OPERATION_NAME = r"\bN[a-z][a-z0-9]*_[A-Z][A-Za-z0-9]*_[A-Z][A-Za-z0-9]*\b"
 LADDER = ("entity", "relation", "hierarchy", "xref", "provenance")
 QUERY_ROOTS = frozenset(("Project", "UnresolvedWith", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "Filter", "UnresolvedHaving", "SubqueryAlias", "UnresolvedInlineTable", "Intersect", "Except", "WithCTE", "Offset"))
+WRITING_NODES = frozenset(("InsertIntoStatement", "InsertIntoDir", "ScriptTransformation"))
+WRITING_CLASS = "org.apache.spark.sql.catalyst.plans.logical."
+CALLING = ("reflect", "java_method", "try_reflect")
 
 
 class Rejected(ValueError):
@@ -34,22 +41,50 @@ def clean(text: str) -> str:
     return body[start.start() :].strip() if start else body
 
 
-def plan_root(spark: SparkSession, text: str) -> str:
-    """The root node of a parsed query; the one place that uses Spark's parser."""
-    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text).getClass().getSimpleName()
+def _each(seq):
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _nodes(plan):
+    """A parsed plan's nodes: children, the bodies of WITH, and the plans of subqueries in expressions."""
+    yield plan
+    for part in (*_each(plan.children()), *_each(plan.innerChildren()), *_each(plan.subqueries())):
+        if hasattr(part, "children"):
+            yield from _nodes(part)
+
+
+def plan_faults(spark: SparkSession, text: str) -> list[str]:
+    """What makes a parsed text more than a read, at its root or anywhere in it; the one place that uses Spark's parser."""
+    from py4j.java_gateway import is_instance_of
+
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    root = plan.getClass().getSimpleName()
+    faults = [] if root in QUERY_ROOTS else [root]
+    for node in _nodes(plan):
+        name = node.getClass().getSimpleName()
+        if name in WRITING_NODES or any(is_instance_of(spark._sc._gateway, node, WRITING_CLASS + c) for c in ("Command", "ParsedStatement")):
+            faults.append(name)
+    return faults
 
 
 def guard(spark: SparkSession, text: str) -> str:
-    """The cleaned text, if its parsed plan is a query: words such as SET inside names or strings don't matter."""
+    """The cleaned text, if its parsed plan reads and no node of it does more: words such as SET inside names or strings don't matter.
+
+    Commands and insertions are rejected wherever they stand (below WITH, in a multiple insertion), and
+    so are scripts and functions that call methods of the JVM by name.
+    """
     text = clean(text)
     if not text:
         raise Rejected("empty query")
     try:
-        root = plan_root(spark, text)
+        faults = plan_faults(spark, text)
     except Exception as e:
         raise Rejected(str(e).splitlines()[0]) from e
-    if root not in QUERY_ROOTS:
-        raise Rejected(f"{root} is not a query")
+    if faults:
+        raise Rejected(f"{faults[0]} is not a query")
+    called = re.search(r"(?i)\b(" + "|".join(CALLING) + r")\s*`?\s*\(", text)
+    if called:
+        raise Rejected(f"{called.group(1)} is not a read")
     return text
 
 
@@ -115,39 +150,120 @@ def overlap_logit(question: F.Column, content: F.Column) -> F.Column:
     return share * 8 - 3
 
 
-def answer(graph: Graph, questions: DataFrame, config: Config | None = None, scorer: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def _unit_vectors(rows: DataFrame, id_col: str, text_col: str, encode: Callable) -> DataFrame:
+    from clausegraph.plans.store import embed_missing
+
+    return embed_missing(rows.select(id_col, text_col, F.lit(None).cast("array<float>").alias("embedding")), text_col, "embedding", VECTOR_DIM, encode)
+
+
+def _graph_branch(graph: Graph, terms: DataFrame, config: Config) -> DataFrame:
+    """(qid, doc, score, step_hits) by the layers that the rung has: entity counts named terms; relation adds operations of the named providers and steps in which two of them meet."""
+    said = terms.join(graph.mentions.select(F.col("term").cast("string").alias("term"), F.col("chunk_id").alias("doc")), "term").groupBy("qid", "doc").agg(F.countDistinct("term").cast("double").alias("score"))
+    if not config.has("relation"):
+        return said.withColumn("step_hits", F.lit(None).cast("int"))
+    provided = graph.provided.select("op", F.col("term").cast("string").alias("term"))
+    via = terms.join(provided, "term").join(graph.describes.select("op", F.col("chunk_id").alias("doc")), "op").groupBy("qid", "doc").agg(F.countDistinct("op").cast("double").alias("score"))
+    involved = graph.involves.select("step_id", F.col("term").cast("string").alias("term"))
+    met = terms.join(involved, "term").groupBy("qid", "step_id").agg(F.countDistinct("term").cast("int").alias("n")).where("n >= 2")
+    acting = met.join(graph.steps.select("step_id", F.col("chunk_id").alias("doc")), "step_id").groupBy("qid", "doc").agg(F.max("n").alias("step_hits"))
+    counted = said.unionByName(via).groupBy("qid", "doc").agg(F.sum("score").alias("score"))
+    return counted.join(acting, ["qid", "doc"], "full").withColumn("score", F.coalesce("score", F.col("step_hits").cast("double")))
+
+
+def answer(graph: Graph, questions: DataFrame, config: Config | None = None, scorer: Callable | None = None, encode: Callable | None = None, policy: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranked clauses for many questions (qid, question) in one plan: (candidates, trace).
 
-    candidates: qid, doc, rank, score, section_id, title; trace: qid, seq, stage, payload. The sparse and
-    graph branches are fused by rank, then scored with the content of what is left.
+    candidates: qid, doc, rank, score, section_id, title, via, in_context; trace: qid, seq, stage, payload.
+
+    Modes: none has no candidates; bm25 and dense have one branch, bm25_dense both by rank fusion; graph
+    has the graph's branch alone; fixed fuses dense and graph (weighted by the graph's scores) and ranks
+    anew, hybrid does so without ranking anew; react_agent lets `policy` choose tools for each question,
+    on the driver. Rungs: relation adds operations and steps to the graph's branch, hierarchy siblings of
+    the best clauses, xref what these cite, provenance the kind of a clause's specification. The switch
+    closure puts the clauses of the procedure that a question names first; step_evidence adds their
+    steps to the trace. in_context says which clauses fit a context of `context` characters, at most
+    `a_chunk` of each.
     """
     config, scorer = config or Config(), scorer or overlap_logit
     if config.mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    chunks = graph.chunks
-    sparse = R.bm25(chunks, questions, config.wide if config.rerank else config.k, "chunk_id", "content", "qid", "question").select("qid", "doc", "rank", "score").withColumn("weight", F.lit(1.0))
-    terms = Q.named_terms(questions, graph.terms.select(F.col("term").cast("string").alias("term"), "full_name"))
-    lists = sparse.drop("score")
-    if config.mode in ("fixed", "hybrid", "graph"):
-        said = terms.join(graph.mentions.select(F.col("term").cast("string").alias("term"), F.col("chunk_id").alias("doc")), "term").groupBy("qid", "doc").agg(F.countDistinct("term").cast("double").alias("score"))
-        found = R.top_per_query(said, config.wide)
-        if config.has("relation"):
-            weighed = found.join(R.branch_weight(R.normalised(found)), "qid")
-        else:
-            weighed = found.withColumn("weight", F.lit(0.6))
-        graphed = weighed.select("qid", "doc", "rank", "weight")
-        lists = graphed if config.mode == "graph" else lists.unionByName(graphed)
-    fused = R.rrf(lists, config.wide)
-    if config.rerank:
-        told = fused.join(chunks.select(F.col("chunk_id").alias("doc"), "title", "spec_id", "chunk_type", "content"), "doc").join(questions, "qid")
-        high = F.max("score").over(P.Window.partitionBy("qid"))
-        none = F.lit(None)
-        told = told.select("qid", "doc", F.round(scorer(F.col("question"), F.col("content")), 6).alias("logit"), F.round(F.col("score") / high, 6).alias("upstream"), Q.bias(F.col("question"), F.col("title"), F.col("spec_id").cast("string"), F.col("chunk_type"), none.cast("boolean"), none.cast("int"), none.cast("boolean"), none.cast("boolean"), none.cast("boolean")).alias("bias"), F.lit(False).alias("protected"))
-        final = R.rerank(told, config.k)
+    if config.mode == "react_agent" and policy is None:
+        raise ValueError("react_agent needs a policy")
+    if encode is None:
+        from clausegraph.plans.store import hashed as encode
+    chunks, wide = graph.chunks, config.wide
+    key = dict(chunks.dtypes)["chunk_id"]
+    nothing = questions.select("qid", F.lit(None).cast(key).alias("doc"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("via")).limit(0)
+    terms = cut(Q.named_terms(questions, graph.terms.select(F.col("term").cast("string").alias("term"), "full_name")))
+    branches, steps = [], None
+    uses_graph = config.mode in ("fixed", "hybrid", "graph")
+    if config.mode in ("bm25", "bm25_dense"):
+        found = R.normalised(R.bm25(chunks, questions, wide, "chunk_id", "content", "qid", "question"))
+        branches.append(found.select("qid", "doc", "rank", F.lit(1.0).alias("weight"), F.lit("bm25").alias("via")))
+    if config.mode in ("dense", "bm25_dense", "fixed", "hybrid"):
+        items, asked = _unit_vectors(chunks, "chunk_id", "content", encode), _unit_vectors(questions, "qid", "question", encode)
+        found = R.dense(items.withColumnRenamed("chunk_id", "id"), asked.withColumnRenamed("qid", "id"), wide, "id")
+        branches.append(found.select("qid", "doc", "rank", F.lit(1.0).alias("weight"), F.lit("dense").alias("via")))
+    if uses_graph:
+        found = cut(_graph_branch(graph, terms, config))
+        steps = found.where("step_hits is not null").select("qid", "doc", "step_hits")
+        best = R.top_per_query(R.normalised(found), wide)
+        branches.append(best.join(R.branch_weight(best, questions), "qid").select("qid", "doc", "rank", "weight", F.lit("graph").alias("via")))
+    if config.mode == "react_agent":
+        rows = [(r["qid"], f["chunk_id"], n, 1.0, f["via"]) for r in questions.collect() for n, f in enumerate(Agent(graph, policy).run(r["question"]), 1)]  # a policy asks a model: one question at a time
+        branches.append(questions.sparkSession.createDataFrame(rows, nothing.schema))
+    lists = nothing
+    for branch in branches:
+        lists = lists.unionByName(branch)
+    lists = cut(lists)
+    fused = R.rrf(lists, wide * max(1, len(branches))).select("qid", "doc", "score", "rank")
+    via = lists.groupBy("qid", "doc").agg(F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+    pool = fused.join(via, ["qid", "doc"]).select("qid", "doc", "score", "via", *[F.lit(False).alias(c) for c in ("chain", "lead")])
+    extra = []
+    top = fused.where("rank <= 5").select("qid", F.col("doc").alias("seed"), F.col("rank").alias("ord"))
+    if uses_graph and config.has("hierarchy"):
+        seeds = top.where("ord <= 2")
+        near = H.siblings(seeds.select(F.col("seed").alias("chunk_id")).distinct(), chunks).where("rank <= 3")
+        extra.append(seeds.join(near, "seed").select("qid", F.col("chunk_id").alias("doc"), F.lit("sibling").alias("via"), F.lit(False).alias("chain"), F.lit(False).alias("lead")))
+    if uses_graph and config.has("xref"):
+        reached = H.hops(top, graph.refs, chunks, by="qid")
+        extra.append(reached.select("qid", F.col("target").alias("doc"), F.lit("hop").alias("via"), F.lit(True).alias("chain"), F.lit(False).alias("lead")))
+    if config.closure:
+        heads = chunks.join(H.parents(chunks).select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "spec_id", "title", F.lit(1).alias("size"))
+        roots = Q.root_headings(questions, heads)
+        led = Q.closure(roots, chunks, graph.refs, graph.describes.withColumn("op", F.col("op").cast("string")))
+        extra.append(led.select("qid", F.col("chunk_id").alias("doc"), F.concat(F.lit("closure:"), "role").alias("via"), F.lit(False).alias("chain"), F.lit(True).alias("lead")))
+    for more in extra:
+        pool = pool.unionByName(more.withColumn("score", F.lit(0.0)))
+    pool = cut(pool.groupBy("qid", "doc").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("via", ","))))), ",").alias("via"), F.max("chain").alias("chain"), F.max("lead").alias("lead")))
+    pool = pool.join(steps, ["qid", "doc"], "left") if steps is not None else pool.withColumn("step_hits", F.lit(None).cast("int"))
+    told = pool.join(chunks.select(F.col("chunk_id").alias("doc"), "section_id", "title", "spec_id", "chunk_type", "content"), "doc").join(questions, "qid")
+    q, t = F.lower("question"), F.lower(F.coalesce("title", F.lit("")))
+    high = F.max("score").over(P.Window.partitionBy("qid"))
+    upstream = F.coalesce(F.try_divide(F.col("score"), high), F.lit(0.0))
+    if config.has("provenance"):
+        upstream = Q.study_and_function(upstream, F.col("spec_id").cast("string"), F.col("title"), Q.intent(F.col("question")).isin("definition", "network_function"))
+    ops = F.regexp_extract_all("question", F.lit(OPERATION_NAME), 0)
+    named = {"anchor": (F.length(t) > 0) & q.contains(t), "op_prefix": F.exists(ops, lambda o: F.contains(t, F.lower(o)))}
+    told = told.withColumns(named).withColumn("upstream", F.round(upstream, 6))
+    if config.rerank and config.mode != "hybrid":
+        bias = Q.bias(F.col("question"), F.col("title"), F.col("spec_id").cast("string"), F.col("chunk_type"), F.col("step_hits").isNotNull(), F.col("step_hits"), F.col("op_prefix"), F.col("anchor"), F.col("chain"))
+        scored = told.select("qid", "doc", F.round(scorer(F.col("question"), F.col("content")), 6).alias("logit"), "upstream", bias.alias("bias"), (F.col("step_hits").isNotNull() | F.col("chain") | F.col("lead")).alias("protected"))
+        ranked = R.rerank(scored, wide * 4)
     else:
-        final = R.top_per_query(fused.select("qid", "doc", "score"), config.k)
-    out = final.join(chunks.select(F.col("chunk_id").alias("doc"), "section_id", "title"), "doc").select("qid", "doc", "rank", "score", "section_id", "title")
-    stages = [("intent", questions.select("qid", Q.intent(F.col("question")).alias("p"))), ("terms", terms.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("p"))), ("sources", out.groupBy("qid").agg(F.count(F.lit(1)).cast("string").alias("p")))]
+        ranked = R.top_per_query(told.select("qid", "doc", F.col("upstream").alias("score")), wide * 4)
+    final = ranked.drop("rank").join(told.select("qid", "doc", "lead", "via", "section_id", "title", F.length("content").cast("long").alias("size")), ["qid", "doc"])
+    turn = F.row_number().over(P.Window.partitionBy("qid").orderBy(F.desc("lead"), F.desc("score"), "doc"))
+    final = cut(final.withColumn("rank", turn).where(F.col("rank") <= config.k))
+    fits = R.context(final.select("qid", "doc", "rank", "size"), config.context, config.a_chunk).select("qid", "doc", F.lit(True).alias("fits"))
+    out = final.join(fits, ["qid", "doc"], "left").select("qid", "doc", "rank", "score", "section_id", "title", "via", F.coalesce("fits", F.lit(False)).alias("in_context"))
+    stages = [("intent", questions.select("qid", Q.intent(F.col("question")).alias("p"))), ("terms", terms.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("p")))]
+    stages += [(f"retrieval_{name}", lists.where(F.col("via") == name).groupBy("qid").agg(F.count(F.lit(1)).cast("string").alias("p"))) for name in ("bm25", "dense", "graph")]
+    if config.step_evidence:
+        involved = terms.join(graph.involves.select("step_id", F.col("term").cast("string").alias("term")), "term").select("qid", "step_id").distinct()
+        shown = involved.join(graph.steps, "step_id").join(final.select("qid", F.col("doc").alias("chunk_id")), ["qid", "chunk_id"])
+        stages.append(("step_evidence", shown.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("step_id")), ",").alias("p"))))
+    stages.append(("sources", out.groupBy("qid").agg(F.count(F.lit(1)).cast("string").alias("p"))))
     trace = None
     for seq, (stage, df) in enumerate(stages):
         one = df.select("qid", F.lit(seq).alias("seq"), F.lit(stage).alias("stage"), F.col("p").alias("payload"))

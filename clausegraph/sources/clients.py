@@ -42,38 +42,60 @@ def capped(parts: Iterable[str], seconds: float = MOST_SECONDS, chars: int = MOS
         said += len(part)
 
 
+OPEN, CLOSE = "<think>", "</think>"
+
+
+def _whole(text: str, mark: str) -> int:
+    """How much of the text can't be the beginning of a mark that the next part completes."""
+    return len(text) - max(k for k in range(len(mark)) if text.endswith(mark[:k]))
+
+
+class _Splitter:
+    """Takes a stream's text as it comes and gives it back as (kind, text), by one of three readers in turn."""
+
+    def __init__(self) -> None:
+        self.text, self.read = "", self.opening
+
+    def opening(self, last: bool) -> list[tuple[str, str]]:
+        """Before anything is said: only white space may stand before the block."""
+        bare = self.text.lstrip()
+        if len(bare) < len(OPEN) and OPEN.startswith(bare) and not last:
+            return []
+        self.read = self.thought if bare.startswith(OPEN) else self.said
+        self.text = bare.removeprefix(OPEN) if self.read == self.thought else self.text
+        return self.read(last)
+
+    def thought(self, last: bool) -> list[tuple[str, str]]:
+        inside, closed, after = self.text.partition(CLOSE)
+        if closed:
+            self.text, self.read = after, self.gap
+            return [("thinking", inside), *self.gap(last)]
+        n = len(inside) if last else _whole(inside, CLOSE)
+        self.text = inside[n:]
+        return [("thinking", inside[:n])]
+
+    def gap(self, last: bool) -> list[tuple[str, str]]:
+        """White space between the block and the answer is dropped."""
+        self.text = self.text.lstrip()
+        self.read = self.said if self.text else self.gap
+        return self.said(last)
+
+    def said(self, last: bool) -> list[tuple[str, str]]:
+        out, self.text = self.text, ""
+        return [("answer", out)]
+
+
 def split_thinking(parts: Iterable[str]) -> Iterator[tuple[str, str]]:
     """('thinking' or 'answer', text) of a stream whose answer may follow a think block; tags may be cut between parts."""
-    held, kind, begun, lead = "", "answer", False, False
-    for part in parts:
-        held += part
-        if not begun and kind == "answer":
-            bare = held.lstrip()
-            if bare.startswith("<think>"):
-                kind, held, begun = "thinking", bare[7:], True
-            elif "<think>".startswith(bare):
-                continue
-            else:
-                begun = True
-        if kind == "thinking":
-            if (end := held.find("</think>")) >= 0:
-                if held[:end]:
-                    yield "thinking", held[:end]
-                kind, held, lead = "answer", held[end + 8 :], True
-            else:
-                safe = len(held) - next((k for k in range(min(7, len(held)), 0, -1) if "</think>".startswith(held[-k:])), 0)
-                if safe:
-                    yield "thinking", held[:safe]
-                    held = held[safe:]
-                continue
-        if lead:  # white space between the block and the answer
-            held = held.lstrip()
-            lead = not held
-        if held:
-            yield "answer", held
-            held = ""
-    if held:
-        yield kind, held
+    splitter = _Splitter()
+    for part in _ended(parts):
+        splitter.text += part or ""
+        yield from (x for x in splitter.read(part is None) if x[1])
+
+
+def _ended(parts: Iterable[str]) -> Iterator[str | None]:
+    yield from parts
+    yield None
 
 
 def collect(events: Iterable[tuple[str, str]]) -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Incremental ingestion: a file stream of clause JSON into partitioned tables, each batch written whole."""
+"""Incremental ingestion: a file stream of clause JSON, merged batch by batch into a table partitioned by specification."""
 
 from __future__ import annotations
 
@@ -17,15 +17,33 @@ def clause_stream(spark: SparkSession, folder: str, files_a_trigger: int = 1000)
 
 def latest(rows: DataFrame) -> DataFrame:
     """One row a clause: the last seen wins, ties by content."""
-    order = Window.partitionBy("chunk_id").orderBy(F.desc("seen"), F.desc("content"))
+    order = Window.partitionBy("spec_id", "chunk_id").orderBy(F.desc("seen"), F.desc("content"))
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def merge(batch: DataFrame, table: str) -> None:
+    """Merges clauses (with their version `seen`) into a Parquet table partitioned by specification.
+
+    The stored clauses of the batch's specifications are read and merged by clause, the last seen wins;
+    then those partitions alone are replaced. The merged rows are first written beside the table, as a
+    path can't be overwritten while it is read. A batch that runs again, after a failure at any point,
+    merges the same rows to the same result.
+    """
+    spark, staged = batch.sparkSession, f"{table.rstrip('/')}.merging"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    rows = batch
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        stored = spark.read.schema(batch.schema).parquet(table)
+        rows = batch.unionByName(stored.join(batch.select("spec_id").distinct(), "spec_id", "left_semi"))
+    latest(rows).write.mode("overwrite").parquet(staged)
+    spark.read.schema(batch.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("spec_id").parquet(table)
+
+
 def ingest(stream: DataFrame, table: str, checkpoint: str):
-    """Starts the stream into a Parquet table partitioned by specification; a batch replaces the specifications that it holds, so a repeated batch changes nothing."""
+    """Starts the stream into a Parquet table partitioned by specification; later batches add to the specifications of earlier ones."""
 
     def write(batch: DataFrame, _: int) -> None:
-        latest(batch).drop("seen").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("spec_id").parquet(table)
+        merge(batch, table)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

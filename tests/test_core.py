@@ -259,6 +259,31 @@ def test_bias(spark, question, title, spec, kind, flags, want):
     assert one(spark, c, q=question, t=title, s=spec, k=kind, sa=flags.get("step_all", False), h=flags.get("hits", 1), op=flags.get("op", False), an=flags.get("anchor", False), ch=flags.get("chain", False)) == pytest.approx(want)
 
 
+def test_root_headings(spark):
+    heads = spark.createDataFrame([("ab", "ts_23_502", "5GS to EPS handover using N26 interface", 3), ("ba", "ts_23_502", "EPS to 5GS handover over N26", 9), ("an", "ts_23_502", "AN Release", 2), ("other", "ts_23_501", "AN Release", 99), ("whole", "ts_23_502", "UE configuration update", 1), ("general", "ts_23_502", "Paging", 5)], "chunk_id string, spec_id string, title string, size int")
+    asked = ["What happens in the 5GS to EPS handover via N26 procedure of TS 23.502?", "and the EPS to 5GS handover over N26 interface in TS 23.502", "the AN releases of TS 23.502", "In AN release, as TS 23.502 says, what follows from the UE configuration updates", "AN release", "one two three four five six seven eight nine ten eleven twelve paging in TS 23.502", "paging in TS 23.502", "TS 23.502 and then the UE configuration update"]
+    frame = spark.createDataFrame(list(enumerate(asked)), "qid int, question string")
+    assert {r["qid"]: r["chunk_id"] for r in questions.root_headings(frame, heads).collect()} == {0: "ab", 1: "ba", 2: "an", 3: "an", 5: "general", 6: "general", 7: "whole"}
+
+
+def test_guard_walks_the_whole_plan(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    for bad in (
+        "WITH t AS (SELECT 1 AS a) INSERT INTO foo SELECT * FROM t",
+        "FROM numbers INSERT INTO foo SELECT id INSERT INTO bar SELECT id",
+        "SELECT * FROM (SELECT TRANSFORM (id) USING 'cat' AS (x) FROM numbers)",
+        "WITH t AS (SELECT TRANSFORM (id) USING 'cat' AS (x) FROM numbers) SELECT * FROM t",
+        "SELECT (SELECT max(x) FROM (SELECT TRANSFORM (id) USING 'cat' AS (x) FROM numbers)) AS m",
+        "SELECT reflect('java.lang.System', 'exit', 0)",
+        "CACHE TABLE numbers",
+        "WITH t AS (SELECT 1) DELETE FROM foo",
+    ):
+        with pytest.raises(service.Rejected):
+            service.guard(spark, bad)
+    fine = "WITH t AS (SELECT id, id % 2 AS k FROM numbers) SELECT k, count(*) AS n FROM t WHERE id IN (SELECT id FROM numbers) GROUP BY k HAVING count(*) > 0 ORDER BY k LIMIT 3"
+    assert service.run_readonly(spark, fine)[0] == [{"k": 0, "n": 2}, {"k": 1, "n": 1}]
+
+
 def test_guard(spark):
     assert service.guard(spark, "```sql\nSELECT 1 AS a;\n```") == "SELECT 1 AS a"
     assert service.guard(spark, "Here it is:\nWITH x AS (SELECT 'NG SETUP, RESET' AS s) SELECT * FROM x")
@@ -276,8 +301,6 @@ def test_answer_and_agent(spark, sf):
     found, trace = service.answer(g, asked)
     rows = found.collect()
     assert rows and all(r["rank"] <= 10 for r in rows) and {r["stage"] for r in trace.collect()} >= {"intent", "sources"}
-    for config in (service.Config(mode="bm25", rerank=False, k=3), service.Config(mode="graph")):
-        service.answer(g, asked, config)[0].count()
     script = iter([{"tool": "nope"}, {"tool": "spec_search", "args": {"spec": 3}}, {"tool": "title_search", "args": {"phrase": "urgent"}}, {"tool": "finish"}])
     agent = service.Agent(g, lambda q, f: next(script))
     assert agent.run("x") and agent.log == ["spec_search", "title_search"]
@@ -285,6 +308,95 @@ def test_answer_and_agent(spark, sf):
     assert service.context_length(service.Config(model="qwen3")) == 32_768 and len(service.ladder(service.Config())) == 5
 
 
+def test_every_mode_answers_in_its_own_way(spark, sf):
+    g = order_graph(spark, sf)
+    g = service.replace(g, chunks=g.chunks.where("chunk_id < 300"))
+    asked = spark.createDataFrame([(1, "which order shall be open for small ring by its own rules"), (2, "what is a green part"), (3, "none of these")], "qid int, question string")
+    parts = spark.createDataFrame([(1, "small ring"), (2, "green part")], "term long, full_name string")
+    g = service.replace(g, terms=parts)
+    found, via = {}, {}
+    for mode in service.MODES:
+        policy = (lambda q, f: {"tool": "spec_search", "args": {"spec": 3}} if not f else {"tool": "finish"}) if mode == "react_agent" else None
+        rows, trace = service.answer(g, asked, service.Config(mode=mode, k=5, wide=20, rung="entity"), policy=policy)
+        found[mode] = sorted((r["qid"], r["rank"], r["doc"]) for r in rows.collect())
+        via[mode] = {v for r in rows.collect() for v in r["via"].split(",")}
+        stages = {r["stage"] for r in trace.collect()}
+        assert stages >= {"intent"} and ("sources" in stages) == (mode != "none")
+    assert found["none"] == [] and via["bm25"] == {"bm25"} and via["dense"] == {"dense"} and via["graph"] == {"graph"} and via["react_agent"] == {"spec_search"}
+    assert via["bm25_dense"] == {"bm25", "dense"} and via["fixed"] <= {"dense", "graph"} and "graph" in via["hybrid"]
+    assert len({tuple(x) for x in found.values()}) >= 7
+    with pytest.raises(ValueError):
+        service.answer(g, asked, service.Config(mode="react_agent"))
+    full, trace = service.answer(g, asked, service.Config(mode="graph", k=30, step_evidence=True, context=200, a_chunk=90))
+    rows = full.collect()
+    assert {v for r in rows for v in r["via"].split(",")} >= {"graph"} and "step_evidence" in {r["stage"] for r in trace.collect()}
+    for q in {r["qid"] for r in rows}:
+        assert 0 < sum(r["in_context"] for r in rows if r["qid"] == q) <= 200 // 20
+
+
+def test_closure_leads(spark, sf):
+    g = order_graph(spark, sf)
+    chunks = spark.createDataFrame([("a", "ts_23_502", "2", "AN Release", "x", "procedure"), ("b", "ts_23_502", "2.1", "Parts", "y", "procedure"), ("c", "ts_23_502", "3", "Else", "an release words", "general")], "chunk_id string, spec_id string, section_id string, title string, content string, chunk_type string")
+    text = lambda df, *c: df.limit(0).withColumns({x: F.lit(None).cast("string") for x in c})
+    g = service.replace(g, chunks=chunks, mentions=text(g.mentions, "chunk_id"), describes=text(g.describes, "chunk_id"), steps=text(g.steps, "chunk_id"), refs=text(g.refs, "src", "dst"))
+    asked = spark.createDataFrame([(1, "the AN release of TS 23.502")], "qid int, question string")
+    led = [(r["doc"], r["rank"]) for r in service.answer(g, asked, service.Config(mode="bm25", closure=True, k=3))[0].collect()]
+    assert sorted(led, key=lambda x: x[1])[:2] in ([("a", 1), ("b", 2)], [("b", 1), ("a", 2)])
+    plain = {r["doc"] for r in service.answer(g, asked, service.Config(mode="bm25", k=3))[0].collect()}
+    assert "b" not in plain
+
+
+def test_dense_in_blocks(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    want = {tuple(r) for r in retrieval.dense(rows, rows.where("vec_id % 5 = 0"), 3).select("qid", "doc", "rank").collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 4000)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 7)
+    assert {tuple(r) for r in retrieval.dense(rows, rows.where("vec_id % 5 = 0"), 3).select("qid", "doc", "rank").collect()} == want and len(want) == 300
+    assert retrieval.dense(rows, rows.limit(0)).count() == 0
+
+
+def test_later_batches_add_to_a_specification(spark, tmp_path):
+    one = lambda name, *chunks: (tmp_path / "in" / name).write_text(json.dumps({"metadata": {"specification_id": "ts_23_501"}, "chunks": [{"chunk_id": c, "section_id": c, "section_title": "t", "content": x} for c, x in chunks]}))
+    (tmp_path / "in").mkdir()
+    table = f"{tmp_path}/table"
+    one("1.json", ("a", "first"), ("b", "first"))
+    for files in (1, 2):
+        if files == 2:
+            one("2.json", ("b", "second"), ("c", "second"))
+        for _ in range(2):
+            ingest.ingest(ingest.clause_stream(spark, f"{tmp_path}/in"), table, f"{tmp_path}/checkpoint").awaitTermination()
+    assert {(r["chunk_id"], r["content"]) for r in spark.read.parquet(table).collect()} == {("a", "first"), ("b", "second"), ("c", "second")}
+    batch = spark.read.parquet(table)
+    kept = spark.createDataFrame(batch.collect(), batch.schema)
+    ingest.merge(kept, table)  # a batch that runs again
+    assert spark.read.parquet(table).count() == 3
+
+
+def test_agreement_of_no_or_equal_labels(spark):
+    schema = "item int, rater string, label string"
+    same = spark.createDataFrame([(i, r, "A") for i in range(4) for r in "xy"], schema)
+    assert evaluation.krippendorff(same).first()[0] == 1.0 and evaluation.fleiss(same).first()[0] == 1.0
+    assert [tuple(r) for r in evaluation.pairwise_cohen(same).select("kappa", "pabak").collect()] == [(1.0, None)]
+    none = same.limit(0)
+    assert evaluation.krippendorff(none).first()[0] is None and evaluation.fleiss(none).first()[0] is None
+    three = spark.createDataFrame([(1, "x", "A"), (1, "y", "A"), (2, "x", "B"), (2, "y", "C")], schema)
+    assert evaluation.pairwise_cohen(three).first()["pabak"] == pytest.approx((3 * 0.5 - 1) / 2)
+
+
+def test_subsets_and_ranks_by_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    sets = [(f, n, sorted(rng.sample("abcdef", rng.randint(0, 4)))) for f in "xy" for n in range(40)]
+    want = {(f, n) for f, n, a in sets if any(f == g and set(a) < set(b) for g, _, b in sets)}
+    found = evaluation.subsets(spark.createDataFrame(sets, "folder string, name int, items array<string>"))
+    assert {tuple(r) for r in found.collect()} == want
+    values = {"a": [rng.randint(0, 50) / 7 for _ in range(501)], "b": [3.0] * 5, "c": [1.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    got = {r["k"]: (r["mid"], r["last"]) for r in evaluation.at_ranks(rows, "k", "v", {"mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1}).collect()}
+    assert got == {k: (sorted(v)[len(v) // 2], max(v)) for k, v in values.items()}
+
+
 def test_review(spark):
     pairs = review.assign(list(range(10)), ["a", "b", "c"], 2, 7, {0: ["a"]})
     load = {r: sum(x == r for _, x in pairs) for r in "abc"}
@@ -364,8 +476,8 @@ def test_fusion_cases(spark):
     best = X.shortlist(spark.createDataFrame([(1, "registration")], "qid int, question string"), heads).collect()
     assert [r["chunk_id"] for r in best] == ["a", "b"]
     assert [r["term"] for r in X.sanity(spark.createDataFrame([("AMF",)], "term string"), ["AMF", "SMF"]).collect()] == ["SMF"]
-    roots = questions.root_headings(spark.createDataFrame([(1, "how does registration of a device work")], "qid int, question string"), heads)
-    assert [(r["chunk_id"], r["coverage"]) for r in roots.collect()] == [("a", 1.0)]
+    roots = questions.root_headings(spark.createDataFrame([(1, "how does registration of a device of TS 23.502 work"), (2, "how does registration of a device work")], "qid int, question string"), heads.withColumn("spec_id", F.lit("ts_23_502")))
+    assert [(r["qid"], r["chunk_id"], r["coverage"]) for r in roots.collect()] == [(1, "a", 1.0)]
     chunks = spark.createDataFrame([("a", "s", "2", "x"), ("b", "s", "2.1", "x"), ("c", "s", "3", "x"), ("d", "s", "4", "Nx_A_B")], "chunk_id string, spec_id string, section_id string, title string")
     says = spark.createDataFrame([("b", "Nx_A_B"), ("d", "Nx_A_B")], "chunk_id string, op string")
     refs = spark.createDataFrame([("b", "c"), ("b", "a")], "src string, dst string")
