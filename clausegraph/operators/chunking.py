@@ -110,3 +110,10 @@ def structure_tags(questions: DataFrame) -> DataFrame:
     n = F.size("gold")
     tags = F.filter(F.array(F.when(specs >= 2, "multi-spec"), F.when((specs >= 2) & (n > specs), "clustered")), lambda t: t.isNotNull())
     return questions.select("qid", tags.alias("tags"))
+
+
+def tag_check(tagged: DataFrame, known: DataFrame, tags: tuple[str, ...] = ("multi-spec", "clustered")) -> DataFrame:
+    """(tag, both, said_only, known_only): how the tags' rules (qid, tags) agree with known tags (qid, known)."""
+    rows = tagged.join(known, "qid").select("tags", "known", F.explode(F.array(*map(F.lit, tags))).alias("tag"))
+    said, right = F.array_contains("tags", F.col("tag")), F.array_contains("known", F.col("tag"))
+    return rows.groupBy("tag").agg(F.count_if(said & right).alias("both"), F.count_if(said & ~right).alias("said_only"), F.count_if(right & ~said).alias("known_only"))

@@ -136,6 +136,13 @@ def verdict(low: Column, high: Column) -> Column:
     return F.when(low > 0, "positive").when(high < 0, "negative").when(low.isNotNull(), "zero")
 
 
+def trust(rows: DataFrame, least: int = 1) -> DataFrame:
+    """(group, n, score, flagged) of rows (groups, score, flagged): a row counts once in each of its groups and in 'all'; groups under `least` rows are left out."""
+    each = rows.select(F.explode(F.array_distinct(F.concat("groups", F.array(F.lit("all"))))).alias("group"), "score", "flagged")
+    found = each.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"), F.count_if(F.col("flagged")).alias("flagged"))
+    return found.where(F.col("n") >= least)
+
+
 def inherited(own: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """A run's files, and its parent's for configs that it has not."""
     return own.unionByName(parent.join(own.select(key).distinct(), key, "left_anti"))

@@ -143,6 +143,11 @@ def service_operations(g: Graph, service: int) -> DataFrame:
     return g.describes.join(ops, "op", "left_semi").groupBy("chunk_id").agg(F.countDistinct("op").alias("n_ops"))
 
 
+def name_bridge(named: DataFrame, terms: DataFrame) -> DataFrame:
+    """(op, term): operations (op, name) whose name is a term's full name, in any case of letters."""
+    return named.select("op", F.lower("name").alias("n")).join(terms.select("term", F.lower("full_name").alias("n")), "n").select("op", "term")
+
+
 def unused_terms(g: Graph) -> DataFrame:
     return g.terms.join(g.mentions, "term", "left_anti").select("term", "full_name")
 

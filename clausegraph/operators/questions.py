@@ -87,6 +87,30 @@ def named_terms(questions: DataFrame, terms: DataFrame) -> DataFrame:
     return found.withColumn("b", before).where("b is null or b < end").groupBy("qid", "term").agg(F.min("s").alias("matched"))
 
 
+def term_index(records: DataFrame) -> DataFrame:
+    """One record (seq, term, full_name, source_specs) an abbreviation in capitals: that with the most source specifications, then the first; records without one are left out."""
+    rows = records.withColumn("term", F.upper(F.trim("term"))).where("term <> ''")
+    best = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce(F.size("source_specs"), F.lit(0)).desc(), "seq"))
+    return rows.withColumn("_k", best).where("_k = 1").drop("_k")
+
+
+def resolved_terms(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, term, place, is_primary): the terms that a question resolves to, names before abbreviations.
+
+    Full names that the question says come first; only a question that says none is asked for its words
+    in capitals. The primary term is the first name, else the longest abbreviation, ties by place.
+    """
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower("question"), r"[^a-z0-9]+", " "), F.lit(" "))
+    names = index.select("term", F.lower("full_name").alias("s")).where(F.coalesce("s", F.lit("")) != "").groupBy("s").agg(F.min("term").alias("term"))
+    said = named_terms(questions, names.select("term", F.col("s").alias("full_name"))).where(F.col("matched") != F.lower("term"))
+    said = said.join(questions.select("qid", low.alias("q")), "qid").select("qid", "term", F.instr(F.col("q"), F.concat(F.lit(" "), F.regexp_replace("matched", r"[^a-z0-9]+", " "), F.lit(" "))).alias("place"), F.lit(0).alias("kind"))
+    words = questions.join(said.select("qid").distinct(), "qid", "left_anti").select("qid", F.posexplode(F.regexp_extract_all("question", F.lit(r"\b([A-Z][A-Z0-9\-]+)\b"), 1)).alias("place", "term"))
+    short = words.groupBy("qid", "term").agg(F.min("place").alias("place")).join(index.select("term"), "term", "left_semi").select("qid", "term", "place", F.lit(1).alias("kind"))
+    rows = said.unionByName(short)
+    order = Window.partitionBy("qid").orderBy("kind", F.when(F.col("kind") == 1, -F.length("term")).otherwise(0), "place", "term")
+    return rows.withColumn("is_primary", F.row_number().over(order) == 1).select("qid", "term", "place", "is_primary")
+
+
 def specs_named(question: Column) -> Column:
     """ts_23_501 and the like for every specification that the question names, once each."""
     numbers = F.regexp_extract_all(question, F.lit(r"(?i)\b(?:TS|TR)\s*(\d{2}\.\d{3}(?:-\d+)?)"), 1)
@@ -139,7 +163,7 @@ def scope_warnings(questions: DataFrame, terms: DataFrame, operations: DataFrame
 
 
 # What each role of a clause in a procedure is worth.
-ROLES = {"main": 1.0, "op_def": 0.8, "ref": 0.6}
+ROLES = {"main": 1.0, "op_def": 0.8, "named": 0.7, "ref": 0.6, "invoked": 0.65, "stage3": 0.6, "msg_def": 0.55, "named_in_text": 0.65, "cited_spec": 0.55}
 
 
 def content_words(c: Column) -> Column:
@@ -185,11 +209,44 @@ def root_headings(questions: DataFrame, headings: DataFrame, least: float = 0.75
     return fits.withColumn("k", F.row_number().over(best)).where("k = 1").select("qid", "chunk_id", "coverage")
 
 
-def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: DataFrame | None = None, most: int = 60) -> DataFrame:
+# Headings that name nothing, and nouns of entities, which no flow is named after.
+GENERIC_TITLES = ("general", "description", "overview", "introduction", "procedures", "procedure", "requirements", "test requirements", "initial conditions", "test procedure", "test purpose", "definitions", "abbreviations", "scope", "references", "void")
+
+
+def plain_words(c: Column) -> Column:
+    """Lower-case words with single spaces between and around them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9']+", " ")), F.lit(" "))
+
+
+def names_in_text(flows: DataFrame, headings: DataFrame, least_words: int = 3) -> DataFrame:
+    """(flow, chunk_id): headings (chunk_id, title) of three words or more that stand literally in a flow's text (flow, text).
+
+    A text's runs of words, as long as the titles there are, meet the titles by equality.
+    """
+    titles = headings.select("chunk_id", F.trim(plain_words(F.col("title"))).alias("s")).where(~F.col("s").isin(*GENERIC_TITLES)).withColumn("n", F.size(F.split("s", " "))).where(F.col("n") >= least_words)
+    lengths = titles.select("n").distinct()
+    words = flows.select("flow", F.split(F.trim(plain_words(F.col("text"))), " ").alias("w"))
+    runs = words.crossJoin(F.broadcast(lengths)).where(F.size("w") >= F.col("n"))  # one row a length of titles: a handful
+    runs = runs.select("flow", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("s")).distinct()
+    return runs.join(titles, "s").select("flow", "chunk_id").distinct()
+
+
+def names_in_question(questions: DataFrame, headings: DataFrame, least: float = 0.75) -> DataFrame:
+    """(qid, chunk_id): headings of which three quarters of the words, and two at least, stand in the question."""
+    h = headings.select("chunk_id", F.array_distinct(content_words(F.col("title"))).alias("tw")).where(F.size("tw") >= 2)
+    h = h.select("chunk_id", F.size("tw").alias("n"), F.explode("tw").alias("w"))
+    q = questions.select("qid", F.explode(F.array_distinct(content_words(F.col("question")))).alias("w"))
+    hits = q.join(h, "w").groupBy("qid", "chunk_id", "n").agg(F.count(F.lit(1)).alias("hit"))
+    return hits.where((F.col("hit") >= 2) & (F.col("hit") >= least * F.col("n"))).select("qid", "chunk_id")
+
+
+def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: DataFrame | None = None, most: int = 60, others: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, role, score): what belongs to a procedure.
 
     The root and its subtree are main; then come chunks that define operations which the main ones
-    describe (their titles have the name), then what the main ones cite. A chunk's best role counts.
+    describe (their titles have the name), then what the main ones cite. others: (qid, chunk_id, role)
+    of any other role, such as clauses that the question or the flow's text names, or messages' and
+    invoked procedures' clauses. A chunk's best role counts.
     """
     placed = roots.select("qid", "chunk_id").join(chunks.select("chunk_id", "spec_id", "section_id"), "chunk_id")
     exploded = chunks.select("chunk_id", "spec_id", F.explode(T.prefixes(F.col("section_id"))).alias("section_id"))
@@ -201,7 +258,9 @@ def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: Dat
         ops = main.join(describes, "chunk_id").select("qid", "op").distinct()
         named = describes.join(chunks.select("chunk_id", "title"), "chunk_id").where(F.col("title").contains(F.col("op")))
         rows = rows.unionByName(ops.join(named, "op").select("qid", "chunk_id", F.lit("op_def").alias("role")))
+    if others is not None:
+        rows = rows.unionByName(others.where(F.col("role").isin(*ROLES)).select("qid", "chunk_id", "role"))
     worth = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("role")]
-    rows = rows.withColumn("score", worth).groupBy("qid", "chunk_id").agg(F.max_by("role", "score").alias("role"), F.max("score").alias("score"))
+    rows = rows.withColumn("score", worth).groupBy("qid", "chunk_id").agg(F.max_by("role", F.struct("score", "role")).alias("role"), F.max("score").alias("score"))
     n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
     return rows.withColumn("n", n).where(F.col("n") <= most).select("qid", "chunk_id", "role", "score")

@@ -50,3 +50,9 @@ def upsert(ratings: DataFrame, new: DataFrame) -> DataFrame:
     first = ratings.unionByName(new).where("phase = 1").select("reviewer", "item").distinct()
     valid = new.where("phase = 1").unionByName(new.where("phase = 2").join(first, ["reviewer", "item"], "left_semi"))
     return ratings.join(valid.select(key), key, "left_anti").unionByName(valid)
+
+
+def missing_prerequisites(ratings: DataFrame) -> DataFrame:
+    """(reviewer, item) rated in phase 2 without a rating in phase 1; these are enrolled in phase 1 first."""
+    key = ["reviewer", "item"]
+    return ratings.where("phase = 2").select(key).distinct().join(ratings.where("phase = 1").select(key), key, "left_anti")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clausegraph.operators import fusion as X
 from clausegraph.operators import hierarchy as H
+from clausegraph.operators import patterns as P
+from clausegraph.operators import review as V
 from clausegraph.plans.eval_queries import RATINGS, RUNS, gold, ratings, runs
 from clausegraph.plans.graph_queries import SECTIONS, graph
 from clausegraph.plans.registry import query, table
@@ -73,7 +75,7 @@ graph("j28_chunks_of_cited_specs", ", e AS (SELECT DISTINCT b.spec_id FROM refs
 graph("j29_same_subject", "SELECT a.chunk_id AS a, b.chunk_id AS b FROM chunks a JOIN chunks b ON a.spec_id = b.spec_id AND a.title = b.title AND a.chunk_id < b.chunk_id WHERE a.chunk_type = 'definition'")(
     lambda g: g.chunks.where("chunk_type = 'definition'").select("spec_id", "title", F.col("chunk_id").alias("a")).join(g.chunks.select("spec_id", "title", F.col("chunk_id").alias("b")), ["spec_id", "title"]).where("a < b").select("a", "b")
 )
-graph("j10_name_bridge", "SELECT op, term FROM operations JOIN terms ON 'ring ' || CAST(op AS VARCHAR) = 'ring ' || CAST(term AS VARCHAR)")(lambda g: g.operations.select("op", F.concat(F.lit("ring "), F.col("op").cast("string")).alias("n")).join(g.terms.select("term", F.concat(F.lit("ring "), F.col("term").cast("string")).alias("n")), "n").select("op", "term"))
+graph("j10_name_bridge", "SELECT s.s_suppkey AS op, t.term FROM (SELECT s_suppkey, upper(p_name) AS name FROM supplier JOIN part ON p_partkey = s_suppkey * 3) s JOIN terms t ON lower(s.name) = lower(t.full_name)")(lambda g: P.name_bridge(g.operations.join(g.terms.select((F.col("term") / 3).alias("op"), F.upper("full_name").alias("name")), "op").select("op", "name"), g.terms))
 graph("j44_value_anchor", ", v AS (SELECT service, chunk_id, count(DISTINCT CASE WHEN op % 2 = 0 THEN op END) AS hits, count(DISTINCT op) AS n FROM describes JOIN operations USING (op) GROUP BY ALL) SELECT service, chunk_id, hits, n FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY hits DESC, n DESC, chunk_id) AS k FROM v) WHERE k <= 2")(
     lambda g: g.describes.join(g.operations, "op").groupBy("service", "chunk_id").agg(F.countDistinct(F.when(F.col("op") % 2 == 0, F.col("op"))).alias("hits"), F.countDistinct("op").alias("n"))
     .withColumn("k", F.row_number().over(Window.partitionBy("service").orderBy(F.desc("hits"), F.desc("n"), "chunk_id"))).where("k <= 2").select("service", "chunk_id", "hits", "n")
@@ -99,10 +101,12 @@ def confusion(spark, d):
     return X.confusion(rows, "quality", "j", ["clean", "toxic"])
 
 
-@query("w11_next_unfinished", "SELECT o_custkey AS reviewer, min(o_orderkey) AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY o_custkey")
+@query("w11_next_unfinished", "SELECT o_custkey AS reviewer, arg_min(o_orderkey, (o_orderkey % 7, o_orderkey)) AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY o_custkey")
 def next_unfinished(spark, d):
-    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(done, "o_orderkey", "left_anti").groupBy(F.col("o_custkey").alias("reviewer")).agg(F.min("o_orderkey").alias("item"))
+    o = table(spark, d, "orders")
+    assigned = o.select(F.col("o_custkey").alias("reviewer"), F.col("o_orderkey").alias("item"), F.struct(F.col("o_orderkey") % 7, "o_orderkey").alias("ord"))
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item")).distinct().join(assigned, "item")
+    return V.next_unfinished(assigned, done)
 
 
 @query("o8_append_missing", RATINGS + "SELECT item, rater FROM ratings UNION ALL SELECT o_orderkey, 9 FROM orders WHERE o_orderkey NOT IN (SELECT item FROM ratings)")

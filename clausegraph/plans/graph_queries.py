@@ -92,6 +92,13 @@ best0 AS (SELECT seed, ord, target, min(hops) AS hops FROM allh JOIN chunks s ON
 lim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, target) AS n FROM best0) WHERE n <= 50),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops, n, ord) AS f FROM lim) WHERE f = 1)
 """
+HOPS_BY = VIEWS + """, seeds AS (SELECT chunk_id AS seed, chunk_id % 4 AS grp, row_number() OVER (PARTITION BY chunk_id % 4 ORDER BY chunk_id) AS ord FROM (SELECT DISTINCT chunk_id FROM mentions WHERE term <= 20)),
+one AS (SELECT grp, seed, ord, dst AS target FROM seeds JOIN refs ON src = seed),
+allh AS (SELECT grp, seed, ord, target, 1 AS hops FROM one UNION ALL SELECT grp, seed, ord, dst, 2 FROM one JOIN refs ON src = target WHERE NOT (seed = target AND target = dst)),
+best0 AS (SELECT grp, seed, ord, target, min(hops) AS hops FROM allh JOIN chunks s ON s.chunk_id = seed JOIN chunks t ON t.chunk_id = target WHERE s.spec_id <> t.spec_id AND length(t.content) >= 100 GROUP BY ALL),
+lim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, seed ORDER BY hops, target) AS n FROM best0) WHERE n <= 50),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, target ORDER BY hops, n, ord) AS f FROM lim) WHERE f = 1)
+"""
 graph("j32_reference_hop", HOPS + "SELECT seed, target, hops, turn FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, target) AS turn FROM firsts) ORDER BY turn, ord LIMIT 40")(
     lambda g: H.hops(g.mentions.where("term <= 5").select("chunk_id").distinct().orderBy("chunk_id").limit(12).select(F.col("chunk_id").alias("seed"), F.row_number().over(P.Window.orderBy("chunk_id")).alias("ord")), g.refs, g.chunks)
 )

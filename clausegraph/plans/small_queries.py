@@ -6,8 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausegraph.functions import text as T
+from clausegraph.operators import hierarchy as H
 from clausegraph.operators import questions as Q
 from clausegraph.operators import retrieval as R
+from clausegraph.operators import review as V
+from clausegraph.plans.graph import order_graph
+from clausegraph.plans.graph_queries import HOPS_BY
 from clausegraph.plans.registry import query, table
 
 PARTS = "WITH s AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_partkey)) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey), t AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_partkey)) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey) "
@@ -91,23 +95,31 @@ def spec_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.spec_id(said).alias("spec"))
 
 
-@query("p23_questions", r"SELECT conv_id, turn, regexp_replace(text || chr(10) || 'A. one' || chr(10) || 'B. two', '(?s)\n\s*A[.)]\s.*$', '') AS q FROM conversations")
+@query("p23_questions", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN text || ' A. inline' ELSE text END AS q FROM conversations WHERE NOT regexp_matches(text, '\\n\\s*A[.)]\\s')")
 def bare_questions(spark, d):
-    """Choices that are put behind a text go again."""
-    return table(spark, d, "conversations").select("conv_id", "turn", T.without_choices(F.concat(F.col("text"), F.lit("\nA. one\nB. two"))).alias("q"))
+    """Lettered choices at the end go, in either form; a letter inside a line is none."""
+    tail = F.when(F.col("turn") % 3 == 0, "\nA. one\nB. two").when(F.col("turn") % 3 == 1, " A. inline").otherwise("\n  A) one\n  B) two")
+    rows = table(spark, d, "conversations").where(~F.col("text").rlike(r"\n\s*A[.)]\s"))
+    return rows.select("conv_id", "turn", T.without_choices(F.concat("text", tail)).alias("q"))
 
 
-@query("p24_answers", "SELECT conv_id, turn, 'so ' || text AS a FROM conversations")
+@query("p24_answers", "SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN '' WHEN 2 THEN 'so <think>' || text ELSE 'so ' || text END AS a FROM conversations")
 def bare_answers(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.without_thinking(F.concat(F.lit("<think>hm\nhm</think>\n"), F.lit("so "), F.col("text"))).alias("a"))
+    """A leading think block goes, over several lines and unfinished too; one inside the answer stays."""
+    k, said = F.col("turn") % 4, F.concat(F.lit("so "), F.col("text"))
+    answer = F.when(k == 0, F.concat(F.lit("<think>hm\nhm</think>\n"), said)).when(k == 1, F.concat(F.lit(" <think>never done "), "text")).when(k == 2, F.concat(F.lit("so <think>"), "text")).otherwise(said)
+    return table(spark, d, "conversations").where(~F.col("text").contains("</think>")).select("conv_id", "turn", T.without_thinking(answer).alias("a"))
 
 
-@query("p20_segments", "SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents WHERE length(trim(text)) > 0")
+@query("p20_segments", """WITH t AS (SELECT doc_id, doc_id % 3 AS k, CASE WHEN doc_id % 2 = 0 THEN repeat('long ', 49) || 'long' ELSE 'short head' END AS head, repeat('body ', 49) || 'body' AS body FROM documents),
+p AS (SELECT doc_id, doc_id % 2 = 0 AS long, head, CASE k WHEN 0 THEN '1.' || chr(9) || body ELSE body END AS one, CASE k WHEN 0 THEN '2.' || chr(9) || 'end' ELSE 'end' END AS two FROM t)
+SELECT doc_id, 0 AS pos, CASE WHEN long THEN head ELSE head || chr(10) || one END AS segment FROM p UNION ALL SELECT doc_id, 1, CASE WHEN long THEN one ELSE two END FROM p UNION ALL SELECT doc_id, 2, two FROM p WHERE long""")
 def segments(spark, d):
-    """With no length to reach, segments of texts without steps or blank lines are their lines; texts with blank lines are split there."""
-    rows = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
-    n = F.size(T.segments(F.col("text"), 0)).cast("long")
-    return rows.select("doc_id", F.when(F.col("text").rlike(r"\n\s*\n|^\s|\s$|\n\s|\s\n"), F.size(F.split("text", "\n")).cast("long")).otherwise(n).alias("lines"))
+    """Texts with steps, with blank lines and with lines alone, each with a first part that is long enough or is joined to the next."""
+    k, i = F.col("doc_id") % 3, F.col("doc_id")
+    head, body = F.when(i % 2 == 0, F.concat(F.repeat(F.lit("long "), 49), F.lit("long"))).otherwise("short head"), F.concat(F.repeat(F.lit("body "), 49), F.lit("body"))
+    text = F.when(k == 0, F.concat(head, F.lit("\n1.\t"), body, F.lit("\n2.\tend"))).when(k == 1, F.concat(head, F.lit("\n \n"), body, F.lit("\n\nend "))).otherwise(F.concat_ws("\n", head, body, F.lit("end")))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.segments(text)).alias("pos", "segment"))
 
 
 @query("w4_interleaved", "SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY t, o_custkey, o_orderkey) AS position FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS t FROM orders) WHERE t <= 2 ORDER BY t, o_custkey, o_orderkey LIMIT 50")
@@ -136,10 +148,10 @@ def progress(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("done"), F.bool_and(done).alias("locked"))
 
 
-@query("e26_missing_prerequisites", "SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderstatus = 'O')")
+@query("e26_missing_prerequisites", "WITH r AS (SELECT o_custkey AS reviewer, o_orderkey % 5 AS item, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END AS phase FROM orders) SELECT DISTINCT reviewer, item FROM r WHERE phase = 2 AND NOT EXISTS (SELECT 1 FROM r p WHERE p.reviewer = r.reviewer AND p.item = r.item AND p.phase = 1)")
 def missing_prerequisites(spark, d):
-    o = table(spark, d, "orders")
-    return o.where("o_orderstatus = 'F'").join(o.where("o_orderstatus = 'O'").select("o_custkey").distinct(), "o_custkey", "left_anti").select("o_custkey", "o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("reviewer"), (F.col("o_orderkey") % 5).alias("item"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("phase"))
+    return V.missing_prerequisites(rows)
 
 
 @query("e27_scope", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -156,6 +168,9 @@ def backfill_plan(spark, d):
     return backfill(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").where("n_chars > 1000").select("doc_id"), ["doc_id"])
 
 
-@query("j33_fewest_hops", "SELECT o_custkey, min(l_linenumber) AS hops, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+@query("j33_fewest_hops", HOPS_BY + "SELECT grp, seed, target, hops, turn FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY turn, ord, target) AS place FROM (SELECT *, row_number() OVER (PARTITION BY grp, seed ORDER BY hops, target) AS turn FROM firsts)) WHERE place <= 40")
 def fewest_hops(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.min("l_linenumber").alias("hops"), F.count(F.lit(1)).alias("n"))
+    """Many questions at once: each group's seeds take turns, and a target counts for the seed that reaches it by the fewest hops."""
+    g = order_graph(spark, d)
+    seeds = g.mentions.where("term <= 20").select(F.col("chunk_id").alias("seed")).distinct().withColumn("grp", F.col("seed") % 4)
+    return H.hops(seeds.withColumn("ord", F.row_number().over(Window.partitionBy("grp").orderBy("seed"))), g.refs, g.chunks, by="grp")

@@ -118,45 +118,12 @@ def content_types(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_type(F.substring("text", 1, 40), F.col("text")).alias("chunk_type"))
 
 
-@query("p14_complexity")
-def complexity(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("word_count"), T.complexity(F.col("text")).alias("complexity_score"))
-
-
-@query("p15_key_terms")
-def key_terms(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(T.KEY_TERM), 1)).alias("pos", "term"))
-    counts = found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).where("rank <= 10").select("doc_id", "term", "n", "rank")
-
-
 @query("p1_headings", r"""SELECT page_id, regexp_extract(line, '^(\d+(?:\.\d+)*)\s+(.+)$', 1) AS id, trim(regexp_extract(line, '^(\d+(?:\.\d+)*)\s+(.+)$', 2)) AS title FROM (SELECT page_id, CAST(page_id % 9 + 1 AS VARCHAR) || '.' || CAST(page_id % 4 AS VARCHAR) || ' ' || split_part(url, '/', 3) AS line FROM pages)""")
 def headings(spark, d):
     line = F.concat((F.col("page_id") % 9 + 1).cast("string"), F.lit("."), (F.col("page_id") % 4).cast("string"), F.lit(" "), F.split_part("url", F.lit("/"), F.lit(3)))
     return table(spark, d, "pages").select("page_id", T.heading(line).alias("h")).select("page_id", "h.id", "h.title")
 
 
-LINES = "WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), h AS (SELECT *, CASE WHEN length(line) < 120 THEN pos END AS head FROM e), s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h) "
-
-
-@query("p5_sections", LINES + "SELECT doc_id, section::INT AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM s WHERE section IS NOT NULL GROUP BY ALL")
-def sections(spark, d):
-    """Each line belongs to the latest heading; a short line stands for a heading here."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
-    head = F.when(F.length("line") < 120, F.col("pos"))
-    latest = F.last(head, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("section", latest).where("section is not null").groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
-
-
-@query("p3_before_stop", LINES + "SELECT doc_id, count(*) AS lines FROM h WHERE pos < coalesce((SELECT min(pos) FROM h x WHERE x.doc_id = h.doc_id AND contains(lower(x.line), 'license')), 1000000000) GROUP BY doc_id")
-def before_stop(spark, d):
-    """Lines before the first that stops the scan."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    stop = F.min(F.when(F.lower("line").contains("license"), F.col("pos"))).over(Window.partitionBy("doc_id"))
-    return rows.withColumn("stop", stop).where("stop is null or pos < stop").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
-
-
 @query("p9_split", """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, length(text) AS n FROM documents),
 f AS (SELECT doc_id, 1 AS i, 1 AS part, length(ls[1]) + 1 AS size FROM l WHERE n > 2000
 UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN f.size + length(l.ls[f.i + 1]) + 1 > 2000 THEN part + 1 ELSE part END, CASE WHEN f.size + length(l.ls[f.i + 1]) + 1 > 2000 THEN length(l.ls[f.i + 1]) + 1 ELSE f.size + length(l.ls[f.i + 1]) + 1 END FROM f JOIN l USING (doc_id) WHERE f.i < len(l.ls))
@@ -166,13 +133,6 @@ def split(spark, d):
     return parts.select("doc_id", (F.col("part") + 1).alias("part"), F.length("content").cast("long").alias("chars"))
 
 
-@query("p10_duplicate_names", "SELECT doc_id, CASE WHEN n = 1 THEN name ELSE name || '~' || n END AS section_id FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS n FROM (SELECT doc_id, source, CAST(n_chars % 50 AS VARCHAR) AS name FROM documents))")
-def duplicate_names(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") % 50).cast("string").alias("name"))
-    n = F.row_number().over(Window.partitionBy("source", "name").orderBy("doc_id"))
-    return rows.withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("~", "name", "n")).alias("section_id"))
-
-
 @query("p21_preview", "SELECT doc_id, CASE WHEN length(t) > 100 THEN left(t, 100) || '...' ELSE t END AS preview FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)")
 def previews(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
@@ -181,7 +141,7 @@ def previews(spark, d):
 @query("r2_passage", "SELECT doc_id, CASE WHEN starts_with(text, title) THEN text ELSE title || chr(10) || text END AS passage FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE source END AS title FROM documents)")
 def passages(spark, d):
     rows = table(spark, d, "documents").withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("source")))
-    return rows.select("doc_id", F.when(F.col("text").startswith(F.col("title")), F.col("text")).otherwise(F.concat_ws("\n", "title", "text")).alias("passage"))
+    return rows.select("doc_id", T.passage(F.col("title"), F.col("text")).alias("passage"))
 
 
 @query("s3_main_body", r"""SELECT doc_id, NOT regexp_matches(lower(n), 'cover|annex|history|amendment') AND NOT contains(lower(n), '-rm.') AND NOT starts_with(n, '._') AND (regexp_matches(lower(n), 'main[-_ ]?body') OR regexp_matches(n, '(?i)^\d{5}(-\d+)*-[a-z]{0,2}\d{1,3}(-cl)?(_s[\w\-.]+)?\.docx$')) AS main
@@ -192,11 +152,6 @@ def main_bodies(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_main_body(name).alias("main"))
 
 
-@query("s8_versions", "SELECT lang, source, count(*) AS n, max(doc_id) AS chosen FROM documents GROUP BY ALL")
-def versions(spark, d):
-    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max_by("doc_id", "doc_id").alias("chosen"))
-
-
 @query("s9_merge_parts", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM (SELECT doc_id, source, 0 AS seq FROM documents WHERE n_chars % 2 = 0 UNION ALL SELECT doc_id, 'late', 1 FROM documents)) WHERE n = 1")
 def merge_parts(spark, d):
     docs = table(spark, d, "documents")
@@ -204,11 +159,6 @@ def merge_parts(spark, d):
     return R.first_wins(rows, F.col("doc_id"), "seq").select("doc_id", "source")
 
 
-@query("s7_unprocessed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def unprocessed(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
-
-
 @query("s14_conversations", "SELECT conv_id, count(*) AS messages, left(arg_min(text, turn) FILTER (WHERE role = 'user'), 80) AS title, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def conversations(spark, d):
     first = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
@@ -226,14 +176,6 @@ def transcripts(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias("transcript"))
 
 
-@query("t3_definitions", "SELECT doc_id, trim(split_part(line, ' ', 1)) AS term, trim(substr(line, length(split_part(line, ' ', 1)) + 2)) AS definition FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) WHERE length(trim(substr(line, length(split_part(line, ' ', 1)) + 2))) > 10")
-def definitions(spark, d):
-    """A first word and what follows it, where that is longer than ten characters."""
-    parts = F.split(F.split("text", "\n")[0], " ", 2)
-    rows = table(spark, d, "documents").select("doc_id", F.trim(parts[0]).alias("term"), F.trim(F.get(parts, F.lit(1))).alias("definition"))
-    return rows.where(F.length("definition") > 10)
-
-
 DEFINITION_LINES = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 x AS (SELECT doc_id, pos, trim(regexp_replace(CASE WHEN contains(line, ':') THEN line ELSE regexp_replace(line, '^([^\s:]+) ', '\1: ') END, '^\s+|\s+$', '', 'g')) AS line FROM l),

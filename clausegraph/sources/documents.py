@@ -165,6 +165,12 @@ def unprocessed(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("name").distinct(), "name", "left_anti")
 
 
+def parts_or_last(files: DataFrame) -> DataFrame:
+    """Of (spec, stem, file): all files of specifications with one stem, which are its parts; of the others, which come in several versions, the last file by name."""
+    one = files.groupBy("spec").agg((F.count_distinct("stem") == 1).alias("_parts"), F.max("file").alias("_last"))
+    return files.join(one, "spec").where(F.col("_parts") | (F.col("file") == F.col("_last"))).drop("_parts", "_last")
+
+
 def metadata(elements: DataFrame) -> DataFrame:
     """(path, spec_id, version, title, release): from the first 5000 characters, else from the file's name."""
     opening = elements.where("text is not null").groupBy("path").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n"), 1, 5000).alias("head"))

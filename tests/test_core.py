@@ -55,6 +55,15 @@ def test_complexity_against_python(spark):
     assert one(spark, T.complexity(F.col("s")), s=text) == round(min(1, len(text.split()) / 1000 * 0.5 + tech / 50 * 0.5), 3)
 
 
+def test_rounding_is_python_s(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [k / 2000 for k in range(2001)] + [k / 1000 * 0.5 + j / 50 * 0.5 for k in range(0, 900, 7) for j in range(12)] + [rng.random() for _ in range(500)]
+    found = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.rounded(F.col("x"), 3).alias("r")).collect()
+    assert all(r["r"] == round(r["x"], 3) for r in found)
+
+
 def brute_split(content, limit):
     if len(content) <= limit:
         return [content]
