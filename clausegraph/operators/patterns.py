@@ -124,23 +124,37 @@ def next_steps(steps: DataFrame) -> DataFrame:
     return steps.withColumn("next", following).where("next is not null").select(F.col("step_id").alias("src"), F.col("next").alias("dst"))
 
 
+# From this size on a clause holds an operation because it holds half of a specification; the hard anchors of a question.
+OVERSIZED, MOST_ANCHORS = 40_000, 3
+
+
 def per_operation(g: Graph, k: int = 2) -> DataFrame:
-    """For each operation the k chunks with the shortest content, ties by id."""
-    rows = g.describes.join(g.chunks.select("chunk_id", F.length("content").alias("size")), "chunk_id")
-    rank = F.row_number().over(Window.partitionBy("op").orderBy("size", "chunk_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("op", "chunk_id", "rank")
+    """(op, chunk_id, title_score, matched, rank): for each operation the k clauses that define it best.
+
+    A title with the operation's name counts 2, one with the last part of the name (of four characters
+    or more) 1; then come clauses that describe more of the operations, then the shorter, then by id.
+    """
+    name, title = F.lower(F.col("op").cast("string")), F.lower(F.coalesce("title", F.lit("")))
+    last = F.substring_index(name, "_", -1)
+    score = F.when(F.contains(title, name), 2).when((F.length(last) >= 4) & F.contains(title, last), 1).otherwise(0)
+    matched = g.describes.groupBy("chunk_id").agg(F.countDistinct("op").alias("matched"))
+    rows = g.describes.join(matched, "chunk_id").join(g.chunks.select("chunk_id", "title", F.length("content").alias("size")), "chunk_id").withColumn("title_score", score)
+    rank = F.row_number().over(Window.partitionBy("op").orderBy(F.desc("title_score"), F.desc("matched"), "size", "chunk_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("op", "chunk_id", "title_score", "matched", "rank")
 
 
-def all_operations(g: Graph, asked: list[int], k: int = 3) -> DataFrame:
-    """Chunks that describe two or more asked operations: most first, then the shorter, then by id."""
+def all_operations(g: Graph, asked: list[int], k: int = MOST_ANCHORS) -> DataFrame:
+    """Clauses that describe two or more asked operations: most first; then those that are not oversized, no study, shorter; then by id."""
     n = g.describes.where(F.col("op").isin(asked)).groupBy("chunk_id").agg(F.countDistinct("op").alias("matched")).where("matched >= 2")
-    rows = n.join(g.chunks.select("chunk_id", F.length("content").alias("size")), "chunk_id")
-    return top(rows, k, F.desc("matched"), "size", "chunk_id")
+    rows = n.join(g.chunks.select("chunk_id", "spec_id", F.length("content").alias("size")), "chunk_id")
+    study = F.coalesce(F.regexp_extract(F.col("spec_id").cast("string"), r"^[^_]*_[^_]*_(\d{3})", 1).try_cast("int") >= 700, F.lit(False))
+    return top(rows, k, F.desc("matched"), F.col("size") > OVERSIZED, study, "size", "chunk_id").drop("spec_id")
 
 
-def service_operations(g: Graph, service: int) -> DataFrame:
-    ops = g.operations.where(F.col("service") == service)
-    return g.describes.join(ops, "op", "left_semi").groupBy("chunk_id").agg(F.countDistinct("op").alias("n_ops"))
+def service_operations(g: Graph, service: str) -> DataFrame:
+    """(chunk_id, n_ops): clauses by how many operations of a service they describe; an operation is a service's if its name starts with the service's."""
+    ops = g.describes.where(F.startswith(F.col("op").cast("string"), F.lit(service)))
+    return ops.groupBy("chunk_id").agg(F.countDistinct("op").alias("n_ops"))
 
 
 def name_bridge(named: DataFrame, terms: DataFrame) -> DataFrame:

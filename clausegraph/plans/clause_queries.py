@@ -17,6 +17,7 @@ from clausegraph.operators import extract as X
 from clausegraph.operators import fusion as U
 from clausegraph.operators import questions as Q
 from clausegraph.plans import store
+from clausegraph.plans.graph import VIEWS, order_graph
 from clausegraph.plans.registry import query, table
 from clausegraph.sources import documents as D
 
@@ -385,6 +386,30 @@ def term_index(spark, d):
     return Q.term_index(_records(spark, d)).select("term", "full_name", F.size("source_specs").cast("long").alias("n_specs"))
 
 
+@query("r30_resolved_terms", """WITH q AS (SELECT o_orderkey AS qid, o_orderkey % 4 AS k FROM orders), v(k, term, is_primary) AS (VALUES (0, 'AMF', true), (1, 'SMF', true), (1, 'AMF', false), (2, 'PDUSET', true), (2, 'UPF', false)) SELECT qid, term, is_primary FROM q JOIN v USING (k)""")
+def resolved_terms(spark, d):
+    """Names come before abbreviations, which are asked for only where no name is said; the longest of these is primary."""
+    index = spark.createDataFrame([("AMF", "access function"), ("SMF", "session function"), ("UPF", "plane function"), ("PDUSET", "set of units")], "term string, full_name string")
+    said = F.element_at(F.array(*map(F.lit, ("How does the Access function meet the UPF", "Of the session function and the access function", "UPF and PDUSET and XYZ", "nothing of the kind"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return Q.resolved_terms(table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), said.alias("question")), index).select("qid", "term", "is_primary")
+
+
+@query("q5_corpus_shape", VIEWS + "SELECT 'spec' AS kind, CAST(spec_id AS VARCHAR) AS name, count(*) AS n FROM chunks GROUP BY spec_id UNION ALL SELECT 'type', chunk_type, count(*) FROM chunks GROUP BY chunk_type " + " ".join(f"UNION ALL SELECT 'label', '{n}', count(*) FROM {n}" for n in ("chunks", "terms", "mentions", "operations", "describes", "provided", "steps", "involves", "refs")))
+def corpus_shape(spark, d):
+    from clausegraph.plans.service import corpus_shape
+
+    return corpus_shape(order_graph(spark, d))
+
+
+@query("q3_readonly", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderkey > 5 GROUP BY o_orderstatus")
+def readonly(spark, d):
+    """A guarded query's text over a view, with a parameter."""
+    from clausegraph.plans.service import guard
+
+    table(spark, d, "orders").createOrReplaceTempView("orders_asked")
+    return spark.sql(guard(spark, "```sql\nWITH o AS (SELECT * FROM orders_asked WHERE o_orderkey > :low) SELECT o_orderstatus AS status, count(*) AS n FROM o GROUP BY o_orderstatus;\n```"), {"low": 5})
+
+
 @query("r34_scope_warnings", "WITH q AS (SELECT c_custkey AS qid, 'Nqf' || c_custkey % 9 || '_Session_Create' AS op, 'QF' FROM customer), w AS (SELECT qid, 'unknown operation ' || op AS warning FROM q WHERE qid % 9 >= 5 UNION ALL SELECT qid, 'unknown abbreviation ' || a FROM q, (VALUES ('XYZ')) AS v(a)) SELECT qid, warning FROM w")
 def scope_warnings(spark, d):
     q = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("does Nqf"), _str(F.col("c_custkey") % 9), F.lit("_Session_Create reach the AMF or XYZ")).alias("question"))

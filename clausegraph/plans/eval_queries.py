@@ -123,9 +123,12 @@ def facets(spark, d):
     return table(spark, d, "documents").select(pairs).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a16_facet_filter", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') AND (contains(lower(text), 'the') OR contains(CAST(doc_id AS VARCHAR), '7'))")
+@query("a16_facet_filter", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3') AND (contains(lower(text), 'the') OR contains(CAST(doc_id AS VARCHAR), '7')) AND list_has_all([lang || doc_id % 2, 'n' || n_chars % 3, 'd' || doc_id % 2], ['d1', 'n1'])")
 def facet_filter(spark, d):
-    return table(spark, d, "documents").where(F.col("lang").isin("en", "de") & F.col("source").isin("src1", "src2", "src3") & (F.lower("text").contains("the") | F.col("doc_id").cast("string").contains("7"))).select("doc_id")
+    """Any of the values of a facet, all of the asked tags, and a part of the text or the id."""
+    tags = F.array(F.concat("lang", (F.col("doc_id") % 2).cast("string")), F.concat(F.lit("n"), (F.col("n_chars") % 3).cast("string")), F.concat(F.lit("d"), (F.col("doc_id") % 2).cast("string")))
+    asked = F.forall(F.array(F.lit("d1"), F.lit("n1")), lambda t: F.array_contains(tags, t))
+    return table(spark, d, "documents").where(asked & F.col("lang").isin("en", "de") & F.col("source").isin("src1", "src2", "src3") & (F.lower("text").contains("the") | F.col("doc_id").cast("string").contains("7"))).select("doc_id")
 
 
 @query("s17_inherited_runs", "SELECT o_custkey AS config, o_orderkey AS v FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, -o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")

@@ -110,9 +110,9 @@ graph("j37_neighbourhood", ", e AS (SELECT chunk_id, 'MENTIONS' AS t, term AS v
 graph("j38_titles_in_specs", "SELECT chunk_id, title FROM chunks WHERE title IN ('5-LOW clause 3', '2-HIGH clause 2.1') AND spec_id IN (1, 2, 3) ORDER BY chunk_id LIMIT 3")(lambda g: P.top(g.chunks.where(F.col("title").isin("5-LOW clause 3", "2-HIGH clause 2.1") & F.col("spec_id").isin(1, 2, 3)).select("chunk_id", "title"), 3, "chunk_id"))
 graph("j39_quoted_phrase", "SELECT chunk_id, title FROM chunks WHERE contains(title, 'clause 4') ORDER BY length(title), chunk_id LIMIT 5")(lambda g: P.top(g.chunks.where(F.col("title").contains("clause 4")).select("chunk_id", "title"), 5, F.length("title"), "chunk_id"))
 graph("j40_cited_clause", "SELECT chunk_id, section_id, CASE WHEN section_id = '3.2' THEN 0 ELSE 1 END AS child FROM chunks WHERE spec_id = 3 AND (section_id = '3.2' OR starts_with(section_id, '3.2.'))")(lambda g: g.chunks.where((F.col("spec_id") == SPEC) & ((F.col("section_id") == "3.2") | F.col("section_id").startswith("3.2."))).select("chunk_id", "section_id", F.when(F.col("section_id") == "3.2", 0).otherwise(1).alias("child")))
-graph("j41_per_operation", "SELECT op, chunk_id, rank FROM (SELECT op, chunk_id, row_number() OVER (PARTITION BY op ORDER BY length(content), chunk_id) AS rank FROM describes JOIN chunks USING (chunk_id)) WHERE rank <= 2")(P.per_operation)
+graph("j41_per_operation", ", m AS (SELECT chunk_id, count(DISTINCT op) AS matched FROM describes GROUP BY chunk_id) SELECT op, chunk_id, title_score, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY title_score DESC, matched DESC, size, chunk_id) AS rank FROM (SELECT op, chunk_id, matched, length(content) AS size, CASE WHEN contains(lower(title), CAST(op AS VARCHAR)) THEN 2 ELSE 0 END AS title_score FROM describes JOIN m USING (chunk_id) JOIN chunks USING (chunk_id))) WHERE rank <= 2")(P.per_operation)
 graph("j42_all_operations", "SELECT chunk_id, matched, length(content) AS size FROM (SELECT chunk_id, count(DISTINCT op) AS matched FROM describes WHERE op IN (1, 2, 3) GROUP BY chunk_id HAVING count(DISTINCT op) >= 2) JOIN chunks USING (chunk_id) ORDER BY matched DESC, size, chunk_id LIMIT 3")(lambda g: P.all_operations(g, OPS).withColumn("size", F.col("size").cast("long")))
-graph("j43_service_operations", "SELECT chunk_id, count(DISTINCT op) AS n_ops FROM describes WHERE op IN (SELECT op FROM operations WHERE service = 5) GROUP BY chunk_id")(lambda g: P.service_operations(g, 5))
+graph("j43_service_operations", "SELECT chunk_id, count(DISTINCT op) AS n_ops FROM describes WHERE starts_with(CAST(op AS VARCHAR), '1') GROUP BY chunk_id")(lambda g: P.service_operations(g, "1"))
 graph("j46_subtree", "SELECT chunk_id, section_id FROM chunks WHERE spec_id = 3 AND (section_id = '2' OR starts_with(section_id, '2.') OR starts_with(section_id, '2p'))")(lambda g: g.chunks.where((F.col("spec_id") == SPEC) & F.col("section_id").rlike(r"^2([.p]|$)")).select("chunk_id", "section_id"))
 graph("j51_unknown_targets", "SELECT DISTINCT dst FROM refs WHERE dst NOT IN (SELECT chunk_id FROM chunks)")(P.missing_targets)
 graph("j51_unused_terms", "SELECT term, full_name FROM terms WHERE term NOT IN (SELECT term FROM mentions JOIN chunks USING (chunk_id) WHERE spec_id = 3)")(lambda g: P.unused_terms(replace(g, mentions=g.mentions.join(g.chunks.where(F.col("spec_id") == SPEC), "chunk_id", "left_semi"))))

@@ -16,6 +16,7 @@ from clausegraph.operators import patterns as P
 from clausegraph.operators import questions as Q
 from clausegraph.operators import retrieval as R
 from clausegraph.plans.graph import Graph
+from clausegraph.sources.clients import first_json as first_object  # noqa: F401  part of the service
 
 # Bounds of ad-hoc queries, modes, rungs of the ablation ladder, widths.
 MOST_ROWS = 1000
@@ -317,14 +318,19 @@ def ladder(config: Config) -> list[Config]:
     return [replace(config, rung=r) for r in LADDER]
 
 
-def first_object(text: str) -> dict | None:
-    """The first balanced JSON object in a text, whatever stands around it."""
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"\{", text):
-        try:
-            found, _ = decoder.raw_decode(text[m.start() :])
-        except ValueError:
-            continue
-        if isinstance(found, dict):
-            return found
-    return None
+def corpus_shape(graph: Graph) -> DataFrame:
+    """(kind, name, n): how many clauses a specification and a type have, and how many rows a label."""
+    by = lambda kind, c: graph.chunks.groupBy(F.col(c).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return by("spec", "spec_id").unionByName(by("type", "chunk_type")).unionByName(P.edge_counts(graph).select(F.lit("label").alias("kind"), F.col("label").alias("name"), "n"))
+
+
+def recovered(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """df with columns named as wanted, where a query called them otherwise: c.chunk_id, CHUNK_ID or `chunk id` for chunk_id. The first that fits is taken; a name that is there stays."""
+    plain = lambda c: re.sub(r"[^a-z0-9]+", "_", c.rsplit(".", 1)[-1].lower()).strip("_")
+    names = list(df.columns)
+    for want in wanted:
+        if want not in names:
+            at = next((i for i, n in enumerate(names) if n not in wanted and plain(n) == want.lower()), None)
+            if at is not None:
+                names[at] = want
+    return df.toDF(*names)

@@ -89,3 +89,16 @@ def snapshot_tables(gold: DataFrame, tables: DataFrame) -> DataFrame:
     spec = lambda c: F.substring_index(c, "_", 3)
     asked = gold.select("qid", "chunk_id", spec(F.col("chunk_id")).alias("spec_id"))
     return asked.join(tables.select("spec_id", "chunk_id", "table"), ["spec_id", "chunk_id"]).select("qid", "chunk_id", "table")
+
+
+def append_turns(conversations: DataFrame, new: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) with new messages (conv_id, seq, role, text) after the last turn of each; unknown ones begin at 0."""
+    last = conversations.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq"))
+    added = new.withColumn("_n", n).join(last, "conv_id", "left").select("conv_id", (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("long").alias("turn"), "role", "text")
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(added)
+
+
+def without_conversations(conversations: DataFrame, gone: DataFrame) -> DataFrame:
+    """Conversations but for those whose conv_id is in gone."""
+    return conversations.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausegraph.functions import text as T
 from clausegraph.operators import extract as X
 from clausegraph.operators import retrieval as R
+from clausegraph.plans import store
 from clausegraph.plans.registry import query, table
 
 WORDS = "regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*')"
@@ -97,6 +98,12 @@ def robin(spark, d):
     return R.round_robin(rows, 10)
 
 
+@query("r20_backfill", BM25 + ", g AS (SELECT qid // 3 AS q, qid AS gap, doc, rank FROM bm WHERE rank <= 2), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, doc ORDER BY rank, gap) AS n FROM g) WHERE n = 1), t AS (SELECT q, gap, doc, row_number() OVER (PARTITION BY q ORDER BY rank, gap) AS position FROM f), l AS (SELECT q, max(position) AS last FROM t GROUP BY q), o AS (SELECT qid // 3 AS q, doc, min(rank) AS rank FROM bm GROUP BY ALL), m AS (SELECT o.q, o.doc, row_number() OVER (PARTITION BY o.q ORDER BY o.rank, o.doc) AS after FROM o ANTI JOIN t ON o.q = t.q AND o.doc = t.doc) SELECT q AS qid, gap, doc, position FROM t UNION ALL SELECT q, NULL, doc, after + last FROM m JOIN l USING (q) WHERE after + last <= 10")
+def backfilled(spark, d):
+    rows = bm25(spark, d).select(F.floor(F.col("qid") / 3).alias("qid"), F.col("qid").alias("gap"), "doc", "rank")
+    return R.round_robin(rows.where("rank <= 2"), 10, rows.groupBy("qid", "doc").agg(F.min("rank").alias("rank")))
+
+
 @query("r35_context", BM25.replace("WITH d", "WITH RECURSIVE d") + """, x AS (SELECT qid, doc, rank, least(n_chars, 4000) AS size FROM bm JOIN documents ON doc_id = doc),
 fold AS (SELECT qid, 0::BIGINT AS rank, 0::BIGINT AS used, NULL::BIGINT AS doc, 0::BIGINT AS size, false AS fits FROM (SELECT DISTINCT qid FROM x)
 UNION ALL SELECT f.qid, x.rank, CASE WHEN f.used + x.size <= 9000 THEN f.used + x.size ELSE f.used END, x.doc, x.size, f.used + x.size <= 9000 FROM fold f JOIN x ON x.qid = f.qid AND x.rank = f.rank + 1)
@@ -165,6 +172,15 @@ def conversations(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.substring(first, 1, 80).alias("title"), F.max("turn").alias("last_turn"))
 
 
+@query("s14_appended", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id, max(turn) + 1, 'user', 'more' FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 2 = 0 GROUP BY conv_id UNION ALL SELECT conv_id, max(turn) + 2, 'assistant', 'done' FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 2 = 0 GROUP BY conv_id")
+def appended(spark, d):
+    """A question and its answer behind every other conversation, and every fifth deleted."""
+    rows = table(spark, d, "conversations")
+    said = F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("user").alias("role"), F.lit("more").alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("assistant").alias("role"), F.lit("done").alias("text"))))
+    new = rows.where("conv_id % 2 = 0").select("conv_id").distinct().select("conv_id", said.alias("m")).select("conv_id", "m.*")
+    return store.without_conversations(store.append_turns(rows, new), rows.where("conv_id % 5 = 0"))
+
+
 @query("s16_export", "SELECT l.doc_id, quality, toxic, lang || ';' || source AS tags FROM labels l LEFT JOIN documents USING (doc_id)")
 def export(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id", "left").select("doc_id", "quality", "toxic", F.array_join(F.array("lang", "source"), ";").alias("tags"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
@@ -132,3 +133,50 @@ def prompt(question: str, context: list[tuple[str, str]], force: bool = False, w
     rule = "Answer from the numbered clauses and cite them as [n]." + ("" if force else " If they do not cover the question, say 'Context does not cover'.")
     parts = [rule, *(f"Note: {w}." for w in warnings or []), *(f"[{i}] {title}\n{text}" for i, (title, text) in enumerate(context, 1))]
     return "\n\n".join(parts) + f"\nQuestion: {question}"
+
+
+def first_json(text: str) -> dict | None:
+    """The first balanced JSON object in a text, whatever stands around it."""
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"\{", text):
+        try:
+            found, _ = decoder.raw_decode(text[m.start() :])
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    return None
+
+
+def classify(ask: Callable[[str], str], question: str, intents: Iterable[str], fallback: Callable[[str], str]) -> dict:
+    """{'intent', 'terms', 'by'}: a model's answer where it is a JSON object with a known intent and a list of strings, else the fallback's intent and no terms."""
+    try:
+        said = first_json(ask(f"Reply with JSON: intent (one of {', '.join(intents)}) and terms (a list of names).\nQuestion: {question}")) or {}
+    except Failed:
+        said = {}
+    terms = said.get("terms")
+    if said.get("intent") in tuple(intents) and isinstance(terms, list) and all(isinstance(t, str) for t in terms):
+        return {"intent": said["intent"], "terms": [t.strip() for t in terms if t.strip()], "by": "model"}
+    return {"intent": fallback(question), "terms": [], "by": "rules"}
+
+
+def asks_whole_flow(ask: Callable[[str], str], question: str) -> bool:
+    """Whether a model says, in a JSON object, that a question asks for a whole procedure; no if it says nothing of the kind."""
+    try:
+        said = first_json(ask(f"Reply with JSON: whole_flow (true or false), whether the question asks for a procedure from begin to end.\nQuestion: {question}")) or {}
+    except Failed:
+        return False
+    return said.get("whole_flow") is True
+
+
+def choose_root(ask: Callable[[str], str], question: str, headings: list[tuple[str, str]]) -> str | None:
+    """The id of one of the headings (id, title), best first, that a model names by its number; the first of them where it names none."""
+    if not headings:
+        return None
+    listed = "\n".join(f"{i}. {title}" for i, (_, title) in enumerate(headings, 1))
+    try:
+        number = re.search(r"\d+", ask(f"Reply with the number of the heading that names the procedure.\n{listed}\nQuestion: {question}"))
+    except Failed:
+        number = None
+    at = int(number.group()) if number else 0
+    return headings[at - 1][0] if 1 <= at <= len(headings) else headings[0][0]

@@ -473,6 +473,28 @@ def test_clients():
     assert router("xy", "") == "x" and "AMF" in router("m", C.prompt("what does AMF do", [("t", "The AMF moves. Other.")]))
 
 
+def test_model_backed_choices():
+    from clausegraph.sources import clients as C
+
+    rules = lambda q: "general"
+    assert C.classify(lambda p: 'Sure: {"intent": "definition", "terms": [" AMF ", ""]}', "q", ["definition"], rules) == {"intent": "definition", "terms": ["AMF"], "by": "model"}
+    for bad in ("nothing", '{"intent": "other", "terms": []}', '{"intent": "definition", "terms": [1]}', '{"intent": "definition"}'):
+        assert C.classify(lambda p, bad=bad: bad, "q", ["definition"], rules) == {"intent": "general", "terms": [], "by": "rules"}
+
+    def failing(prompt):
+        raise C.Failed(503)
+
+    assert C.classify(failing, "q", ["definition"], rules)["by"] == "rules" and C.asks_whole_flow(failing, "q") is False and C.choose_root(failing, "q", [("a", "A")]) == "a"
+    assert C.asks_whole_flow(lambda p: '{"whole_flow": true}', "q") is True and C.asks_whole_flow(lambda p: '{"whole_flow": "yes"}', "q") is False
+    heads = [("a", "Registration"), ("b", "Paging")]
+    assert [C.choose_root(lambda p, x=x: x, "q", heads) for x in ("2", "It is 2.", "none", "7")] == ["b", "b", "a", "a"] and C.choose_root(lambda p: "1", "q", []) is None
+
+
+def test_recovered_columns(spark):
+    df = spark.range(1).select(F.lit(1).alias("c.chunk_id"), F.lit(2).alias("SPEC ID"), F.lit(3).alias("score"), F.lit(4).alias("d.score"))
+    assert service.recovered(df, ["chunk_id", "spec_id", "score"]).columns == ["chunk_id", "spec_id", "score", "d.score"]
+
+
 def test_fusion_cases(spark):
     from clausegraph.operators import fusion as X
 
