@@ -71,6 +71,13 @@ def siblings(seeds: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("seed", "chunk_id", "rank")
 
 
+def same_subject(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, same_as, n): clauses of one specification and title, where there are several and one of them defines: by their first definition, not as pairs."""
+    key = ["spec_id", "title"]
+    groups = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("chunk_type") == "definition", F.col("chunk_id"))).alias("same_as")).where("n > 1 and same_as is not null")
+    return chunks.select("chunk_id", *key).join(groups, key).select("chunk_id", "same_as", "n")
+
+
 # Fixed value: the least content of a clause that a hop may reach.
 HOP_LEAST_CHARS = 100
 

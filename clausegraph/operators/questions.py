@@ -149,6 +149,17 @@ def study_and_function(score: Column, spec_id: Column, title: Column, functional
     return score * F.when(is_report(spec_id), 0.7).otherwise(1.0) * F.when(functional & F.lower(title).rlike(r"function"), 1.15).otherwise(1.0)
 
 
+# Words of titles that narrow a procedure to a case, and the factors for general and for narrowed ones.
+VARIANT_WORDS = (" with ", "re-allocation", "non-3gpp", "untrusted", "roaming", "disaster", "onboarding", "emergency", "interworking", " via ")
+GENERAL_FACTOR, VARIANT_FACTOR = 1.12, 0.88
+
+
+def generality(score: Column, title: Column) -> Column:
+    """Scores of clauses titled as general raised, those of a procedure's special cases lowered."""
+    t = F.trim(F.lower(F.coalesce(title, F.lit(""))))
+    return score * F.when(t.startswith("general"), GENERAL_FACTOR).when(_any(t, VARIANT_WORDS), VARIANT_FACTOR).otherwise(1.0)
+
+
 def abstains(n_sources: Column, answer: Column) -> Column:
     """No sources, or an uncited answer that the context does not cover the question."""
     return (n_sources == 0) | (F.lower(answer).contains("context does not cover") & ~answer.rlike(r"\[\d+\]"))

@@ -72,9 +72,7 @@ graph("j28_chunks_of_cited_specs", ", e AS (SELECT DISTINCT b.spec_id FROM refs
         g.refs.where("is_external").join(g.chunks.where("spec_id = 3").select(F.col("chunk_id").alias("src")), "src", "left_semi").join(g.chunks.select(F.col("chunk_id").alias("dst"), "spec_id"), "dst").select("spec_id").distinct(), "spec_id", "left_semi"
     ).select("chunk_id", "spec_id")
 )
-graph("j29_same_subject", "SELECT a.chunk_id AS a, b.chunk_id AS b FROM chunks a JOIN chunks b ON a.spec_id = b.spec_id AND a.title = b.title AND a.chunk_id < b.chunk_id WHERE a.chunk_type = 'definition'")(
-    lambda g: g.chunks.where("chunk_type = 'definition'").select("spec_id", "title", F.col("chunk_id").alias("a")).join(g.chunks.select("spec_id", "title", F.col("chunk_id").alias("b")), ["spec_id", "title"]).where("a < b").select("a", "b")
-)
+graph("j29_same_subject", "SELECT chunk_id, first_value(chunk_id) OVER w AS same_as, count(*) OVER (PARTITION BY spec_id, title) AS n FROM chunks WHERE (spec_id, title) IN (SELECT (spec_id, title) FROM chunks GROUP BY spec_id, title HAVING count(*) > 1 AND bool_or(chunk_type = 'definition')) WINDOW w AS (PARTITION BY spec_id, title ORDER BY chunk_type <> 'definition', chunk_id)")(lambda g: H.same_subject(g.chunks))
 graph("j10_name_bridge", "SELECT s.s_suppkey AS op, t.term FROM (SELECT s_suppkey, upper(p_name) AS name FROM supplier JOIN part ON p_partkey = s_suppkey * 3) s JOIN terms t ON lower(s.name) = lower(t.full_name)")(lambda g: P.name_bridge(g.operations.join(g.terms.select((F.col("term") / 3).alias("op"), F.upper("full_name").alias("name")), "op").select("op", "name"), g.terms))
 graph("j44_value_anchor", ", v AS (SELECT service, chunk_id, count(DISTINCT CASE WHEN op % 2 = 0 THEN op END) AS hits, count(DISTINCT op) AS n FROM describes JOIN operations USING (op) GROUP BY ALL) SELECT service, chunk_id, hits, n FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY hits DESC, n DESC, chunk_id) AS k FROM v) WHERE k <= 2")(
     lambda g: g.describes.join(g.operations, "op").groupBy("service", "chunk_id").agg(F.countDistinct(F.when(F.col("op") % 2 == 0, F.col("op"))).alias("hits"), F.countDistinct("op").alias("n"))

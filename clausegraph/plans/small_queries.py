@@ -68,11 +68,10 @@ def orphans(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.substring(F.col("o_orderkey").cast("string"), 1, 3).alias("head")).join(heads, "head", "left_anti").select("id")
 
 
-@query("r12_generality", "SELECT o_orderkey, round(o_totalprice * CASE WHEN starts_with(t, 'general') THEN 1.12 WHEN contains(t, 'variant') THEN 0.88 ELSE 1 END, 4) AS score FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'general rules' WHEN 1 THEN 'a variant' ELSE 'x' END AS t FROM orders)")
+@query("r12_generality", "SELECT o_orderkey, round(o_totalprice * CASE o_orderkey % 5 WHEN 0 THEN 1.12 WHEN 1 THEN 0.88 WHEN 2 THEN 0.88 ELSE 1 END, 4) AS score FROM orders")
 def generality(spark, d):
-    k = F.col("o_orderkey") % 3
-    title = F.when(k == 0, "general rules").when(k == 1, "a variant").otherwise("x")
-    return table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * F.when(title.startswith("general"), 1.12).when(title.contains("variant"), 0.88).otherwise(1.0), 4).alias("score"))
+    titles = F.array(*map(F.lit, ("General registration with a device", "Registration via another access", "Emergency registration", "Registration, in general", "within viaducts")))
+    return table(spark, d, "orders").select("o_orderkey", F.round(Q.generality(F.col("o_totalprice"), F.element_at(titles, (F.col("o_orderkey") % 5 + 1).cast("int"))), 4).alias("score"))
 
 
 @query("r11_reports", "SELECT o_orderkey, round(o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 0.7 ELSE 1.0 END * CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 1.15 ELSE 1.0 END, 6) AS score FROM orders")

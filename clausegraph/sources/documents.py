@@ -25,18 +25,21 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def zip_members(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the main-body files in all archives below a folder; archives that can't be read give nothing."""
+    """(path, content) of the main-body files in all archives below a folder; archives that can't be read give nothing.
+
+    An archive is one row, but its members leave it one by one. Other members are not unpacked.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for path, data in zip(part["path"], part["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        rows += [(f"{path}!{n.rsplit('/', 1)[-1]}", z.read(n)) for n in z.namelist() if n.lower().endswith(".docx")]
+                        for n in z.namelist():
+                            if n.lower().endswith(".docx"):
+                                yield pd.DataFrame([(f"{path}!{n.rsplit('/', 1)[-1]}", z.read(n))], columns=["path", "content"])
                 except zipfile.BadZipFile:
                     continue
-            yield pd.DataFrame(rows, columns=["path", "content"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder)
     found = files.select("path", "content").mapInPandas(run, "path string, content binary")
