@@ -15,8 +15,8 @@ from array import array
 
 import numpy as np
 
-#: Words that a worker remembers before it starts anew; bounds its memory to about 160 MB.
-REMEMBERED = 400_000
+#: Words that a worker remembers before it starts anew; bounds its memory to about 130 MB.
+REMEMBERED = 300_000
 
 def _byte_letters() -> dict[int, int]:
     """The letter that byte-level BPE writes for each byte: its own where that is printable, else the next from 256 on."""

@@ -141,12 +141,14 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
     model = fit(docs, F.lit(True), id_col, text_col, lang_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def identified(text):
-        found = [sent.value.infer(t if isinstance(t, str) else None) for t in text]
-        return text.__class__([lang != "und" and score >= least for lang, score, _ in found], dtype=bool)
+    at = docs.columns.index(text_col)
 
-    return docs.where(identified(F.col(text_col).cast("string")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [sent.value.infer(t if isinstance(t, str) else None) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
