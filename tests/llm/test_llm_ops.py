@@ -948,6 +948,19 @@ def test_partial_marks_inside_an_article_need_a_repeated_run(spark):
     assert found == {i: f"{own(i)}\n\nNausea {own(i + 50)}\n\nIt rose {i}" for i in range(6)}
 
 
+def test_plainly_independent_pages_do_not_depend(spark, sf):
+    fixture = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    page = "<html><head><title>t</title></head><body>{before}<article{attr}>{start}Text of it {inside}</article>{after}</body></html>"
+    rng = random.Random(8)
+    befores = ["", "<nav><a>x</a></nav>", "<!-- <article> -->", "<!-- a --><div class=ad>x</div>", "<div hidden>", "<script>'<article>'</script>", "<div><div>x</div></div>", "<header>", "<script>'</script>'<!--</script>", "<p>x", "<main>"]
+    parts = {"before": befores, "attr": ["", " class=comment", " hidden"], "start": ["", "<h1>", "<p> <b>", "<nav>", "<form>", "<div hidden>"], "inside": ["", "<p class='post-share'>x", "<p id=x>y", "<p>z"], "after": ["", "<article>more</article>", "<div class=x-share>y</div>", "<footer>f</footer>"]}
+    made = [page.format(**{k: rng.choice(v) for k, v in parts.items()}) for _ in range(1500)] + ["<article></article><p>x", "<html><body><article><!-- x --></article><p>y", "", None]
+    rows = spark.createDataFrame([(h,) for h in fixture + made], "html string")
+    told = [r for r in rows.select("html", html_text.plainly_independent(F.col("html")).alias("sure")).collect() if r["sure"]]
+    assert all(not html_text.depends(html_text.blocks_of(r["html"])) and html_text.articles_of(html_text.blocks_of(r["html"])) for r in told)
+    assert len(told) > len(fixture) and sum(r["html"] in set(fixture) for r in told) > 0.9 * len(fixture)
+
+
 def test_main_text_of_odd_tables(spark):
     """Clashing columns, repeated rows, very long and deeply nested pages, and many pages without id and url."""
     long = "<p>" + " ".join(f"w{i % 5000}" for i in range(60_000))
