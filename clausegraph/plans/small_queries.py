@@ -94,11 +94,11 @@ def spec_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.spec_id(said).alias("spec"))
 
 
-@query("p23_questions", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN text || ' A. inline' ELSE text END AS q FROM conversations WHERE NOT regexp_matches(text, '\\n\\s*A[.)]\\s')")
+@query("p23_questions", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN text || ' A. inline' ELSE text END AS q FROM conversations WHERE NOT regexp_matches(text, '\\n\\s*A[.)]')")
 def bare_questions(spark, d):
     """Lettered choices at the end go, in either form; a letter inside a line is none."""
     tail = F.when(F.col("turn") % 3 == 0, "\nA. one\nB. two").when(F.col("turn") % 3 == 1, " A. inline").otherwise("\n  A) one\n  B) two")
-    rows = table(spark, d, "conversations").where(~F.col("text").rlike(r"\n\s*A[.)]\s"))
+    rows = table(spark, d, "conversations").where(~F.col("text").rlike(r"\n\s*A[.)]"))
     return rows.select("conv_id", "turn", T.without_choices(F.concat("text", tail)).alias("q"))
 
 
