@@ -267,7 +267,8 @@ def books_digest(books: np.ndarray) -> str:
 def op11_vector_codes(spark, sf_dir: str) -> DataFrame:
     codes, books, _ = compress(load(spark, sf_dir, "embeddings"))
     codes = cut(codes.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit(""))))
-    sums = codes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(MOST)).cast("long").alias("label_error"))
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    sums = codes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.when(total > MOST, MOST).otherwise(total.cast("long")).alias("label_error"))
     labelled = join_hot(codes.select("key", "vec_id", "code", "error"), cut(sums), "key", "n", codes.count())
     return labelled.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
 

@@ -83,8 +83,8 @@ def test_codes_against_plain_lloyd(spark, kind, n, d, monkeypatch):
 
 def test_bounds_spare_scans(spark):
     table = spark.createDataFrame(made("clusters", 2000, 32), VECTORS)
-    _, _, scans = vector_codes.compress(table)
-    assert scans[0] == 8 * 2000 and all(s < 8 * 2000 / 2 for s in scans[2:])
+    _, _, scans = vector_codes.compress(table, rounds=10)  # entries move far in the first rounds, so most parts are scanned there
+    assert scans[0] == 8 * 2000 and all(s < 8 * 2000 / 4 for s in scans[3:])
 
 
 def test_heaps_keep_their_order_when_packed():
