@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +26,14 @@ OPERATION_NAME = r"\bN[a-z][a-z0-9]*_[A-Z][A-Za-z0-9]*_[A-Z][A-Za-z0-9]*\b"
 LADDER = ("entity", "relation", "hierarchy", "xref", "provenance")
 QUERY_ROOTS = frozenset(("Project", "UnresolvedWith", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "Filter", "UnresolvedHaving", "SubqueryAlias", "UnresolvedInlineTable", "Intersect", "Except", "WithCTE", "Offset"))
 WRITING_NODES = frozenset(("InsertIntoStatement", "InsertIntoDir", "ScriptTransformation"))
+#: Plan and expression nodes that read something other than a named view: names made at run time, files, earlier states.
+FOREIGN_NODES = frozenset(("PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier", "RelationTimeTravel", "UnresolvedPathBasedTable", "UnresolvedFunctionName"))
 WRITING_CLASS = "org.apache.spark.sql.catalyst.plans.logical."
-CALLING = ("reflect", "java_method", "try_reflect")
+#: Functions that a query may call: Spark's own of these groups, which are pure, and a few without one. The group misc_funcs, which calls the JVM and tells about the session, is left out.
+CALLED_GROUPS = frozenset(f"{g}_funcs" for g in "agg array bitwise collection conditional conversion datetime hash json lambda map math predicate string struct window generator".split())
+CALLED_BESIDES = frozenset(("explode", "posexplode", "inline", "stack"))
+#: The table functions that may be called.
+CALLED_TABLES = frozenset(("range",))
 
 
 class Rejected(ValueError):
@@ -54,45 +60,79 @@ def _nodes(plan):
             yield from _nodes(part)
 
 
-def plan_faults(spark: SparkSession, text: str) -> list[str]:
-    """What makes a parsed text more than a read, at its root or anywhere in it; the one place that uses Spark's parser."""
+def _inner(expression):
+    yield expression
+    for child in _each(expression.children()):
+        yield from _inner(child)
+
+
+def _is_called(catalog, jvm, name: str) -> bool:
+    """Whether a function of this name is Spark's own, of a group that may be called, and not hidden by one of the session's."""
+    identifier = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    if catalog.isTemporaryFunction(identifier) or not catalog.isRegisteredFunction(identifier):
+        return False
+    info = catalog.lookupFunctionInfo(identifier)
+    return info.getClassName().startswith("org.apache.spark.sql.catalyst.expressions.") and (info.getGroup() in CALLED_GROUPS or name in CALLED_BESIDES)
+
+
+def plan_faults(spark: SparkSession, text: str, views: frozenset[str]) -> list[str]:
+    """What makes a parsed text more than a read of the views; the one place that uses Spark's parser.
+
+    The root must be a query, no node a command, an insertion or a script; every relation
+    a view of the list or a name that a WITH of the text gives (and no table has); every function, table
+    functions too, one that may be called. Names come from the parsed nodes, so how a text is spelled doesn't matter.
+    """
     from py4j.java_gateway import is_instance_of
 
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    state, jvm = spark._jsparkSession.sessionState(), spark._jvm
+    plan = state.sqlParser().parsePlan(text)
     root = plan.getClass().getSimpleName()
-    faults = [] if root in QUERY_ROOTS else [root]
+    faults, made, relations = [] if root in QUERY_ROOTS else [f"{root} is not a query"], set(), []
     for node in _nodes(plan):
         name = node.getClass().getSimpleName()
-        if name in WRITING_NODES or any(is_instance_of(spark._sc._gateway, node, WRITING_CLASS + c) for c in ("Command", "ParsedStatement")):
-            faults.append(name)
+        if name in WRITING_NODES | FOREIGN_NODES or any(is_instance_of(spark._sc._gateway, node, WRITING_CLASS + c) for c in ("Command", "ParsedStatement")):
+            faults.append(f"{name} is not a query")
+        if name == "UnresolvedWith":
+            made.update(pair._1().lower() for pair in _each(node.cteRelations()))
+        if name == "UnresolvedTableValuedFunction" and ".".join(_each(node.name())).lower() not in CALLED_TABLES:
+            faults.append(f"{'.'.join(_each(node.name()))} may not be called")
+        if name == "UnresolvedRelation":
+            relations.append(list(_each(node.multipartIdentifier())))
+        for expression in _each(node.expressions()):
+            for e in _inner(expression):
+                kind = e.getClass().getSimpleName()
+                if kind in FOREIGN_NODES:
+                    faults.append(f"{kind} is not a query")
+                called = list(_each(e.nameParts())) if kind == "UnresolvedFunction" else [e.name().unquotedString()] if kind == "UnresolvedGenerator" else None
+                if called is not None and (len(called) > 1 or not _is_called(state.catalog(), jvm, called[0].lower())):
+                    faults.append(f"{'.'.join(called)} may not be called")
+    for parts in relations:
+        name = parts[0].lower()
+        if len(parts) > 1 or name not in views and (name not in made or spark.catalog.tableExists(name)):
+            faults.append(f"{'.'.join(parts)} is not one of the views")
     return faults
 
 
-def guard(spark: SparkSession, text: str) -> str:
-    """The cleaned text, if its parsed plan reads and no node of it does more: words such as SET inside names or strings don't matter.
-
-    Commands and insertions are rejected wherever they stand (below WITH, in a multiple insertion), and
-    so are scripts and functions that call methods of the JVM by name.
-    """
+def guard(spark: SparkSession, text: str, views: Iterable[str] | None = None) -> str:
+    """The cleaned text, if all of its parsed plan does no more than read the views (by default all temporary views of the session): words such as SET inside names or strings don't matter."""
     text = clean(text)
     if not text:
         raise Rejected("empty query")
+    if views is None:
+        views = [t.name for t in spark.catalog.listTables() if t.isTemporary]
     try:
-        faults = plan_faults(spark, text)
+        faults = plan_faults(spark, text, frozenset(v.lower() for v in views))
     except Exception as e:
         raise Rejected(str(e).splitlines()[0]) from e
     if faults:
-        raise Rejected(f"{faults[0]} is not a query")
-    called = re.search(r"(?i)\b(" + "|".join(CALLING) + r")\s*`?\s*\(", text)
-    if called:
-        raise Rejected(f"{called.group(1)} is not a read")
+        raise Rejected(faults[0])
     return text
 
 
-def run_readonly(spark: SparkSession, text: str, args: dict | None = None, limit: int = 200) -> tuple[list[dict], bool]:
+def run_readonly(spark: SparkSession, text: str, args: dict | None = None, limit: int = 200, views: Iterable[str] | None = None) -> tuple[list[dict], bool]:
     """Rows as plain values, and whether there were more than the limit (1 to 1000)."""
     limit = max(1, min(MOST_ROWS, limit))
-    rows = spark.sql(guard(spark, text), args or {}).limit(limit + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()
+    rows = spark.sql(guard(spark, text, views), args or {}).limit(limit + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()
     return [json.loads(r["j"]) for r in rows[:limit]], len(rows) > limit
 
 
@@ -113,6 +153,35 @@ def describe(graph: Graph) -> DataFrame:
     return out.join(F.broadcast(counts), "label")  # one row a label
 
 
+class Schema:
+    """The graph's schema for prompts and pages: collected at first use and kept until invalidate(), without what is hidden.
+
+    A hidden label goes with all its columns; a hidden column goes wherever it stands.
+    """
+
+    def __init__(self, graph: Graph, hidden_labels: Iterable[str] = (), hidden_columns: Iterable[str] = ()):
+        self.graph, self.hidden_labels, self.hidden_columns = graph, tuple(hidden_labels), tuple(hidden_columns)
+        self.invalidate()
+
+    def invalidate(self) -> None:
+        self._rows: list[dict] | None = None
+
+    def frame(self) -> DataFrame:
+        """(label, column, type, n) of what is shown."""
+        return describe(self.graph).where(~F.col("label").isin(*self.hidden_labels) & ~F.col("column").isin(*self.hidden_columns))
+
+    def as_rows(self) -> list[dict]:
+        """label, n and the columns with their types, by label: a row a table."""
+        if self._rows is None:
+            grouped = self.frame().groupBy("label", "n").agg(F.array_sort(F.collect_list(F.struct("column", "type"))).alias("columns")).orderBy("label")
+            self._rows = [r.asDict(recursive=True) for r in grouped.collect()]
+        return self._rows
+
+    def as_text(self) -> str:
+        """A line a table: its name, its rows, its columns with their types."""
+        return "\n".join(f"{r['label']} ({r['n']} rows): " + ", ".join(f"{c['column']} {c['type']}" for c in r["columns"]) for r in self.as_rows())
+
+
 @dataclass(frozen=True)
 class Config:
     """A retrieval's switches."""
