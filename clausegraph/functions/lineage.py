@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and held where a lost executor doesn't take them."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a fresh folder beside the checkpoints, for tables that are written and read again; it stays until that folder is cleared."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
