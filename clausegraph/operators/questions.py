@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegraph.functions import text as T
+from clausegraph.operators.procedures import ROLES, TEXT_ROLES, assemble
 
 # Question words of each intent, in the order that settles ties.
 FUNCTION_NAMES = ("amf", "smf", "upf", "nrf", "ausf", "udm", "pcf", "nssf", "af", "nef", "sepp", "scp")
@@ -173,10 +174,6 @@ def scope_warnings(questions: DataFrame, terms: DataFrame, operations: DataFrame
     return ops.unionByName(short).withColumn("n", rank).where(F.col("n") <= most).select("qid", F.concat(F.when(F.col("k") == 0, "unknown operation ").otherwise("unknown abbreviation "), F.col("name")).alias("warning"))
 
 
-# What each role of a clause in a procedure is worth.
-ROLES = {"main": 1.0, "op_def": 0.8, "named": 0.7, "ref": 0.6, "invoked": 0.65, "stage3": 0.6, "msg_def": 0.55, "named_in_text": 0.65, "cited_spec": 0.55}
-
-
 def content_words(c: Column) -> Column:
     """The words of a text in order, stemmed and without stop words.
 
@@ -251,27 +248,48 @@ def names_in_question(questions: DataFrame, headings: DataFrame, least: float =
     return hits.where((F.col("hit") >= 2) & (F.col("hit") >= least * F.col("n"))).select("qid", "chunk_id")
 
 
-def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: DataFrame | None = None, most: int = 60, others: DataFrame | None = None) -> DataFrame:
-    """(qid, chunk_id, role, score): what belongs to a procedure.
+def closure(roots: DataFrame, chunks: DataFrame, refs: DataFrame, describes: DataFrame | None = None, most: int = 60, others: DataFrame | None = None, named: DataFrame | None = None, texts: bool = False, questions: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, role, score): what belongs to a procedure, by its clauses' texts and citations.
 
-    The root and its subtree are main; then come chunks that define operations which the main ones
-    describe (their titles have the name), then what the main ones cite. others: (qid, chunk_id, role)
-    of any other role, such as clauses that the question or the flow's text names, or messages' and
-    invoked procedures' clauses. A chunk's best role counts.
+    The root and its subtree are main; then come chunks that define operations which the main or named ones
+    describe (their titles have the name), the subtrees of the other procedures that the question names
+    (named: qid, chunk_id), and what the main ones cite. With `texts`, headings of the root's or a cited
+    specification whose titles the main clauses write out follow (named_in_text), and with the questions (qid, question)
+    headings of the other cited specifications that they cover (cited_spec). others: (qid, chunk_id,
+    role) of any other role. A chunk has the first of its roles in this order.
     """
-    placed = roots.select("qid", "chunk_id").join(chunks.select("chunk_id", "spec_id", "section_id"), "chunk_id")
     exploded = chunks.select("chunk_id", "spec_id", F.explode(T.prefixes(F.col("section_id"))).alias("section_id"))
-    below = placed.select("qid", "spec_id", "section_id").join(exploded, ["spec_id", "section_id"]).select("qid", "chunk_id")
-    main = placed.select("qid", "chunk_id").union(below).distinct()
-    rows = main.withColumn("role", F.lit("main"))
-    rows = rows.unionByName(main.select("qid", F.col("chunk_id").alias("src")).join(refs.select("src", "dst"), "src").select("qid", F.col("dst").alias("chunk_id"), F.lit("ref").alias("role")))
+
+    def subtree(heads: DataFrame) -> DataFrame:
+        placed = heads.select("qid", "chunk_id").join(chunks.select("chunk_id", "spec_id", "section_id"), "chunk_id")
+        below = placed.select("qid", "spec_id", "section_id").join(exploded, ["spec_id", "section_id"]).select("qid", "chunk_id")
+        return placed.select("qid", "chunk_id").union(below).distinct()
+
+    main = subtree(roots)
+    cited = main.select("qid", F.col("chunk_id").alias("src")).join(refs.select("src", "dst"), "src").select("qid", F.col("dst").alias("chunk_id"))
+    rows = main.withColumn("role", F.lit("main")).unionByName(cited.withColumn("role", F.lit("ref")))
+    speaking = main
+    if named is not None:
+        speaking = main.union(subtree(named)).distinct()
+        rows = rows.unionByName(subtree(named).withColumn("role", F.lit("named")))
     if describes is not None:
-        ops = main.join(describes, "chunk_id").select("qid", "op").distinct()
-        named = describes.join(chunks.select("chunk_id", "title"), "chunk_id").where(F.col("title").contains(F.col("op")))
-        rows = rows.unionByName(ops.join(named, "op").select("qid", "chunk_id", F.lit("op_def").alias("role")))
+        ops = speaking.join(describes, "chunk_id").select("qid", "op").distinct()
+        defining = describes.join(chunks.select("chunk_id", "title"), "chunk_id").where(F.col("title").contains(F.col("op")))
+        rows = rows.unionByName(ops.join(defining, "op").select("qid", "chunk_id", F.lit("op_def").alias("role")))
+    placed = chunks.select("chunk_id", "spec_id")
+    own = main.join(placed, "chunk_id").select("qid", "spec_id").distinct()
+    specs = own.unionByName(cited.join(placed, "chunk_id").select("qid", "spec_id")).distinct()
+    if questions is not None:
+        heads = chunks.select("chunk_id", "title").where(~F.trim(plain_words(F.col("title"))).isin(*GENERIC_TITLES))
+        covered = names_in_question(questions, heads).join(placed, "chunk_id")
+        covered = covered.join(specs, ["qid", "spec_id"], "left_semi").join(own, ["qid", "spec_id"], "left_anti")
+        rows = rows.unionByName(covered.select("qid", "chunk_id", F.lit("cited_spec").alias("role")))
+    if texts:
+        flows = main.join(chunks.select("chunk_id", "content"), "chunk_id").select(F.struct("qid", "chunk_id").alias("flow"), F.col("content").alias("text"))
+        said = names_in_text(flows, chunks.select("chunk_id", "title")).select("flow.qid", "chunk_id").distinct()
+        said = said.join(placed, "chunk_id").join(specs, ["qid", "spec_id"], "left_semi")
+        rows = rows.unionByName(said.select("qid", "chunk_id", F.lit("named_in_text").alias("role")))
     if others is not None:
-        rows = rows.unionByName(others.where(F.col("role").isin(*ROLES)).select("qid", "chunk_id", "role"))
-    worth = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("role")]
-    rows = rows.withColumn("score", worth).groupBy("qid", "chunk_id").agg(F.max_by("role", F.struct("score", "role")).alias("role"), F.max("score").alias("score"))
-    n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    return rows.withColumn("n", n).where(F.col("n") <= most).select("qid", "chunk_id", "role", "score")
+        rows = rows.unionByName(others.select("qid", "chunk_id", "role"))
+    order = (*TEXT_ROLES, *[r for r in ROLES if r not in TEXT_ROLES])
+    return assemble(rows, chunks, order, most).drop("position")

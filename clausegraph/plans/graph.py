@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegraph.operators.procedures import Procedures
 from clausegraph.plans.registry import table
 
 
@@ -74,3 +75,52 @@ steps AS (SELECT CAST(l_orderkey AS VARCHAR) || '::' || CAST(l_linenumber AS VAR
 involves AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '::' || CAST(l_linenumber AS VARCHAR) AS step_id, unnest([l_partkey % 40, l_suppkey % 40]) AS term FROM lineitem),
 refs AS (SELECT src, dst, bool_or(ext) AS is_external, min(kind) AS ref_type, max(c) AS confidence FROM (SELECT l_orderkey AS src, l_partkey * 8 + l_linenumber AS dst, l_returnflag = 'R' AS ext, CASE WHEN l_linenumber % 2 = 0 THEN 'clause' ELSE 'table' END AS kind, round(l_discount * 10, 2) AS c FROM lineitem) WHERE src <> dst GROUP BY src, dst)
 """
+
+
+def order_procedures(spark: SparkSession, sf_dir: str) -> Procedures:
+    """The procedure layer of the analogue: a section of a specification is a procedure, and what its orders are in is what it has."""
+    g = order_graph(spark, sf_dir)
+    proc = F.concat(F.lit("p"), F.col("spec_id").cast("string"), F.lit("."), F.col("section_id"))
+    placed = g.chunks.select("chunk_id", "chunk_type", proc.alias("proc"))
+    at = placed.select("chunk_id", "proc")
+    ours = placed.select("proc").distinct()
+    links = g.refs.join(at.withColumnRenamed("chunk_id", "src"), "src").join(at.select(F.col("chunk_id").alias("dst"), F.col("proc").alias("other")), "dst").where("proc <> other")
+    return Procedures(
+        procedures=ours,
+        sub_of=ours.where(F.size(F.split("proc", r"\.")) > 2).select(F.concat(F.lit("x"), F.col("proc")).alias("proc"), F.regexp_replace("proc", r"\.[^.]*$", "").alias("parent")).unionByName(ours.select(F.concat(F.lit("xx"), F.col("proc")).alias("proc"), F.concat(F.lit("x"), F.col("proc")).alias("parent"))),
+        clauses=placed.select("proc", "chunk_id", F.when(F.col("chunk_type") == "procedure", "main").otherwise("part").alias("role")).unionByName(placed.where("chunk_id % 3 = 0").select(F.concat(F.lit("x"), F.col("proc")).alias("proc"), "chunk_id", F.lit("part").alias("role"))),
+        uses=g.describes.join(at, "chunk_id").where("chunk_id % 5 = 0").select("proc", "op").distinct(),
+        op_defs=g.describes.where("chunk_id % 97 = 0").select("op", "chunk_id"),
+        invokes=links.where("ref_type = 'clause' and confidence >= 0.9").select("proc", F.col("other").alias("invoked")).distinct(),
+        same=links.where("ref_type = 'table' and confidence >= 0.9").select("proc", "other", F.when(F.col("is_external"), "stage3").otherwise("stage2").alias("kind")).distinct(),
+        messages=g.mentions.join(at, "chunk_id").where("term % 20 = 0").select("proc", F.col("term").alias("message")).distinct(),
+        message_defs=g.mentions.where("chunk_id % 83 = 0").select(F.col("term").alias("message"), "chunk_id"),
+    )
+
+
+LAYER = """
+, placed AS (SELECT chunk_id, chunk_type, 'p' || spec_id || '.' || section_id AS proc FROM chunks),
+procs AS (SELECT DISTINCT proc FROM placed),
+links AS (SELECT a.proc, b.proc AS other, ref_type, is_external, confidence FROM refs JOIN placed a ON a.chunk_id = src JOIN placed b ON b.chunk_id = dst WHERE a.proc <> b.proc),
+sub_of AS (SELECT 'x' || proc AS proc, regexp_replace(proc, '\\.[^.]*$', '') AS parent FROM procs WHERE len(string_split(proc, '.')) > 2 UNION ALL SELECT 'xx' || proc, 'x' || proc FROM procs),
+clauses AS (SELECT proc, chunk_id, CASE WHEN chunk_type = 'procedure' THEN 'main' ELSE 'part' END AS role FROM placed UNION ALL SELECT 'x' || proc, chunk_id, 'part' FROM placed WHERE chunk_id % 3 = 0),
+uses AS (SELECT DISTINCT proc, op FROM describes JOIN placed USING (chunk_id) WHERE chunk_id % 5 = 0),
+op_defs AS (SELECT op, chunk_id FROM describes WHERE chunk_id % 97 = 0),
+invokes AS (SELECT DISTINCT proc, other AS invoked FROM links WHERE ref_type = 'clause' AND confidence >= 0.9),
+same AS (SELECT DISTINCT proc, other FROM links WHERE ref_type = 'table' AND confidence >= 0.9 AND is_external),
+messages AS (SELECT DISTINCT proc, term AS message FROM mentions JOIN placed USING (chunk_id) WHERE term % 20 = 0),
+message_defs AS (SELECT term AS message, chunk_id FROM mentions WHERE chunk_id % 83 = 0),
+roots AS (SELECT DISTINCT spec_id AS qid, 'p' || spec_id || '.2.1' AS root, 'p' || spec_id || '.3' AS named FROM chunks),
+zero AS (SELECT DISTINCT qid, proc FROM roots JOIN procs ON proc = root OR starts_with(proc, root || '.')),
+one AS (SELECT qid, s.proc FROM zero z JOIN sub_of s ON s.parent = z.proc),
+two AS (SELECT qid, s.proc FROM one z JOIN sub_of s ON s.parent = z.proc),
+ours AS (FROM zero UNION FROM one UNION FROM two),
+twins AS (SELECT qid, other FROM ours JOIN same USING (proc) UNION SELECT qid, same.proc FROM ours JOIN same ON other = ours.proc),
+closed AS (
+  SELECT qid, chunk_id, 'main' AS role FROM ours JOIN clauses USING (proc)
+  UNION SELECT qid, chunk_id, 'op_def' FROM ours JOIN uses USING (proc) JOIN op_defs USING (op)
+  UNION SELECT qid, chunk_id, 'named' FROM roots JOIN clauses c ON (c.proc = named OR starts_with(c.proc, named || '.')) AND c.role = 'main'
+  UNION SELECT qid, chunk_id, 'invoked' FROM ours JOIN invokes USING (proc) JOIN clauses c ON c.proc = invoked AND c.role = 'main'
+  UNION SELECT qid, chunk_id, 'stage3' FROM twins JOIN clauses c ON c.proc = other AND c.role = 'main'
+  UNION SELECT qid, chunk_id, 'msg_def' FROM ours JOIN messages USING (proc) JOIN message_defs USING (message))
+"""

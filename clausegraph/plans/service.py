@@ -301,7 +301,7 @@ def answer(graph: Graph, questions: DataFrame, config: Config | None = None, sco
     if config.closure:
         heads = chunks.join(H.parents(chunks).select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "spec_id", "title", F.lit(1).alias("size"))
         roots = Q.root_headings(questions, heads)
-        led = Q.closure(roots, chunks, graph.refs, graph.describes.withColumn("op", F.col("op").cast("string")))
+        led = Q.closure(roots, chunks, graph.refs, graph.describes.withColumn("op", F.col("op").cast("string")), texts=True, questions=questions)
         extra.append(led.select("qid", F.col("chunk_id").alias("doc"), F.concat(F.lit("closure:"), "role").alias("via"), F.lit(False).alias("chain"), F.lit(True).alias("lead")))
     for more in extra:
         pool = pool.unionByName(more.withColumn("score", F.lit(0.0)))
