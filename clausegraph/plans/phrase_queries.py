@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clausegraph.operators import concepts as X
 from clausegraph.operators import phrases as P
 from clausegraph.plans.graph import VIEWS, order_graph
 from clausegraph.plans.registry import query, table
@@ -59,3 +60,28 @@ def phrase_trees(spark, d):
     """The clause trees that questions about parts name; a third of them pin a specification."""
     asked = _asked(spark, d)
     return P.tree_phrases(asked, _titled(spark, d), asked.where("spec is not null").select("qid", F.col("spec").alias("spec_id")))
+
+
+COMMON = ", ".join(f"'{w}'" for w in X.COMMON)
+CONCEPTS = f"""
+WITH w AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+named AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] WHEN 1 THEN p_name WHEN 2 THEN upper(a[1]) || a[2:] || 'IeType' WHEN 3 THEN upper(a) || 'TYPE' WHEN 4 THEN upper(b[1]) || b[2:] WHEN 5 THEN b || '-' || p_partkey % 9 ELSE 'status' END AS name FROM w),
+asked AS (SELECT p_partkey AS qid, 'Which ' || CASE p_partkey % 5 WHEN 0 THEN p_name || 's and ' || b || '-' || p_partkey % 9 WHEN 1 THEN a || '  information element types of ' || upper(a) || 'TYPE' WHEN 2 THEN a || ' types with ' || b || '-' || p_partkey % 9 || '9' WHEN 3 THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] || ', ' || a || ' IE type' ELSE a || 's ' || b || ' ' || p_partkey % 9 END || ' have a status, ' || b || '?' AS question FROM w),
+spaced AS (SELECT DISTINCT name, CASE WHEN regexp_matches(name, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]') THEN regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g') ELSE regexp_replace(name, '{X.CAPITALS}', '\\1 \\2') END AS words FROM named WHERE length(name) >= 3 AND lower(name) NOT IN ({COMMON}) AND NOT regexp_full_match(name, '[A-Z][a-z]+')),
+forms AS (SELECT name, name AS form FROM spaced UNION SELECT name, regexp_replace(words, ' ', '\\\\s+', 'g') FROM spaced WHERE words <> name AND length(name) >= 6 UNION SELECT name, regexp_replace(regexp_replace(words, '\\bIe\\b', 'information element', 'g'), ' ', '\\\\s+', 'g') FROM spaced WHERE words <> name AND length(name) >= 6),
+met AS (SELECT DISTINCT qid, name FROM asked JOIN forms ON regexp_matches(question, '(?i)(^|[^A-Za-z0-9])' || form || 's?($|[^A-Za-z0-9])'))
+SELECT qid, name, place FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name))::INT AS place FROM met) WHERE place <= {X.MOST_CONCEPTS}
+"""
+
+
+@query("r33_concepts", CONCEPTS)
+def concepts(spark, d):
+    """Concepts named as schemas write them, in questions that write some of them as words."""
+    k = F.col("p_partkey")
+    w = table(spark, d, "part").select(k, "p_name", F.substring_index("p_name", " ", 1).alias("a"), F.element_at(F.split("p_name", " "), 2).alias("b"))
+    capital = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.expr(f"substring({c}, 2)"))
+    camel, digit = F.concat(capital("a"), capital("b")), (k % 9).cast("string")
+    name = F.when(k % 7 == 0, camel).when(k % 7 == 1, F.col("p_name")).when(k % 7 == 2, F.concat(capital("a"), F.lit("IeType"))).when(k % 7 == 3, F.concat(F.upper("a"), F.lit("TYPE"))).when(k % 7 == 4, capital("b")).when(k % 7 == 5, F.concat("b", F.lit("-"), digit)).otherwise("status")
+    said = F.when(k % 5 == 0, F.concat("p_name", F.lit("s and "), "b", F.lit("-"), digit)).when(k % 5 == 1, F.concat("a", F.lit("  information element types of "), F.upper("a"), F.lit("TYPE"))).when(k % 5 == 2, F.concat("a", F.lit(" types with "), "b", F.lit("-"), digit, F.lit("9"))).when(k % 5 == 3, F.concat(camel, F.lit(", "), "a", F.lit(" IE type"))).otherwise(F.concat("a", F.lit("s "), "b", F.lit(" "), digit))
+    question = F.concat(F.lit("Which "), said, F.lit(" have a status, "), "b", F.lit("?"))
+    return X.concepts_in(w.select(k.alias("qid"), question.alias("question")), w.select(name.alias("name")))

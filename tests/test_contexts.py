@@ -74,3 +74,20 @@ def test_contained_is_a_substring_search(spark):
     asked = ["".join(rng.choices("abc ", k=rng.randrange(1, 8))) for _ in range(60)]
     found = P.contained(spark.createDataFrame([(a,) for a in asked], "phrase string"), spark.createDataFrame(titles, "chunk_id int, title string"))
     assert {tuple(r) for r in found.collect()} == {(a, i) for a in asked for i, t in titles if a in t.lower()}
+
+
+def test_concepts_against_a_search_of_every_form(spark):
+    from clausegraph.operators import concepts as X
+
+    names = ["PositioningMethod", "EPS QCI", "QCI", "IETYPE", "NgapIeType", "Cause", "Enumerated", "SST", "5G-GUTI", "a+b", "ab", "status", "smContextStatus", "C++"]
+    texts = ["Which positioning   methods and PositioningMethods?", "the EPS QCIs, not xQCI", "qci_1 and ie types", "ngap information element types of IE TYPE", "cause because enumerated sst.", "5g guti or 5G-GUTIs", "a+b aab A+Bs", "SM context\nstatus", "c++ c++s", None, ""]
+    want = {
+        0: ["PositioningMethod"], 1: ["EPS QCI", "QCI"], 2: ["IETYPE", "QCI"], 3: ["NgapIeType", "IETYPE"], 4: ["SST"],
+        5: ["5G-GUTI"], 6: ["a+b"], 7: ["smContextStatus"], 8: ["C++"],
+    }
+    asked = spark.createDataFrame(list(enumerate(texts)), "qid int, question string")
+    found = {}
+    for r in X.concepts_in(asked, spark.createDataFrame([(n,) for n in names * 2], "name string"), most=None).orderBy("qid", "place").collect():
+        found.setdefault(r["qid"], []).append(r["name"])
+    assert found == want
+    assert X.concepts_in(asked, spark.createDataFrame([], "name string")).count() == 0
