@@ -9,9 +9,11 @@ The page's own marks come first. What it marks as navigation, header, footer, si
 notice or comments (by element, role, class or id) outside its article is never text. Where it marks
 its article (article or main elements), the blocks inside it are the text, repeated runs or not: an
 article may quote passages that other pages have too, and copies of a page are pages. Inside, elements,
-roles and names of their own (STRONG, or a name that starts with one of LEADING) still count; a mark
-that is only a part of a longer name (side-effects, share-price) counts if repeated runs cover the
-block. A marked element inside another is part of it. Where several are marked, the one with the most words outside repeated runs
+roles and whole names (STRONG, or one that starts with one of LEADING and goes on with words of layout)
+still count; a name that an article's own section may have (DOUBTFUL: related, notice) counts where it holds
+little text or mostly links, and ids of headings never do. A mark that is only a part of a longer name
+(side-effects, cookie-recipe) counts, inside an article and outside, if repeated runs cover the block. Forms
+go unless they hold an article or more than half of the page's words. A marked element inside another is part of it. Where several are marked, the one with the most words outside repeated runs
 counts, and so do its siblings of any size, but for teasers: those with half of their words or more
 in links, or mostly covered by repeated runs where that one is not. A page all of whose blocks are covered keeps its
 unmarked blocks.
@@ -46,43 +48,63 @@ from clausegraph.llm.common import BROADCAST_BYTES, cut, load, slices
 REPEAT, COVERED, LINKED, GROUP_PAGES, GROUP_BYTES = 8, 0.6, 0.5, 256, 16 << 20
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("aside button canvas datalist dialog footer form head iframe input map menu meter nav noscript object progress script select style svg template textarea title video audio".split())
+SKIPPED = frozenset("aside button canvas datalist dialog footer head iframe input map menu meter nav noscript object progress script select style svg template textarea title video audio".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog".split())
 #: Parts of class names and ids that mark what is not text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer footer foot gdpr header menu masthead modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted recommended related replies reply respond share sharing sidebar side social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
-#: Those that mark it inside an article too: as a whole name, and as the first part of one.
+#: Those that mark it inside an article too, where they are whole names, or the first part of one whose other parts are marks or say where or what a block is.
 STRONG = MARKS - frozenset("banner header side foot".split())
 LEADING = frozenset("advert advertisement comment comments cookie cookies disqus gdpr newsletter sidebar breadcrumb breadcrumbs pagination".split())
+LAYOUT = frozenset("area articles author bar block body bottom box button buttons container content count disclosure fixed form global group headlines icon icons inner item items label left link links list main message meta more news number outer overlay page policy post posts primary right row section secondary signup site slot stories text thread title top trail unit wrap wrapper".split())
+#: Of these, those that an article's own section may be named by: they mark it only where it has little text.
+DOUBTFUL = frozenset("disclaimer menu navigation notice notices notification promoted recommended related social tags".split())
+#: The words from which text of such a section, not mostly links, is the article's.
+OWN_WORDS = 50
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag of the key closes when they are still open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SPACES = re.compile(r"\s+")
+#: Forms and doubtful sections inside each other that are counted one by one; those further in share the fate of the last.
+MOST_DOUBTS = 8
+
+
+class Doubt:
+    """A form, or a section of an article named by a doubtful mark: whether it is text shows at its end."""
+
+    def __init__(self, is_form: bool):
+        self.is_form, self.words, self.linked, self.holds_article = is_form, 0, 0, False
+
+    def is_text(self, words: int) -> bool:
+        """words: those of the whole page outside marks."""
+        return self.holds_article or (2 * self.words > words if self.is_form else self.words >= OWN_WORDS and self.linked < LINKED * self.words)
 
 
 class Parser(HTMLParser):
-    """Blocks of a page outside all marks: (text, number of the outermost article that holds it or 0, whether a partial mark holds it)."""
+    """Blocks of a page outside all marks: (text, number of the outermost article that holds it or 0, whether a partial mark holds it, what it depends on)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, skipped, article, partly marked
-        self.blocks: list[tuple[str, int, bool]] = []
+        self.open: list[tuple[str, bool, int, bool, tuple[Doubt, ...]]] = []  # name, skipped, article, partly marked, doubts
+        self.names: Counter[str] = Counter()  # of the open elements
+        self.blocks: list[tuple[str, int, bool, tuple[Doubt, ...]]] = []
         self.text: list[str] = []
-        self.articles = 0
+        self.articles = self.words = 0
         self.linked: Counter[int] = Counter()  # words in links, by article
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:  # as a bogus comment
         end = self.rawdata.find(">", i + 3)
         return end + 1 if end >= 0 else -1
 
-    def _state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+    def _state(self) -> tuple[bool, int, bool, tuple[Doubt, ...]]:
+        return self.open[-1][1:] if self.open else (False, 0, False, ())
 
     def end_block(self) -> None:
         if self.text:
-            skipped, article, partly = self._state()
+            skipped, article, partly, doubts = self._state()
             text = SPACES.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text and not skipped:
-                self.blocks.append((text, article, partly))
+                self.blocks.append((text, article, partly, doubts))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -96,41 +118,55 @@ class Parser(HTMLParser):
             self._close_open(name, ("ul", "ol", "dl", "table", "select", "menu"))
         if tag in VOID:
             return
-        skipped, article, partly = self._state()
+        skipped, article, partly, doubts = self._state()
         if not skipped:
             mark = self._mark(tag, attrs)
-            skipped = tag in SKIPPED or (tag == "header" and not article) or mark == 2 or mark == 1 and not article
-            partly = partly or mark == 1
+            skipped = tag in SKIPPED or (tag == "header" and not article) or mark == "whole" or mark in ("layout", "doubtful") and not article
+            partly = partly or mark in ("layout", "part")
+            if not skipped and (tag == "form" or mark == "doubtful") and len(doubts) < MOST_DOUBTS:
+                doubts = (*doubts, Doubt(tag == "form"))
             if tag in ("article", "main") and not skipped and not article:
                 self.articles += 1
-                article = self.articles
-        self.open.append((tag, skipped, article, partly))
-
-    def _inside(self, tag: str) -> bool:
-        return any(x[0] == tag for x in self.open)
+                article, partly = self.articles, False
+                for d in doubts:
+                    d.holds_article = True
+        self.open.append((tag, skipped, article, partly, doubts))
+        self.names[tag] += 1
 
     @staticmethod
-    def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        """2 for a mark of its own, 1 for one that is part of a longer name, else 0."""
+    def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """What a class, id or role marks: "whole" for a name that is a mark, "doubtful" for one that an article's section may have, "layout" for one of marks and words of layout, "part" for one with another word in it, else ""."""
         if tag in ("html", "body", "article", "main"):
-            return 2 * (tag == "article" and any(k in ("class", "id") and v and re.search(r"comment|reply", v, re.IGNORECASE) for k, v in attrs))
-        found = 0
+            return "whole" if tag == "article" and any(k in ("class", "id") and v and re.search(r"comment|reply", v, re.IGNORECASE) for k, v in attrs) else ""
+        found = ""
         for k, v in attrs:
-            if k == "hidden" or v and (k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.IGNORECASE)):
-                return 2
-            if v and k in ("class", "id"):
+            if k == "hidden" or v and (k == "role" and v.lower() in ROLES and (tag != "form" or v.lower() != "form") or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.IGNORECASE)):
+                return "whole"
+            if v and (k == "class" or k == "id" and tag not in HEADINGS):
                 for name in v.lower().split():
                     parts = re.split("[_-]", name)
-                    if name in STRONG or parts[0] in LEADING:
-                        return 2
-                    if not MARKS.isdisjoint(parts):
-                        found = 1
+                    if MARKS.isdisjoint(parts):
+                        continue
+                    plain = all(p in MARKS or p in LAYOUT or p.isdigit() or not p for p in parts)
+                    if name in DOUBTFUL:
+                        found = "doubtful"
+                    elif name in STRONG or parts[0] in LEADING and plain:
+                        return "whole"
+                    elif found != "doubtful":
+                        found = "layout" if plain or found == "layout" else "part"
         return found
 
+    def _drop(self, at: slice) -> None:
+        for x in self.open[at]:
+            self.names[x[0]] -= 1
+        del self.open[at]
+
     def _close_open(self, name: str, barriers: tuple[str, ...]) -> None:
+        if not self.names[name]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == name:
-                del self.open[k]
+                self._drop(slice(k, k + 1))
                 return
             if self.open[k][0] in barriers:
                 return
@@ -141,35 +177,52 @@ class Parser(HTMLParser):
             return
         if tag in BLOCKS or tag in SKIPPED:
             self.end_block()
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k if tag not in BLOCKS and tag not in SKIPPED else slice(k, None)]
+                self._drop(slice(k, k + 1) if tag not in BLOCKS and tag not in SKIPPED else slice(k, None))
                 return
             if tag not in BLOCKS and tag not in SKIPPED and self.open[k][0] in BLOCKS:
                 return
 
     def handle_data(self, data: str) -> None:
-        skipped, article, _ = self._state()
+        skipped, article, _, doubts = self._state()
         if not skipped:
             self.text.append(data)
-            if article and self._inside("a"):
-                self.linked[article] += len(data.split())
+            linked = self.names["a"] > 0
+            if doubts or linked and article:
+                n = len(data.split())
+                self.linked[article] += n * (linked and article > 0)
+                for d in doubts:
+                    d.words += n
+                    d.linked += n * linked
 
 
 def blocks_of(html: str | None) -> list[tuple[str, int, bool]]:
-    """(text, article, partly marked): article is 0 outside all articles, less than 0 in one that is mostly links."""
+    """(text, article, partly marked): article is 0 outside all articles, less than 0 in one that is mostly links.
+
+    A form is text if it holds an article or more than half of the page's words, as one around the whole page
+    does; a doubtful section of an article if it has OWN_WORDS or more that are not mostly links, and then
+    repeated runs may still remove it.
+    """
     if not html:
         return []
     parser = Parser()
     parser.feed(html)
     parser.close()
     parser.end_block()
+    if any(d for *_, d in parser.blocks):
+        words = sum(len(t.split()) for t, *_ in parser.blocks)
+        blocks = [(t, a, p or any(not x.is_form and not x.holds_article for x in d)) for t, a, p, d in parser.blocks if all(x.is_text(words) for x in d)]
+    else:
+        blocks = [x[:3] for x in parser.blocks]
     if not parser.linked:
-        return parser.blocks
+        return blocks
     length: Counter[int] = Counter()
-    for text, a, _ in parser.blocks:
+    for text, a, _ in blocks:
         length[a] += len(text.split())
-    return [(t, -a if parser.linked[a] >= LINKED * length[a] else a, p) for t, a, p in parser.blocks]
+    return [(t, -a if parser.linked[a] >= LINKED * length[a] and a else a, p) for t, a, p in blocks]
 
 
 def articles_of(blocks: list[tuple[str, int, bool]]) -> set[int]:
@@ -268,7 +321,8 @@ def repeated(pages: list[list[str]], length: int = REPEAT, more: np.ndarray | No
 
 def depends(blocks: list[tuple[str, int, bool]]) -> bool:
     """Whether repeated runs can change the text of a page."""
-    return bool(blocks) and (len(articles_of(blocks)) != 1 or any(p for _, _, p in blocks))
+    marked = articles_of(blocks)
+    return bool(blocks) and (len(marked) != 1 or any(p for _, a, p in blocks if a in marked))
 
 
 def plainly_independent(html: Column) -> Column:

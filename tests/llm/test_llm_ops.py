@@ -948,6 +948,42 @@ def test_partial_marks_inside_an_article_need_a_repeated_run(spark):
     assert found == {i: f"{own(i)}\n\nNausea {own(i + 50)}\n\nIt rose {i}" for i in range(6)}
 
 
+def test_no_article_is_lost_to_a_name_or_a_form():
+    body = " ".join(f"w{i}" for i in range(60))
+    assert text_of(f"<html><body><form><p>{body}</p><input name=q></form></body></html>") == body
+    assert text_of(f"<form><div>Menu x</div><article><p>{body}</article><p>rest</form>") == body
+    assert text_of(f"<p>{body}</p><form><p>Your name</form>") == body and text_of(f"<article><p>{body}<form><p>Your comment</form></article>") == body
+    for name in ("cookie-recipe", "comment-on-law", "newsletter-history", "side-effects"):
+        assert text_of(f"<div class={name}><p>{body}</div>") == text_of(f"<article><div id={name}><p>{body}</div></article>") == body
+        assert text_of(f"<div class={name}><article><p>{body}</article></div>") == body
+    for name in ("notice", "related", "navigation"):
+        assert text_of(f"<article><h2 id={name}>Head</h2><section class={name}><p>{body}</section><div class={name}><p>See too</div></article>") == f"Head\n\n{body}"
+        assert text_of(f"<article><p>x<div class={name}><a href=x>{body}</a></div></article>") == "x"
+        assert text_of(f"<p>x<div class={name}><p>{body}</div>") == "x"
+    for name in ("comments", "comment-list", "comments-area", "cookie-banner", "newsletter-signup"):
+        assert text_of(f"<article><p>x<div class={name}><p>{body}</div></article>") == text_of(f"<p>x<div class={name}><p>{body}</div>") == "x"
+
+
+def test_repeated_runs_decide_a_section_of_an_article(spark):
+    """Without the runs each page would keep the notice that all have."""
+    own = lambda i: " ".join(f"u{i}x{j}" for j in range(60))
+    notice = " ".join(f"n{j}" for j in range(60))
+    pages = [f"<article><p>{own(i)}</p><div class=notice><p>{notice if i else own(99)}</div><form><p>{own(i + 50)}</form></article>" for i in range(5)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)], PAGES)).collect()}
+    assert found == {i: own(i) if i else f"{own(0)}\n\n{own(99)}" for i in range(5)}
+    kept = html_text.blocks_of(pages[1])
+    assert html_text.main_text(kept, np.zeros(len(kept))) == f"{own(1)}\n\n{notice}"
+
+
+def test_nesting_takes_no_time():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.blocks_of("<article>" + "<b>x " * 40_000 + "</b>" * 40_000 + "</article>") == [("x " * 39_999 + "x", 1, False)]
+    assert len(html_text.blocks_of("<article>" + "<form><div class=notice><p>x " * 20_000 + "</article>")) == 20_000
+    assert time.perf_counter() - began < 20
+
+
 def test_plainly_independent_pages_do_not_depend(spark, sf):
     fixture = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     page = "<html><head><title>t</title></head><body>{before}<article{attr}>{start}Text of it {inside}</article>{after}</body></html>"
