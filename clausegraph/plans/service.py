@@ -247,8 +247,8 @@ def answer(graph: Graph, questions: DataFrame, config: Config | None = None, sco
 
     Modes: none has no candidates; bm25 and dense have one branch, bm25_dense both by rank fusion; graph
     has the graph's branch alone; fixed fuses dense and graph (weighted by the graph's scores) and ranks
-    anew, hybrid does so without ranking anew; react_agent lets `policy` choose tools for each question,
-    on the driver. Rungs: relation adds operations and steps to the graph's branch, hierarchy siblings of
+    anew, hybrid does so without ranking anew; react_agent lets `policy` choose tools, for all
+    questions in common rounds (plans.agents). Rungs: relation adds operations and steps to the graph's branch, hierarchy siblings of
     the best clauses, xref what these cite, provenance the kind of a clause's specification. The switch
     closure puts the clauses of the procedure that a question names first; step_evidence adds their
     steps to the trace. in_context says which clauses fit a context of `context` characters, at most
@@ -280,8 +280,10 @@ def answer(graph: Graph, questions: DataFrame, config: Config | None = None, sco
         best = R.top_per_query(R.normalised(found), wide)
         branches.append(best.join(R.branch_weight(best, questions), "qid").select("qid", "doc", "rank", "weight", F.lit("graph").alias("via")))
     if config.mode == "react_agent":
-        rows = [(r["qid"], f["chunk_id"], n, 1.0, f["via"]) for r in questions.collect() for n, f in enumerate(Agent(graph, policy).run(r["question"]), 1)]  # a policy asks a model: one question at a time
-        branches.append(questions.sparkSession.createDataFrame(rows, nothing.schema))
+        from clausegraph.plans.agents import search
+
+        found, _ = search(graph, questions, policy, encode=encode)
+        branches.append(found.select("qid", F.col("chunk_id").alias("doc"), F.col("place").alias("rank"), F.lit(1.0).alias("weight"), "via"))
     lists = nothing
     for branch in branches:
         lists = lists.unionByName(branch)
