@@ -5,11 +5,10 @@ language's trigram distribution. Expectation-maximisation estimates the proporti
 languages is the one of best penalised likelihood, each further language costing PENALTY times the
 log of the number of trigrams. The answer is the language with the largest proportion in that set.
 
-Fitting: trigram counts of labelled documents, hashed into BUCKETS, so the model takes BUCKETS * 4
-bytes a language. SAMPLE_DOCS is the (expected) number of labelled documents a language is fitted
-on, chosen by a hash of the id; languages with fewer use all of theirs. The model is fitted on the
-MOST_LANGUAGES labels that have the most documents, which bounds it to 52 MB; more labels than that
-are mostly wrong ones, and their documents get the likeliest of the others. The prior of a language
+Fitting: trigram counts of labelled documents, hashed into buckets. Every label is a language; the model has
+at most CELLS numbers (52 MB), so there are BUCKETS of them for up to 200 labels and half as many for each
+doubling beyond, down to LEAST_BUCKETS (from some 50,000 labels on the model grows). SAMPLE_DOCS is the (expected) number of labelled documents a language is fitted
+on, chosen by a hash of the id; languages with fewer use all of theirs. The prior of a language
 is its share of the labelled documents fitted on. A document's set may be of any size: languages
 join it in the order of their proportions while the penalised likelihood rises.
 
@@ -30,32 +29,39 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm.common import bucket_of, load, slices
 
-BUCKETS, SAMPLE_DOCS, PENALTY, SMOOTHING, ROUNDS, MOST_LANGUAGES = 1 << 16, 4000, 3.0, 0.1, 25, 200
+BUCKETS, LEAST_BUCKETS, CELLS, SAMPLE_DOCS, PENALTY, SMOOTHING, ROUNDS = 1 << 16, 1 << 8, 200 << 16, 4000, 3.0, 0.1, 25
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that can be part of a letter in UTF-8 keep their value; all others count as a space.
 _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """The bucket of each trigram that has a letter in it, over the whole lower-cased text."""
+def buckets_for(languages: int, cells: int = CELLS) -> int:
+    n = BUCKETS
+    while n > LEAST_BUCKETS and n * languages > cells:
+        n //= 2
+    return n
+
+
+def trigrams(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """The bucket (of a power of two, up to BUCKETS) of each trigram that has a letter in it, over the whole lower-cased text."""
     b = _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((code[code != 0x202020] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    return ((code[code != 0x202020] * np.uint32(2654435761)) >> np.uint32(33 - buckets.bit_length())).astype(np.int64)
 
 
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, prior: np.ndarray):
-        """counts: languages x BUCKETS."""
-        self.languages = languages
+        """counts: languages x buckets."""
+        self.languages, self.buckets = languages, counts.shape[1]
         smooth = counts + SMOOTHING
-        self.log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
+        self.log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32) if languages else np.zeros((self.buckets, 0), np.float32)
         self.log_prior = np.log(np.maximum(prior, 1e-12))
 
     def infer(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """(language, its proportion, proportions of the selected set)."""
         if not text or not self.languages or not LETTER.search(text):
             return "und", 0.0, {}
-        count = np.bincount(trigrams(text), minlength=BUCKETS)
+        count = np.bincount(trigrams(text, self.buckets), minlength=self.buckets)
         at = np.flatnonzero(count)
         if not len(at):
             return "und", 0.0, {}
@@ -90,32 +96,33 @@ class Model:
         return share, float(c @ np.log(p @ share))
 
 
-def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
+def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, cells: int = CELLS) -> Model:
     """Fits on rows for which `labelled` holds and the label is not null."""
     known = docs.where(labelled & F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    sizes = known.groupBy(F.col(lang_col).alias("l")).count().collect()
     languages = sorted(r["l"] for r in sizes)
     total = sum(r["count"] for r in sizes)
     by = {r["l"]: r["count"] for r in sizes}
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, sample_docs / by[l]))])
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.lit(1 << 20) * F.coalesce(share[F.col(lang_col)], F.lit(0.0)))
-    index = {l: i for i, l in enumerate(languages)}
+    shares = docs.sparkSession.createDataFrame([(l, min(1.0, sample_docs / by[l])) for l in languages], "_lang string, _share double")
+    asked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(shares), "_lang")  # a row a label
+    chosen = asked.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(1 << 20) * F.col("_share"))
+    index, buckets = {l: i for i, l in enumerate(languages)}, buckets_for(len(languages), cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    found.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    found[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
+                    found.setdefault(lang, np.zeros(buckets, np.int64))
+                    found[lang] += np.bincount(trigrams(text, buckets), minlength=buckets)
         for lang, n in found.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), index[lang], np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    rows = chosen.select(F.col(lang_col), F.col(text_col).cast("string")).mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * BUCKETS rows
-    counts = np.zeros((len(languages), BUCKETS))
+    rows = chosen.select("_lang", "_text").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * buckets rows
+    counts = np.zeros((len(languages), buckets))
     counts[rows["lang"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return Model(languages, counts, np.array([by[l] / total for l in languages]))
 

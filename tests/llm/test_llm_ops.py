@@ -356,14 +356,6 @@ def test_more_than_eight_languages_in_a_text():
     assert set(model.infer(" ".join(texts))[2]) == set(model.languages)
 
 
-def test_more_labels_than_languages(spark, empty):
-    rows = [(i, f"wort{i % 7} text und", f"l{i % 30:02}", "s", 1) for i in range(300)] + [(1000 + i, "mots et phrases", "fr", "s", 1) for i in range(20)]
-    model = langid.fit(spark.createDataFrame(rows, DOCS), F.lit(True), most_languages=5)
-    assert len(model.languages) == 5 and "fr" in model.languages
-    assert model.infer("mots et phrases")[0] == "fr"
-    assert langid.keep_identified(empty).count() == 0
-
-
 def test_inference_by_brute_force(docs):
     """Trigrams, distributions, expectation-maximisation and the choice of the set, written once more from the docstring."""
     import re
@@ -1046,6 +1038,20 @@ def test_marked_articles_are_whole(spark, sf):
         assert found[r["page_id"]] == "\n\n".join(p for p in parts if p)
 
 
+def test_every_label_is_a_language(spark, empty):
+    """More labels than the model has room for at full width: the buckets get fewer, no label is left out."""
+    rows = [(i * 10 + j, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{w}" for w in ("ana", "bele", "ciri", "dono") * 5), f"l{i:03}", "s") for i in range(260) for j in range(3)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(made, F.lit(True), cells=260 << 12)
+    assert len(model.languages) == 260 and model.buckets == 1 << 12
+    found = langid.predict(made, model, keep=("lang",))
+    right = found.where("lang = lang_pred").count()
+    assert right >= 0.98 * len(rows)
+    assert langid.keep_identified(empty).count() == 0
+    assert langid.buckets_for(200) == 1 << 16 and langid.buckets_for(201) == 1 << 15 and langid.buckets_for(10**6) == langid.LEAST_BUCKETS
+    assert (langid.trigrams("Über alles", 1 << 12) == langid.trigrams("Über alles") >> 4).all()
+
+
 # pipeline
 
 
