@@ -68,21 +68,30 @@ def merged(*parts: DataFrame) -> DataFrame:
 
 
 def shortlist(questions: DataFrame, headings: DataFrame, k: int = 40) -> DataFrame:
-    """(qid, chunk_id, score): headings (chunk_id, title, path) by the idf of asked words in the title, half of that in the path's, less 0.3 of the title's other words."""
+    """(qid, chunk_id, score): headings (chunk_id, title, path) by the idf of asked words in the title, half of that in the path's, less 0.3 of the title's other words.
+
+    With a spec_id in both, a question asks its own specification (qid, question, spec_id) alone, and words are
+    weighed over that specification's headings; without, all headings are of one. A heading that shares no
+    word, neither itself nor by its path, is none. Ties go to the larger subtree (size), then the larger id.
+    """
     words = lambda c: F.array_distinct(F.transform(T.tokens(F.coalesce(c, F.lit(""))), T.stem))
-    own = headings.select("chunk_id", F.explode(words(F.col("title"))).alias("w"))
-    above = headings.select("chunk_id", F.explode(F.array_except(words(F.col("path")), words(F.col("title")))).alias("w"))
-    n = headings.count()
-    idf = own.groupBy("w").agg(F.log(1 + F.lit(n) / (1 + F.count(F.lit(1)))).alias("idf"))
-    asked = questions.select("qid", F.explode(words(F.col("question"))).alias("w"))
-    total = own.join(idf, "w").groupBy("chunk_id").agg(F.sum("idf").alias("all"))
-    hit = own.join(asked, "w").join(idf, "w").groupBy("qid", "chunk_id").agg(F.sum("idf").alias("own"))
-    up = above.join(asked, "w").join(idf, "w").groupBy("qid", "chunk_id").agg(F.sum("idf").alias("up"))
+    own_spec = "spec_id" in questions.columns and "spec_id" in headings.columns
+    spec = (F.col("spec_id") if own_spec else F.lit(0)).alias("spec")
+    size = (F.col("size") if "size" in headings.columns else F.lit(0)).alias("size")
+    heads = headings.select(spec, "chunk_id", words(F.col("title")).alias("t"), words(F.col("path")).alias("p"), size)
+    own = heads.select("spec", "chunk_id", F.explode("t").alias("w"))
+    above = heads.select("spec", "chunk_id", F.explode(F.array_except("p", "t")).alias("w"))
+    n = heads.groupBy("spec").agg(F.count(F.lit(1)).alias("n"))
+    asked = questions.select("qid", spec, F.explode(words(F.col("question"))).alias("w"))
+    known = own.select("spec", "w").unionByName(above.select("spec", "w")).distinct().join(own.groupBy("spec", "w").agg(F.count(F.lit(1)).alias("df")), ["spec", "w"], "left")
+    idf = known.join(n, "spec").select("spec", "w", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
+    total = own.join(idf, ["spec", "w"]).groupBy("chunk_id").agg(F.sum("idf").alias("all"))
+    met = lambda rows, name: rows.join(asked, ["spec", "w"]).join(idf, ["spec", "w"]).groupBy("qid", "chunk_id").agg(F.sum("idf").alias(name))
     mine = F.coalesce("own", F.lit(0.0))
-    score = F.round(mine + 0.5 * F.coalesce("up", F.lit(0.0)) - 0.3 * (F.col("all") - mine), 6)
-    rows = hit.join(up, ["qid", "chunk_id"], "full").join(total, "chunk_id").select("qid", "chunk_id", score.alias("score"))
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    return rows.withColumn("n", best).where(F.col("n") <= k).drop("n")
+    score = F.round(mine + 0.5 * F.coalesce("up", F.lit(0.0)) - 0.3 * (F.coalesce("all", F.lit(0.0)) - mine), 6)
+    rows = met(own, "own").join(met(above, "up"), ["qid", "chunk_id"], "full").join(total, "chunk_id", "left").join(heads.select("chunk_id", "size"), "chunk_id").select("qid", "chunk_id", score.alias("score"), "size")
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("size"), F.desc("chunk_id")))
+    return rows.withColumn("n", best).where(F.col("n") <= k).select("qid", "chunk_id", "score")
 
 
 def camel_words(name: Column) -> Column:

@@ -99,3 +99,10 @@ def hops(seeds: DataFrame, refs: DataFrame, chunks: DataFrame, a_seed: int = 50,
     best = best.withColumn("turn", F.row_number().over(Window.partitionBy(by, "seed").orderBy("hops", "target")))
     best = best.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("turn", "ord", "target")))
     return best.where(F.col("place") <= most).select(by, "seed", "target", "hops", "turn")
+
+
+def orphan_targets(targets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The distinct targets (target) that are no id of ids (id), whole or as all that stands before one of its hyphens: ts_38_508 is there if ts_38_508-1 is."""
+    parts = F.split("id", "-")
+    heads = ids.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))).alias("target"))
+    return targets.select("target").distinct().join(heads, "target", "left_anti")

@@ -363,13 +363,25 @@ def titled(spark, d):
     return table(spark, d, "documents").select("doc_id", T.titled(t, F.col("text")).alias("content"))
 
 
-@query("r24_shortlist", """WITH h AS (SELECT p_partkey AS chunk_id, list_distinct(regexp_extract_all(lower(p_name), '[A-Za-z0-9]+')) AS w FROM part), x AS (SELECT chunk_id, unnest(w) AS w FROM h), idf AS (SELECT w, ln(1 + (SELECT count(*) FROM h) / (1 + count(*))::DOUBLE) AS idf FROM x GROUP BY w), a AS (SELECT 1 AS qid, unnest(['small', 'ring', 'green']) AS w),
-t AS (SELECT chunk_id, sum(idf) AS total FROM x JOIN idf USING (w) GROUP BY chunk_id), o AS (SELECT qid, chunk_id, sum(idf) AS own FROM x JOIN a USING (w) JOIN idf USING (w) GROUP BY ALL), s AS (SELECT qid, chunk_id, round(own - 0.3 * (total - own), 6) AS score FROM o JOIN t USING (chunk_id))
-SELECT qid, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS n FROM s) WHERE n <= 40""")
+SHORTLIST = """
+WITH h AS (SELECT p_partkey AS chunk_id, p_partkey % 25 AS spec, p_size AS size, list_distinct(regexp_extract_all(lower(p_name), '[A-Za-z0-9]+')) AS t, list_distinct(regexp_extract_all(lower(p_brand), '[A-Za-z0-9]+')) AS p FROM part),
+a AS (SELECT DISTINCT s.spec AS qid, s.spec, unnest(['small', 'ring', 'green', 'brand']) AS w FROM h s),
+o AS (SELECT spec, chunk_id, unnest(t) AS w FROM h), u AS (SELECT spec, chunk_id, unnest(list_filter(p, lambda x: NOT list_contains(t, x))) AS w FROM h),
+df AS (SELECT spec, w, count(*) AS df FROM o GROUP BY ALL), n AS (SELECT spec, count(*) AS n FROM h GROUP BY spec),
+idf AS (SELECT spec, w, ln(1 + n / (1 + coalesce(df, 0))::DOUBLE) AS idf FROM (SELECT spec, w FROM o UNION SELECT spec, w FROM u) LEFT JOIN df USING (spec, w) JOIN n USING (spec)),
+total AS (SELECT chunk_id, sum(idf) AS whole FROM o JOIN idf USING (spec, w) GROUP BY chunk_id),
+own AS (SELECT qid, chunk_id, sum(idf) AS own FROM o JOIN a USING (spec, w) JOIN idf USING (spec, w) GROUP BY ALL), up AS (SELECT qid, chunk_id, sum(idf) AS up FROM u JOIN a USING (spec, w) JOIN idf USING (spec, w) GROUP BY ALL),
+s AS (SELECT qid, chunk_id, size, round(coalesce(own, 0) + 0.5 * coalesce(up, 0) - 0.3 * (whole - coalesce(own, 0)), 6) AS score FROM own FULL JOIN up USING (qid, chunk_id) JOIN total USING (chunk_id) JOIN h USING (chunk_id))
+SELECT qid, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, size DESC, chunk_id DESC) <= 40
+"""
+
+
+@query("r24_shortlist", SHORTLIST)
 def shortlist(spark, d):
-    """Part names are headings without a path; their words are short, so that stems are the words."""
-    heads = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("title"), F.lit("").alias("path"))
-    return U.shortlist(spark.createDataFrame([(1, "small ring green")], "qid int, question string"), heads).select("qid", "chunk_id", "score")
+    """Part names are headings of 25 specifications below their brand; their words are short, so that stems are the words. Each specification is asked."""
+    heads = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_partkey") % 25).alias("spec_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("path"), F.col("p_size").alias("size"))
+    asked = heads.select(F.col("spec_id").alias("qid"), F.lit("small ring green brand").alias("question"), "spec_id").distinct()
+    return U.shortlist(asked, heads).select("qid", "chunk_id", "score")
 
 
 RECORDS = "WITH r AS (SELECT upper('t' || p_partkey % 50) AS term, p_name AS full_name, p_partkey % 7 AS n, p_partkey AS seq FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, seq) AS k FROM r) "

@@ -61,11 +61,24 @@ def flattened(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.array("source", F.concat("lang", "source")))))).cast("long").alias("n"))
 
 
-@query("a15_orphans", "SELECT o_orderkey AS id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE starts_with(CAST(o.o_orderkey AS VARCHAR), CAST(c.c_custkey AS VARCHAR)) AND length(CAST(c.c_custkey AS VARCHAR)) = 3)")
+ORPHANS = """
+WITH i AS (SELECT 'ts_' || c_custkey % 40 || '_' || c_custkey % 7 || CASE c_custkey % 4 WHEN 1 THEN '-' || c_custkey % 3 WHEN 2 THEN '-' || c_custkey % 3 || '-' || c_custkey % 5 WHEN 3 THEN '1' ELSE '' END AS id FROM customer),
+t AS (SELECT DISTINCT 'ts_' || o_orderkey % 45 || '_' || o_orderkey % 8 || CASE o_orderkey % 5 WHEN 1 THEN '-' || o_custkey % 4 WHEN 2 THEN '-' ELSE '' END AS target FROM orders)
+SELECT target FROM t WHERE NOT EXISTS (SELECT 1 FROM i WHERE id = target OR starts_with(id, target || '-'))
+"""
+
+
+@query("a15_orphans", ORPHANS)
 def orphans(spark, d):
-    """Ids of which no three-digit prefix exists: the prefix is cut first and meets by equality."""
-    heads = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("head")).where(F.length("head") == 3)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.substring(F.col("o_orderkey").cast("string"), 1, 3).alias("head")).join(heads, "head", "left_anti").select("id")
+    """Cited specifications that are not there, where a part of one counts for the whole: prefixes of any length, by equality."""
+    s = lambda c: c.cast("string")
+    k = F.col("c_custkey")
+    tail = F.when(k % 4 == 1, F.concat(F.lit("-"), s(k % 3))).when(k % 4 == 2, F.concat(F.lit("-"), s(k % 3), F.lit("-"), s(k % 5))).when(k % 4 == 3, "1").otherwise("")
+    ids = table(spark, d, "customer").select(F.concat(F.lit("ts_"), s(k % 40), F.lit("_"), s(k % 7), tail).alias("id"))
+    o = F.col("o_orderkey")
+    cited = F.when(o % 5 == 1, F.concat(F.lit("-"), s(F.col("o_custkey") % 4))).when(o % 5 == 2, "-").otherwise("")
+    targets = table(spark, d, "orders").select(F.concat(F.lit("ts_"), s(o % 45), F.lit("_"), s(o % 8), cited).alias("target"))
+    return H.orphan_targets(targets, ids)
 
 
 @query("r12_generality", "SELECT o_orderkey, round(o_totalprice * CASE o_orderkey % 5 WHEN 0 THEN 1.12 WHEN 1 THEN 0.88 WHEN 2 THEN 0.88 ELSE 1 END, 4) AS score FROM orders")
@@ -94,20 +107,19 @@ def spec_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.spec_id(said).alias("spec"))
 
 
-@query("p23_questions", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN text || ' A. inline' ELSE text END AS q FROM conversations WHERE NOT regexp_matches(text, '\\n\\s*A[.)]')")
+@query("p23_questions", r"SELECT conv_id, turn, regexp_replace(text || CASE turn % 3 WHEN 0 THEN chr(10) || 'A. one' || chr(10) || 'B. two' WHEN 1 THEN ' A. inline' ELSE chr(10) || '  A) one' || chr(10) || '  B) two' END, '(?s)\n\s*A[.)]\s.*$', '') AS q FROM conversations")
 def bare_questions(spark, d):
-    """Lettered choices at the end go, in either form; a letter inside a line is none."""
+    """Lettered choices at the end go, in either form, also those that a turn has of its own; a letter inside a line is none."""
     tail = F.when(F.col("turn") % 3 == 0, "\nA. one\nB. two").when(F.col("turn") % 3 == 1, " A. inline").otherwise("\n  A) one\n  B) two")
-    rows = table(spark, d, "conversations").where(~F.col("text").rlike(r"\n\s*A[.)]"))
-    return rows.select("conv_id", "turn", T.without_choices(F.concat("text", tail)).alias("q"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.without_choices(F.concat("text", tail)).alias("q"))
 
 
-@query("p24_answers", "SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN '' WHEN 2 THEN 'so <think>' || text ELSE 'so ' || text END AS a FROM conversations")
+@query("p24_answers", "SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN CASE WHEN contains(text, '</think>') THEN regexp_replace(text, '(?s)^.*?</think>\\s*', '') ELSE '' END WHEN 2 THEN 'so <think>' || text ELSE 'so ' || text END AS a FROM conversations")
 def bare_answers(spark, d):
-    """A leading think block goes, over several lines and unfinished too; one inside the answer stays."""
+    """A leading think block goes, over several lines, unfinished, or finished inside the turn; one inside the answer stays."""
     k, said = F.col("turn") % 4, F.concat(F.lit("so "), F.col("text"))
     answer = F.when(k == 0, F.concat(F.lit("<think>hm\nhm</think>\n"), said)).when(k == 1, F.concat(F.lit(" <think>never done "), "text")).when(k == 2, F.concat(F.lit("so <think>"), "text")).otherwise(said)
-    return table(spark, d, "conversations").where(~F.col("text").contains("</think>")).select("conv_id", "turn", T.without_thinking(answer).alias("a"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.without_thinking(answer).alias("a"))
 
 
 @query("p20_segments", """WITH t AS (SELECT doc_id, doc_id % 3 AS k, CASE WHEN doc_id % 2 = 0 THEN repeat('long ', 49) || 'long' ELSE 'short head' END AS head, repeat('body ', 49) || 'body' AS body FROM documents),

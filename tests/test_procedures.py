@@ -51,3 +51,16 @@ def test_roles_by_texts(spark):
     asked = spark.createDataFrame([(1, "how is charging data reset in the flow")], "qid int, question string")
     rows = Q.closure(roots, chunks, refs, named=named, texts=True, questions=asked).collect()
     assert {(r["chunk_id"], r["role"]) for r in rows} == {("m", "main"), ("n", "named"), ("nn", "named"), ("r", "ref"), ("k", "named_in_text"), ("q", "cited_spec")}
+
+
+def test_orphans_and_shortlists(spark):
+    from clausegraph.operators import fusion, hierarchy
+
+    targets = spark.createDataFrame([(t,) for t in ("a", "a-1", "a-1-2", "a-", "b", "b1", "c", "c")], "target string")
+    ids = spark.createDataFrame([("a-1-2-3",), ("b1-7",), ("d",)], "id string")
+    assert {r["target"] for r in hierarchy.orphan_targets(targets, ids).collect()} == {"a-", "b", "c"}
+    heads = spark.createDataFrame([("x1", 1, "paging area", "", 1), ("x2", 1, "paging area", "", 5), ("x3", 1, "other", "paging", 1), ("x4", 1, "void", "none", 1), ("y", 2, "paging", "", 1)], "chunk_id string, spec_id int, title string, path string, size int")
+    asked = spark.createDataFrame([(7, "paging", 1), (8, "paging", 2), (9, "paging", 3)], "qid int, question string, spec_id int")
+    rows = fusion.shortlist(asked, heads).orderBy("qid", "score").collect()
+    assert {(r["qid"], r["chunk_id"]) for r in rows} == {(7, "x1"), (7, "x2"), (7, "x3"), (8, "y")}
+    assert fusion.shortlist(asked, heads, k=1).where("qid = 7").first()["chunk_id"] == "x2"
