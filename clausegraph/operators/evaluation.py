@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +134,36 @@ def paired_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 20260817,
     return pairs.groupBy("group").applyInPandas(one, "group string, n long, delta double, low double, high double, p double")
 
 
+def poisson_steps(most: int = 12) -> list[int]:
+    """Where a hash of 32 bits reaches the weights 1, 2, ... of a Poisson variable of mean 1."""
+    out, term, total = [], math.exp(-1), math.exp(-1)
+    for k in range(1, most + 1):
+        out.append(int(total * (1 << 32)))
+        term /= k
+        total += term
+    return out
+
+
+def hashed_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 20260817, least: int = 30) -> DataFrame:
+    """(group, n, delta, low, high, p) as paired_bootstrap, for groups of any size.
+
+    Instead of drawing questions, each question counts in each round as often as a Poisson variable of mean 1
+    says, which a hash of seed, question and round decides. So sums of a round add up over tasks before they
+    meet, and no group is in one task; the same questions give the same interval in any order. Differences
+    count with six decimals. A round in which no question counts is none.
+    """
+    diff = pairs.select("group", F.col("qid").cast("string").alias("qid"), F.round(F.col("a") - F.col("b"), 6).cast("decimal(18,6)").alias("d")).where("d is not null")
+    whole = diff.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d").cast("double") / F.count(F.lit(1)), 9).alias("delta"))
+    many = diff.join(whole.where(F.col("n") >= least).select("group"), "group", "left_semi")
+    each = many.select("group", "qid", "d", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", F.col("round").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    counted = each.withColumn("h", hashed).withColumn("w", sum((F.col("h") >= t).cast("int") for t in poisson_steps())).where("w > 0")
+    means = counted.groupBy("group", "round").agg(F.round(F.sum(F.col("w") * F.col("d")).cast("double") / F.sum("w"), 9).alias("m"))
+    tail = F.least(F.avg((F.col("m") <= 0).cast("int")), F.avg((F.col("m") >= 0).cast("int")))
+    ends = means.groupBy("group").agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
+    return whole.join(ends, "group", "left").select("group", "n", "delta", "low", "high", "p")
+
+
 def verdict(low: Column, high: Column) -> Column:
     return F.when(low > 0, "positive").when(high < 0, "negative").when(low.isNotNull(), "zero")
 

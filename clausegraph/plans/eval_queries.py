@@ -88,6 +88,22 @@ query("e21_needs_adjudication", RATINGS + "SELECT item FROM ratings GROUP BY ite
 query("a11_label_pivot", RATINGS + "SELECT rater, count(*) FILTER (WHERE label = 'A') AS A, count(*) FILTER (WHERE label = 'N') AS N, count(*) FILTER (WHERE label = 'R') AS R FROM ratings GROUP BY rater")(lambda spark, d: ratings(spark, d).groupBy("rater").pivot("label", ["A", "N", "R"]).count().na.fill(0))
 
 
+BOOTED = RUNS + """, pairs AS (SELECT a.class AS "group", a.qid::VARCHAR AS qid, round(a.recall5 - b.recall5, 6)::DECIMAL(18,6) AS d FROM scored a JOIN scored b ON a.qid = b.qid AND a.config = 'A' AND b.config = 'R'),
+whole AS (SELECT "group", count(*) AS n, round(sum(d)::DOUBLE / count(*), 9) AS delta FROM pairs GROUP BY ALL),
+w AS (SELECT "group", d, round, h, """ + " + ".join(f"(h >= {t})::INT" for t in E.poisson_steps()) + """ AS w FROM (SELECT "group", d, round, ('0x' || left(md5('20260817|' || qid || '|' || round), 8))::BIGINT AS h FROM pairs SEMI JOIN (FROM whole WHERE n >= 5) USING ("group"), range(500) AS r(round))),
+m AS (SELECT "group", round(sum(w * d)::DOUBLE / sum(w), 9) AS m FROM w WHERE w > 0 GROUP BY "group", round),
+ends AS (SELECT "group", round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p FROM m GROUP BY ALL)
+SELECT "group", n, delta, low, high, p FROM whole LEFT JOIN ends USING ("group")
+"""
+
+
+@query("e15_hashed_bootstrap", BOOTED)
+def hashed_bootstrap(spark, d):
+    """Intervals that add up over tasks; groups of five questions or more, 500 rounds."""
+    a, b = (scored(spark, d).where(F.col("config") == c).select("qid", "class", F.col("recall5").alias(x)) for c, x in (("A", "a"), ("R", "b")))
+    return E.hashed_bootstrap(a.join(b.drop("class"), "qid").withColumn("group", F.col("class")).select("group", "qid", "a", "b"), rounds=500, least=5)
+
+
 @query("e15_paired_bootstrap")
 def bootstrap(spark, d):
     a, b = (scored(spark, d).where(F.col("config") == c).select("qid", "class", F.col("recall5").alias(x)) for c, x in (("A", "a"), ("R", "b")))

@@ -437,6 +437,19 @@ def test_bootstrap(spark):
     assert one(spark, evaluation.verdict(F.col("a"), F.col("b")), a=0.1, b=0.2) == "positive"
 
 
+def test_hashed_bootstrap(spark):
+    """Weights follow the Poisson law, intervals are near those of drawing, and the order of rows doesn't matter."""
+    steps = [0, *evaluation.poisson_steps(), 1 << 32]
+    shares = [(b - a) / (1 << 32) for a, b in zip(steps, steps[1:], strict=False)]
+    assert abs(sum(k * s for k, s in enumerate(shares)) - 1) < 1e-8
+    rows = [("g", i, 1.0 + (i * 7 % 11) / 5, 0.9 + (i * 5 % 7) / 3) for i in range(200)] + [("few", 1, 1.0, 0.0), ("few", 2, None, 0.0)]
+    made = spark.createDataFrame(rows, "group string, qid int, a double, b double")
+    mine, drawn = ({r["group"]: r for r in f(df, 800).collect()} for f, df in ((evaluation.hashed_bootstrap, made.repartition(5)), (evaluation.paired_bootstrap, made.where("group = 'g'"))))
+    assert mine == {r["group"]: r for r in evaluation.hashed_bootstrap(made, 800).collect()}
+    assert abs(mine["g"]["low"] - drawn["g"]["low"]) < 0.03 and abs(mine["g"]["high"] - drawn["g"]["high"]) < 0.03 and abs(mine["g"]["p"] - drawn["g"]["p"]) < 0.06
+    assert mine["few"]["n"] == 1 and mine["few"]["low"] is None and mine["g"]["n"] == 200
+
+
 def test_rrf_formula(spark):
     rows = spark.createDataFrame([(1, 5, 1, 1.0), (1, 6, 2, 1.0), (1, 6, 1, 0.5)], "qid int, doc int, rank int, weight double")
     found = {r["doc"]: r["score"] for r in retrieval.rrf(rows).collect()}
