@@ -9,7 +9,7 @@ from clausegraph.plans import review_store as S
 from clausegraph.plans.registry import query, table
 
 LOG = """
-WITH l AS (SELECT l_partkey % 3 + 1 AS campaign_id, 'q' || l_partkey % 40 AS qid, l_suppkey % 9 AS reviewer_id, l_orderkey * 8 + l_linenumber AS ord, l_orderkey % 5000 AS sec, * FROM lineitem),
+WITH l AS (SELECT l_partkey % 3 + 1 AS campaign_id, 'q' || l_partkey % 40 AS qid, l_suppkey % 9 AS reviewer_id, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS ord, l_orderkey % 5000 AS sec, * FROM lineitem),
 edge AS (SELECT max(ord) // 2 AS half FROM l),
 puts AS (SELECT l.* FROM l WHERE l_quantity >= 3), dels AS (SELECT campaign_id, qid, reviewer_id, max(ord) AS gone FROM l WHERE l_quantity < 3 GROUP BY ALL),
 """
@@ -22,7 +22,7 @@ RATED = "SELECT campaign_id, qid, reviewer_id, arg_max(l_returnflag, ord) FILTER
 def _log(spark, d):
     """Ratings in two partial kinds of puts and deletions; assignments; questions, some out of scope; and the end of one campaign in the middle."""
     li = table(spark, d, "lineitem")
-    rows = li.select((F.col("l_partkey") % 3 + 1).alias("campaign_id"), F.concat(F.lit("q"), (F.col("l_partkey") % 40).cast("string")).alias("qid"), (F.col("l_suppkey") % 9).alias("reviewer_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), (F.col("l_orderkey") % 5000).alias("at"), "l_quantity", "l_linenumber", "l_returnflag", "l_linestatus")
+    rows = li.select((F.col("l_partkey") % 3 + 1).alias("campaign_id"), F.concat(F.lit("q"), (F.col("l_partkey") % 40).cast("string")).alias("qid"), (F.col("l_suppkey") % 9).alias("reviewer_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"), (F.col("l_orderkey") % 5000).alias("at"), "l_quantity", "l_linenumber", "l_returnflag", "l_linestatus")
     puts, odd = rows.where("l_quantity >= 3"), F.col("l_linenumber") % 2 == 1
     half = rows.agg(F.floor(F.max("ord") / 2).alias("ord"))
     log = S.events(puts.where(odd).withColumn("c1", F.col("l_returnflag")), "ratings")
