@@ -6,7 +6,8 @@ that the weights reach a target entropy. The budget is the tokens to emit in all
 the least that emits each document of every source once, so the mixture only repeats and drops nothing.
 
 Budgets are realised by block permutations. A hash of id and text deals a source's documents to
-blocks of about BLOCK_TOKENS tokens, at every size of the source. Each epoch is a permutation of the
+blocks of about BLOCK_TOKENS tokens, or of a LEAST_BLOCKS-th of the source where that is less, so that a
+small source is permuted in as fine a grain as a large one. Each epoch is a permutation of the
 source's blocks: a hash of source, epoch and block places each of them on [0, 1). Whole epochs give
 every document one copy each, and the last, partial epoch takes blocks in its order while the budget
 lasts, then documents of the block at the border in the order of their own hash. The border is found
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm.common import BROADCAST_BYTES, cut, load
 
-BANDS, BLOCK_TOKENS, MAX_EPOCHS, SEED, STEPS, PLACES = 1024, 1_000_000, 4.0, 17, 60, 1 << 30
+BANDS, BLOCK_TOKENS, LEAST_BLOCKS, MAX_EPOCHS, SEED, STEPS, PLACES = 1024, 1_000_000, 64, 4.0, 17, 60, 1 << 30
 
 
 def word_count(text: Column) -> Column:
@@ -110,7 +111,7 @@ def plan(rows: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy: float
     sources = shares.withColumn("weight", powered / F.lit(float(z)))
     sources = sources.withColumn("epochs", F.when(F.col("tokens") > 0, F.col("weight") * F.lit(whole) / F.col("tokens")).otherwise(F.lit(1.0)))
     sources = sources.withColumn("epochs", F.when(F.abs(F.col("epochs") - F.round("epochs")) < 1e-9, F.round("epochs")).otherwise(F.col("epochs")))
-    sources = cut(sources.withColumn("full", F.floor("epochs")).withColumn("rest", F.floor((F.col("epochs") - F.floor("epochs")) * F.col("tokens"))).withColumn("n_blocks", F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)) + 1))
+    sources = cut(sources.withColumn("full", F.floor("epochs")).withColumn("rest", F.floor((F.col("epochs") - F.floor("epochs")) * F.col("tokens"))).withColumn("n_blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS))) + 1))
     placed = place(rows, sources, seed)
     blocks = placed.groupBy("source", "block").agg(F.sum("_tokens").alias("block_tokens"), F.first("full").alias("full"), F.first("rest").alias("rest"))
     blocks = cut(blocks.withColumn("at", _in_epoch(F.col("source"), F.col("full"), F.col("block"), seed)).withColumn("band", (F.col("at") / F.lit(PLACES // BANDS)).cast("int")))

@@ -692,7 +692,7 @@ def brute_mix(rows, max_epochs, seed, block_tokens):
         epochs = power[s] / z * budget / tokens[s] if s in known else 1.0
         epochs = round(epochs) if abs(epochs - round(epochs)) < 1e-9 else epochs
         full, rest = math.floor(epochs), math.floor((epochs - math.floor(epochs)) * tokens[s])
-        n_blocks = -(-tokens[s] // block_tokens) + 1
+        n_blocks = max(64, -(-tokens[s] // block_tokens)) + 1
         place = lambda e, b, s=s: spark_hash(s, (e, 8), (b, 8), (seed, 4)) % (1 << 30)
         blocks = defaultdict(list)
         for i, text, source in rows:
@@ -731,6 +731,15 @@ def test_mixing_by_brute_force(docs, odd, monkeypatch, block_tokens):
         assert Counter((r["doc_id"], r["source"], r["copies"], tuple(round(p, 9) for p in r["places"])) for r in found) == want
 
 
+def test_small_sources_are_permuted_in_many_blocks(docs):
+    """Copies of a source's documents lie all over an epoch, not in a few runs."""
+    by, size = defaultdict(set), Counter()
+    for r in mixing.mix(docs, max_epochs=3.0).collect():
+        by[r["source"]].add(r["places"][0])
+        size[r["source"]] += 1
+    assert all(len(by[s]) >= min(32, size[s] // 3) for s in by)
+
+
 def test_mixed_rows_lie_in_the_order_of_their_places(docs):
     places = {}
     for r in mixing.mix(docs, max_epochs=3.0).collect():
