@@ -62,13 +62,27 @@ def resolve(cited: DataFrame, chunks: DataFrame, fanout: int = 12) -> DataFrame:
     return exact.unionByName(spread).unionByName(cut).select("src", "dst", "tier").distinct()
 
 
-def siblings(seeds: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
-    """(seed, chunk_id, rank): chunks of the same parent and depth, those that say 'shall' first."""
-    placed = chunks.withColumns({"up": T.parent_id(F.col("section_id")), "deep": T.level(F.col("section_id"))}).where("up is not null")
-    mine = placed.join(seeds.select(F.col("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("seed"), "spec_id", "up", "deep")
-    found = mine.join(placed, ["spec_id", "up", "deep"]).where("seed <> chunk_id")
-    order = Window.partitionBy("seed").orderBy(F.col("content").contains("shall").cast("int").desc(), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("seed", "chunk_id", "rank")
+def siblings(seeds: DataFrame, chunks: DataFrame, most: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """(seed, chunk_id, source, rank): up to `most` neighbours of each seed (chunk_id) in the section tree, never itself.
+
+    First, as `edge`, the other children of its parent that say 'shall', in any case; what is left of `most` is
+    filled, as `prefix`, by sections of the same parent prefix and depth, whatever they say. Ties by id.
+    edges: (child, parent), those of nearest_ancestors if none are given. A seed needs no more than the first few
+    of a group, so only those of each group meet the seeds: a parent with very many children stays cheap.
+    """
+    edges = nearest_ancestors(chunks) if edges is None else edges
+    own = seeds.select(F.col("chunk_id").alias("seed")).distinct()
+    first = lambda rows, keys, k: rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_id"))).where(F.col("n") <= k).drop("n")
+    shall = chunks.where(F.lower("content").contains("shall")).select(F.col("chunk_id").alias("child"))
+    below = edges.join(shall, "child", "left_semi").select("parent", F.col("child").alias("chunk_id"))
+    by_edge = own.join(edges.select(F.col("child").alias("seed"), "parent"), "seed").join(first(below, ["parent"], most + 1), "parent")
+    placed = chunks.select("chunk_id", "spec_id", T.parent_id(F.col("section_id")).alias("up"), T.level(F.col("section_id")).alias("deep")).where("up is not null")
+    mine = placed.select(F.col("chunk_id").alias("seed"), "spec_id", "up", "deep").join(own, "seed", "left_semi")
+    by_prefix = mine.join(first(placed, ["spec_id", "up", "deep"], 2 * most + 1), ["spec_id", "up", "deep"])
+    found = by_edge.select("seed", "chunk_id", F.lit("edge").alias("source")).unionByName(by_prefix.select("seed", "chunk_id", F.lit("prefix").alias("source")))
+    found = found.where("seed <> chunk_id").groupBy("seed", "chunk_id").agg(F.min("source").alias("source"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("source", "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("seed", "chunk_id", "source", "rank")
 
 
 def same_subject(chunks: DataFrame) -> DataFrame:

@@ -198,11 +198,46 @@ def edge_counts(g: Graph) -> DataFrame:
     return out
 
 
-def neighbourhood(g: Graph, seeds: list[int], most: int = 12) -> DataFrame:
-    """(chunk_id, n, edges): up to `most` outgoing edges of each seed as text, in order of type and target."""
-    s = lambda df: df.where(F.col("chunk_id").isin(seeds))
-    rows = s(g.mentions).select("chunk_id", F.lit("MENTIONS").alias("t"), F.col("term").alias("v"))
-    rows = rows.unionByName(s(g.describes).select("chunk_id", F.lit("DESCRIBES").alias("t"), F.col("op").alias("v")))
-    rows = rows.unionByName(s(g.refs.withColumnRenamed("src", "chunk_id")).select("chunk_id", F.lit("REFERENCES").alias("t"), F.col("dst").alias("v")))
-    all_ = F.slice(F.array_sort(F.collect_set(F.struct("t", "v"))), 1, most)
-    return rows.groupBy("chunk_id").agg(all_.alias("e")).select("chunk_id", F.size("e").cast("long").alias("n"), F.array_join(F.transform("e", lambda x: F.concat_ws(" ", x["t"], x["v"].cast("string"))), ";").alias("edges"))
+# The text forms of a clause's edges, in their order, and which kinds are capped.
+EDGE_FORMS = ("  {value}", "  {value}", "  {chunk} DESCRIBES_MESSAGE {value}", "  Parameter[{value}] DEFINED_IN_TABLE {chunk}", "  {chunk} MENTIONS {value}", "  {spec} REFERENCES_SPEC {value}")
+CAPPED_KINDS, NO_EDGES = (1, 3, 4), "  (no graph relations)"
+
+
+def neighbourhood(g: Graph, asked: DataFrame, messages: DataFrame, parameters: DataFrame, most: int = 12) -> DataFrame:
+    """(chunk_id, n, block): the edges of each asked clause (chunk_id) as a text under its specification and title.
+
+    Six kinds, in this order: operations with who provides them, steps with whom they involve, messages
+    (chunk_id, message), parameters (parameter, chunk_id), mentions on one line, and cited specifications.
+    Steps, parameters and mentions are cut to the first `most`; n counts the edges shown. Values are distinct
+    and in text order. A clause without edges says so; one that is not among the chunks is left out.
+    """
+    asked = asked.select("chunk_id").distinct()
+    text = lambda c: F.col(c).cast("string")
+    cited = g.refs.where("is_external").join(g.chunks.select(F.col("chunk_id").alias("dst"), "spec_id"), "dst").withColumnRenamed("src", "chunk_id")
+    kinds = (
+        (g.describes.join(g.provided, "op"), F.concat(text("op"), F.lit(" PROVIDED_BY "), text("term"))),
+        (g.steps.join(g.involves, "step_id"), F.concat(text("step_id"), F.lit(" INVOLVES "), text("term"))),
+        (messages, text("message")), (parameters, text("parameter")), (g.mentions, text("term")), (cited, text("spec_id")),
+    )
+    rows = None
+    for kind, (df, value) in enumerate(kinds):
+        one = df.join(asked, "chunk_id", "left_semi").select("chunk_id", F.lit(kind).alias("kind"), value.alias("value")).distinct()
+        if kind in CAPPED_KINDS:
+            one = one.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("value"))).where(F.col("k") <= most).drop("k")
+        rows = one if rows is None else rows.unionByName(one)
+    values = rows.groupBy("chunk_id", "kind").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    head = asked.join(g.chunks.select("chunk_id", text("spec_id").alias("spec"), "title"), "chunk_id")
+
+    def line(kind: Column, values: Column) -> Column:
+        out = None
+        for k, form in enumerate(EDGE_FORMS):
+            before, after = form.split("{value}")
+            filled = lambda part: F.replace(F.replace(F.lit(part), F.lit("{chunk}"), text("chunk_id")), F.lit("{spec}"), F.col("spec"))
+            each = F.concat(filled(before), F.array_join(values, ", "), filled(after)) if k == 4 else F.array_join(F.transform(values, lambda v: F.concat(filled(before), v, filled(after))), "\n")  # noqa: B023
+            out = F.when(kind == k, each) if out is None else out.when(kind == k, each)
+        return out
+
+    lines = head.join(values, "chunk_id", "left").select("chunk_id", "spec", "title", "kind", F.size("values").alias("size"), line(F.col("kind"), F.col("values")).alias("line"))
+    blocks = lines.groupBy("chunk_id", "spec", "title").agg(F.sum(F.when(F.col("kind").isNotNull(), F.col("size")).otherwise(0)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "line")))).alias("e"))
+    body = F.when(F.size("e") > 0, F.array_join(F.transform("e", lambda x: x["line"]), "\n")).otherwise(NO_EDGES)
+    return blocks.select("chunk_id", "n", F.concat(F.lit("["), F.col("spec"), F.lit(" §"), F.coalesce("title", F.lit("")), F.lit("]\n"), body).alias("block"))

@@ -166,12 +166,44 @@ def abstains(n_sources: Column, answer: Column) -> Column:
     return (n_sources == 0) | (F.lower(answer).contains("context does not cover") & ~answer.rlike(r"\[\d+\]"))
 
 
-def scope_warnings(questions: DataFrame, terms: DataFrame, operations: DataFrame, most: int = 4) -> DataFrame:
-    """(qid, warning): operations and abbreviations that a question names and the graph has not; at most four a question, operations first."""
-    ops = questions.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(r"\bN[a-z][a-z0-9]*_[A-Z][A-Za-z0-9]*_[A-Z][A-Za-z0-9]*\b"), 0))).alias("name")).join(operations.select(F.col("op").alias("name")), "name", "left_anti").withColumn("k", F.lit(0))
-    short = questions.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(T.KEY_TERM), 1))).alias("name")).join(terms.select(F.col("term").alias("name")), "name", "left_anti").withColumn("k", F.lit(1))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("k", "name"))
-    return ops.unionByName(short).withColumn("n", rank).where(F.col("n") <= most).select("qid", F.concat(F.when(F.col("k") == 0, "unknown operation ").otherwise("unknown abbreviation "), F.col("name")).alias("warning"))
+# Topics outside the texts, and the forms of names that a question may claim to exist.
+OUT_OF_SCOPE = ("6g", "5g loyalty", "subscription price", "monthly price", "wi-fi 7", "wifi 7", "release 20", "rel-20", "ai-native air interface", "concrete mix", "tower foundation", "quantum key")
+ASKED_OPERATION = r"\bN[a-z0-9]{2,6}_[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*\b"
+ASKED_POINT = r"(?i)['\"]?\b(N\d{1,3})\b['\"]?\s+reference[ -]?point"
+ASKED_SHORT = r"\(([A-Z]{2,6})\)"
+
+
+def unknown(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Asked names (qid, name, pos, ..) that are no name of known (name)."""
+    return asked.join(known.select("name").distinct(), "name", "left_anti")
+
+
+def scope_warnings(questions: DataFrame, terms: DataFrame, operations: DataFrame, titles: DataFrame | None = None, resolved: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """(qid, warning, rank): what a question (qid, question) names and the graph has not; at most four a question.
+
+    In this order, each in the order of the text: topics out of scope; operations (op) that do not exist;
+    reference points that no title (title) names as a word, in any case; abbreviations in brackets that are
+    no term (term) and that the question has not been resolved to (qid, term). Without titles, points are not
+    judged. A null question names nothing. Names meet by equality: titles are cut into the points they name.
+    """
+    text = F.coalesce("question", F.lit(""))
+    named = lambda pattern, group: questions.select("qid", F.posexplode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), group))).alias("pos", "name"))
+    topics = questions.select("qid", F.posexplode(F.filter(F.array(*[F.lit(t) for t in OUT_OF_SCOPE]), lambda t: F.contains(F.lower(text), t))).alias("pos", "name"))
+    parts = [(topics, "out of scope: "), (unknown(named(ASKED_OPERATION, 0), operations.select(F.col("op").cast("string").alias("name"))), "unknown operation ")]
+    if titles is not None:
+        points = titles.select(F.explode(F.regexp_extract_all(F.upper(F.coalesce("title", F.lit(""))), F.lit(r"\bN\d{1,3}\b"), 0)).alias("name"))
+        asked = named(ASKED_POINT, 1).select("qid", "pos", F.upper("name").alias("name"), F.col("name").alias("as_asked"))
+        parts.append((unknown(asked, points).select("qid", "pos", F.col("as_asked").alias("name")), "unknown reference point "))
+    short = unknown(named(ASKED_SHORT, 1), terms.select(F.col("term").cast("string").alias("name")))
+    if resolved is not None:
+        short = short.join(resolved.select("qid", F.col("term").cast("string").alias("name")), ["qid", "name"], "left_anti")
+    parts.append((short, "unknown abbreviation "))
+    rows = None
+    for k, (df, says) in enumerate(parts):
+        one = df.select("qid", F.lit(k).alias("kind"), "pos", F.concat(F.lit(says), "name").alias("warning"))
+        rows = one if rows is None else rows.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("kind", "pos"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("qid", "warning", "rank")
 
 
 def content_words(c: Column) -> Column:

@@ -422,11 +422,29 @@ def readonly(spark, d):
     return spark.sql(guard(spark, "```sql\nWITH o AS (SELECT * FROM orders_asked WHERE o_orderkey > :low) SELECT o_orderstatus AS status, count(*) AS n FROM o GROUP BY o_orderstatus;\n```"), {"low": 5})
 
 
-@query("r34_scope_warnings", "WITH q AS (SELECT c_custkey AS qid, 'Nqf' || c_custkey % 9 || '_Session_Create' AS op, 'QF' FROM customer), w AS (SELECT qid, 'unknown operation ' || op AS warning FROM q WHERE qid % 9 >= 5 UNION ALL SELECT qid, 'unknown abbreviation ' || a FROM q, (VALUES ('XYZ')) AS v(a)) SELECT qid, warning FROM w")
+SCOPE = """
+WITH q AS (SELECT c_custkey AS qid, 'Does Nqf' || c_custkey % 9 || '_Session_Create use the N' || c_custkey % 40 || ' reference point (' || CASE c_custkey % 3 WHEN 0 THEN 'AMF' WHEN 1 THEN 'XYZ' ELSE 'QQ' END || ') or 6G, ' || c_name || CASE WHEN c_custkey % 4 = 0 THEN ', at a Monthly price per n999 reference-point' ELSE '' END || '?' AS question FROM customer),
+points AS (SELECT DISTINCT unnest(regexp_extract_all(upper(title), '\\bN\\d{1,3}\\b')) AS name FROM (SELECT 'Use of n' || s_suppkey % 25 || ' by ' || s_name AS title FROM supplier)),
+w AS (
+SELECT qid, 0 AS kind, t.pos, 'out of scope: ' || t.name AS warning FROM q JOIN (VALUES (TOPICS)) AS t(name, pos) ON contains(lower(question), t.name)
+UNION ALL SELECT qid, 1, pos, 'unknown operation ' || name FROM (SELECT qid, unnest(l) AS name, unnest(range(len(l))) AS pos FROM (SELECT qid, regexp_extract_all(question, '\\bN[a-z0-9]{2,6}_[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*\\b') AS l FROM q)) WHERE name NOT IN (SELECT 'Nqf' || range || '_Session_Create' FROM range(5))
+UNION ALL SELECT qid, 2, pos, 'unknown reference point ' || name FROM (SELECT qid, unnest(l) AS name, unnest(range(len(l))) AS pos FROM (SELECT qid, regexp_extract_all(question, '(?i)\\b(N\\d{1,3})\\b\\s+reference[ -]?point', 1) AS l FROM q)) WHERE upper(name) NOT IN (SELECT name FROM points)
+UNION ALL SELECT qid, 3, pos, 'unknown abbreviation ' || name FROM (SELECT qid, unnest(l) AS name, unnest(range(len(l))) AS pos FROM (SELECT qid, regexp_extract_all(question, '[(]([A-Z]{2,6})[)]', 1) AS l FROM q)) WHERE name <> 'AMF' AND NOT (name = 'QQ' AND qid % 2 = 0))
+SELECT * FROM (SELECT qid, warning, row_number() OVER (PARTITION BY qid ORDER BY kind, pos) AS rank FROM w) WHERE rank <= 4
+""".replace("(TOPICS)", ", ".join(f"('{t}', {k})" for k, t in enumerate(Q.OUT_OF_SCOPE)))
+
+
+@query("r34_scope_warnings", SCOPE)
 def scope_warnings(spark, d):
-    q = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("does Nqf"), _str(F.col("c_custkey") % 9), F.lit("_Session_Create reach the AMF or XYZ")).alias("question"))
+    """All four probes, over questions of every customer; titles of suppliers name the reference points there are."""
+    k = F.col("c_custkey")
+    short = F.when(k % 3 == 0, "AMF").when(k % 3 == 1, "XYZ").otherwise("QQ")
+    text = F.concat(F.lit("Does Nqf"), _str(k % 9), F.lit("_Session_Create use the N"), _str(k % 40), F.lit(" reference point ("), short, F.lit(") or 6G, "), F.col("c_name"), F.when(k % 4 == 0, ", at a Monthly price per n999 reference-point").otherwise(""), F.lit("?"))
+    q = table(spark, d, "customer").select(k.alias("qid"), text.alias("question"))
     ops = spark.range(5).select(F.concat(F.lit("Nqf"), _str(F.col("id")), F.lit("_Session_Create")).alias("op"))
-    return Q.scope_warnings(q, spark.createDataFrame([("AMF",)], "term string"), ops)
+    titles = table(spark, d, "supplier").select(F.concat(F.lit("Use of n"), _str(F.col("s_suppkey") % 25), F.lit(" by "), F.col("s_name")).alias("title"))
+    resolved = q.where("qid % 2 = 0").select("qid", F.lit("QQ").alias("term"))
+    return Q.scope_warnings(q, spark.createDataFrame([("AMF",)], "term string"), ops, titles, resolved)
 
 
 @query("r23_roots", "SELECT o_custkey AS qid, max_by(o_orderkey, (sz, -o_orderkey)) AS chunk_id FROM (SELECT o_custkey, o_orderkey, o_orderkey % 13 AS sz FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_custkey")

@@ -103,10 +103,25 @@ graph("j32_reference_hop", HOPS + "SELECT seed, target, hops, turn FROM (SELECT
     lambda g: H.hops(g.mentions.where("term <= 5").select("chunk_id").distinct().orderBy("chunk_id").limit(12).select(F.col("chunk_id").alias("seed"), F.row_number().over(P.Window.orderBy("chunk_id")).alias("ord")), g.refs, g.chunks)
 )
 UP = """, pl AS (SELECT *, regexp_replace(section_id, '[.][^.]*$', '') AS up, len(string_split(section_id, '.')) AS deep FROM chunks WHERE contains(section_id, '.')) """
-graph("j34_siblings", UP + "SELECT seed, chunk_id, rank FROM (SELECT s.chunk_id AS seed, o.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY contains(o.content, 'shall') DESC, o.chunk_id) AS rank FROM pl s JOIN pl o ON s.spec_id = o.spec_id AND s.up = o.up AND s.deep = o.deep AND s.chunk_id <> o.chunk_id WHERE s.chunk_id IN (SELECT chunk_id FROM mentions WHERE term <= 3)) WHERE rank <= 10")(lambda g: H.siblings(g.mentions.where("term <= 3").select("chunk_id").distinct(), g.chunks))
+graph("j34_siblings", SECTIONS + UP + """, seeds AS (SELECT DISTINCT chunk_id FROM mentions WHERE term <= 3),
+pe AS (SELECT chunk_id AS child, arg_max(parent, length(ancestor)) AS parent FROM anc GROUP BY chunk_id),
+near AS (SELECT a.child AS seed, b.child AS chunk_id, 'edge' AS source FROM pe a JOIN pe b USING (parent) JOIN chunks c ON c.chunk_id = b.child WHERE contains(lower(c.content), 'shall')
+UNION ALL SELECT s.chunk_id, o.chunk_id, 'prefix' FROM pl s JOIN pl o ON s.spec_id = o.spec_id AND s.up = o.up AND s.deep = o.deep),
+best AS (SELECT seed, chunk_id, min(source) AS source FROM near WHERE seed <> chunk_id AND seed IN (SELECT chunk_id FROM seeds) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY source, chunk_id) AS rank FROM best) WHERE rank <= 10""")(lambda g: H.siblings(g.mentions.where("term <= 3").select("chunk_id").distinct(), g.chunks))
 graph("j35_step_actors", "SELECT chunk_id, max(n) AS n_step_actor_hits FROM (SELECT chunk_id, step_id, count(DISTINCT term) AS n FROM steps JOIN involves USING (step_id) WHERE term IN (1, 2, 3, 5, 7) GROUP BY ALL HAVING count(DISTINCT term) >= 2) GROUP BY chunk_id")(lambda g: P.step_actors(g, [1, 2, 3, 5, 7]))
 graph("j36_step_evidence", ", h AS (SELECT s.*, max(CASE WHEN i.step_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.chunk_id ORDER BY ord ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM steps s LEFT JOIN (SELECT DISTINCT step_id FROM involves WHERE term IN (5, 7)) i USING (step_id)), k AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) AS n, sum(near) OVER (PARTITION BY chunk_id) AS kept FROM h) SELECT chunk_id, step_id, ord FROM k WHERE n >= 4 AND kept < n AND near = 1")(lambda g: P.step_evidence(g, PAIR))
-graph("j37_neighbourhood", ", e AS (SELECT chunk_id, 'MENTIONS' AS t, term AS v FROM mentions UNION SELECT chunk_id, 'DESCRIBES', op FROM describes UNION SELECT src, 'REFERENCES', dst FROM refs), r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY t, v) AS k FROM e WHERE chunk_id IN (1, 2, 3, 32)) SELECT chunk_id, count(*) AS n, string_agg(t || ' ' || CAST(v AS VARCHAR), ';' ORDER BY k) AS edges FROM r WHERE k <= 12 GROUP BY chunk_id")(lambda g: P.neighbourhood(g, [1, 2, 3, 32]))
+graph("j37_neighbourhood", """, e AS (SELECT chunk_id, 0 AS kind, op || ' PROVIDED_BY ' || term AS v FROM describes JOIN provided USING (op)
+UNION SELECT chunk_id, 1, step_id || ' INVOLVES ' || term FROM steps JOIN involves USING (step_id)
+UNION SELECT chunk_id, 2, 'm' || term FROM mentions WHERE term % 20 = 0
+UNION SELECT chunk_id, 3, 'p' || term FROM mentions WHERE term % 3 = 0
+UNION SELECT chunk_id, 4, term::VARCHAR FROM mentions
+UNION SELECT src, 5, spec_id::VARCHAR FROM refs JOIN chunks ON chunk_id = dst WHERE is_external),
+r AS (SELECT * FROM e QUALIFY kind IN (0, 2, 5) OR row_number() OVER (PARTITION BY chunk_id, kind ORDER BY v) <= 12),
+l AS (SELECT chunk_id, kind, CASE kind WHEN 4 THEN '  ' || chunk_id || ' MENTIONS ' || string_agg(v, ', ' ORDER BY v) ELSE string_agg(CASE kind WHEN 2 THEN '  ' || chunk_id || ' DESCRIBES_MESSAGE ' || v WHEN 3 THEN '  Parameter[' || v || '] DEFINED_IN_TABLE ' || chunk_id WHEN 5 THEN '  ' || spec_id || ' REFERENCES_SPEC ' || v ELSE '  ' || v END, chr(10) ORDER BY v) END AS line, count(*) AS n FROM r JOIN chunks USING (chunk_id) GROUP BY chunk_id, kind, spec_id)
+SELECT chunk_id, coalesce(sum(n), 0)::BIGINT AS n, '[' || spec_id || ' §' || title || ']' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY kind), '  (no graph relations)') AS block FROM chunks LEFT JOIN l USING (chunk_id) GROUP BY chunk_id, spec_id, title""")(
+    lambda g: P.neighbourhood(g, g.chunks.select("chunk_id"), g.mentions.where("term % 20 = 0").select("chunk_id", F.concat(F.lit("m"), "term").alias("message")), g.mentions.where("term % 3 = 0").select(F.concat(F.lit("p"), "term").alias("parameter"), "chunk_id"))
+)
 graph("j38_titles_in_specs", "SELECT chunk_id, title FROM chunks WHERE title IN ('5-LOW clause 3', '2-HIGH clause 2.1') AND spec_id IN (1, 2, 3) ORDER BY chunk_id LIMIT 3")(lambda g: P.top(g.chunks.where(F.col("title").isin("5-LOW clause 3", "2-HIGH clause 2.1") & F.col("spec_id").isin(1, 2, 3)).select("chunk_id", "title"), 3, "chunk_id"))
 graph("j39_quoted_phrase", "SELECT chunk_id, title FROM chunks WHERE contains(title, 'clause 4') ORDER BY length(title), chunk_id LIMIT 5")(lambda g: P.top(g.chunks.where(F.col("title").contains("clause 4")).select("chunk_id", "title"), 5, F.length("title"), "chunk_id"))
 graph("j40_cited_clause", "SELECT chunk_id, section_id, CASE WHEN section_id = '3.2' THEN 0 ELSE 1 END AS child FROM chunks WHERE spec_id = 3 AND (section_id = '3.2' OR starts_with(section_id, '3.2.'))")(lambda g: g.chunks.where((F.col("spec_id") == SPEC) & ((F.col("section_id") == "3.2") | F.col("section_id").startswith("3.2."))).select("chunk_id", "section_id", F.when(F.col("section_id") == "3.2", 0).otherwise(1).alias("child")))

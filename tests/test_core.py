@@ -249,7 +249,7 @@ def test_questions(spark):
     assert {(r["qid"], r["term"]) for r in questions.named_terms(asked, terms).collect()} == {(1, "AMF"), (1, "AF")}
     assert one(spark, questions.specs_named(F.col("q")), q="TS 23.501 and TR 38.101-1, ts 23.501") == ["ts_23_501", "ts_38_101-1"]
     ops = spark.createDataFrame([("Nudm_SDM_Get",)], "op string")
-    warned = questions.scope_warnings(spark.createDataFrame([(1, "Nudm_SDM_Get Nabc_D_E AMF XYZ")], "qid int, question string"), terms, ops)
+    warned = questions.scope_warnings(spark.createDataFrame([(1, "Nudm_SDM_Get Nabc_D_E (AMF) (XYZ)")], "qid int, question string"), terms, ops)
     assert {r["warning"] for r in warned.collect()} == {"unknown operation Nabc_D_E", "unknown abbreviation XYZ"}
 
 
