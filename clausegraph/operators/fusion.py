@@ -139,3 +139,50 @@ def label_schemes(gold: DataFrame, judged: DataFrame) -> DataFrame:
 def confusion(rows: DataFrame, truth: str, judged: str, labels: list[str]) -> DataFrame:
     """One row a true label, one column a judged label."""
     return rows.groupBy(truth).pivot(judged, labels).agg(F.count(F.lit(1))).na.fill(0)
+
+
+# A judge's labels from the worst, and what a rater says of a question and of a clause.
+JUDGED, SAID, OF_CLAUSE = ("NOT_RELEVANT", "PARTIAL", "RELEVANT"), ("full", "partial", "none"), ("relevant", "irrelevant")
+
+
+def judge_confusion(judged: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(level, judge, rater, n): a judge's labels (qid, doc, label) against raters' (qid, rater, says, irrelevant), every cell, also of 0.
+
+    At the level of clauses each rater meets each judged clause of the question: irrelevant if it is in the
+    rater's list (null: none), else relevant. At the level of questions the judge's label is the worst of its clauses';
+    a label or a word of a rater that is not among the fixed ones is left out, and so are questions that were not judged.
+    Lists are exploded and meet by equality; clauses and ratings are counted by question, so pairs are never made.
+    """
+    known = judged.where(F.col("label").isin(*JUDGED)).select("qid", "doc", "label")
+    raters = ratings.groupBy("qid").agg(F.count(F.lit(1)).alias("raters"))
+    against = ratings.select("qid", "rater", F.explode(F.array_distinct("irrelevant")).alias("doc")).groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("no"))
+    clauses = known.join(raters, "qid").join(against, ["qid", "doc"], "left").withColumn("no", F.coalesce("no", F.lit(0)))
+    sums = clauses.groupBy("label").agg(F.sum(F.col("raters") - F.col("no")).alias("relevant"), F.sum("no").alias("irrelevant"))
+    chunk = sums.select(F.lit("chunk").alias("level"), F.col("label").alias("judge"), F.explode(F.array(*[F.struct(F.lit(c).alias("rater"), F.col(c).alias("n")) for c in OF_CLAUSE])).alias("x")).select("level", "judge", "x.rater", "x.n")
+    worst = known.groupBy("qid").agg(F.min(sum((F.when(F.col("label") == x, k).otherwise(0) for k, x in enumerate(JUDGED)), F.lit(0))).alias("at"))
+    asked = ratings.where(F.col("says").isin(*SAID)).join(worst, "qid")
+    label = F.element_at(F.array(*[F.lit(x) for x in JUDGED]), F.col("at") + 1)
+    question = asked.groupBy(label.alias("judge"), F.col("says").alias("rater")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("question").alias("level"), "judge", "rater", "n")
+    cells = [(level, j, r) for level, names in (("chunk", OF_CLAUSE), ("question", SAID)) for j in JUDGED for r in names]
+    grid = judged.sparkSession.createDataFrame(cells, "level string, judge string, rater string")
+    return grid.join(chunk.unionByName(question), ["level", "judge", "rater"], "left").select("level", "judge", "rater", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def validate(edges: dict[str, DataFrame], terms: DataFrame, required: list[str], values: DataFrame, wanted: tuple[str, str, str]) -> DataFrame:
+    """(part, name, n, holds): a row for every kind of edge, also without edges, for every required term, and for the wanted value.
+
+    terms(term); values(concept, name, code); wanted is a (concept, name, code) that must be there. holds is n > 0;
+    for the value, that the code is the wanted one wherever the concept has the name.
+    """
+    spark = terms.sparkSession
+    out = None
+    for name, df in edges.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("part"), F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    want = spark.createDataFrame([(r,) for r in required], "term string")
+    met = want.join(terms.select(F.col("term").cast("string").alias("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    found = want.join(met, "term", "left").select(F.lit("term").alias("part"), F.col("term").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    out = (found if out is None else out.unionByName(found)).withColumn("holds", F.col("n") > 0)
+    concept, name, code = wanted
+    value = values.where((F.col("concept") == concept) & (F.col("name") == name)).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(F.coalesce(F.col("code").cast("string") == code, F.lit(False))), F.lit(False)).alias("holds"))
+    return out.unionByName(value.select(F.lit("value").alias("part"), F.lit(f"{concept}:{name}").alias("name"), "n", "holds"))

@@ -86,11 +86,11 @@ graph("p7_levels", "SELECT chunk_id, len(string_split(section_id, '.')) AS level
 )
 
 
-@query("e5_label_schemes", RUNS + ", j AS (SELECT DISTINCT qid, unnest(ranked[1:5]) AS doc FROM runs), jl AS (SELECT qid, doc, CASE doc % 3 WHEN 0 THEN 'RELEVANT' WHEN 1 THEN 'PARTIAL' ELSE 'NOT_RELEVANT' END AS label FROM j), r AS (SELECT coalesce(g.qid, jl.qid) AS qid, coalesce(g.doc, jl.doc) AS doc, g.doc IS NOT NULL AS g, label FROM (SELECT qid, unnest(gold) AS doc FROM gold) g FULL JOIN jl ON g.qid = jl.qid AND g.doc = jl.doc) SELECT qid, count(*) FILTER (WHERE g) AS old, count(*) FILTER (WHERE label = 'RELEVANT' OR (g AND label IS NULL)) AS strict, count(*) FILTER (WHERE label IN ('RELEVANT', 'PARTIAL') OR (g AND label IS NULL)) AS lenient FROM r GROUP BY qid")
+@query("e5_label_schemes", RUNS + ", j AS (SELECT DISTINCT qid, unnest(ranked[1:5]) AS doc FROM runs), jl AS (SELECT qid, doc, CASE doc % 3 WHEN 0 THEN 'RELEVANT' WHEN 1 THEN 'PARTIAL' ELSE 'NOT_RELEVANT' END AS label FROM j), r AS (SELECT coalesce(g.qid, jl.qid) AS qid, coalesce(g.doc, jl.doc) AS doc, g.doc IS NOT NULL AS g, label FROM (SELECT qid, unnest(gold) AS doc FROM gold) g FULL JOIN jl ON g.qid = jl.qid AND g.doc = jl.doc) SELECT qid, coalesce(string_agg(doc::VARCHAR, ',' ORDER BY doc) FILTER (WHERE g), '') AS old, coalesce(string_agg(doc::VARCHAR, ',' ORDER BY doc) FILTER (WHERE label = 'RELEVANT' OR (g AND label IS NULL)), '') AS strict, coalesce(string_agg(doc::VARCHAR, ',' ORDER BY doc) FILTER (WHERE label IN ('RELEVANT', 'PARTIAL') OR (g AND label IS NULL)), '') AS lenient FROM r GROUP BY qid")
 def label_schemes(spark, d):
     k = F.col("doc") % 3
     judged = runs(spark, d).select("qid", F.explode(F.slice("ranked", 1, 5)).alias("doc")).distinct().withColumn("label", F.when(k == 0, "RELEVANT").when(k == 1, "PARTIAL").otherwise("NOT_RELEVANT"))
-    return X.label_schemes(gold(spark, d), judged).select("qid", *[F.size(c).cast("long").alias(c) for c in ("old", "strict", "lenient")])
+    return X.label_schemes(gold(spark, d), judged).select("qid", *[F.array_join(c, ",").alias(c) for c in ("old", "strict", "lenient")])
 
 
 @query("e18_confusion", "SELECT quality, count(*) FILTER (WHERE toxic = 0) AS clean, count(*) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY quality")

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausegraph.functions.lineage import cut
 from clausegraph.plans.graph import Graph
 
+#: Most bytes of asked ids that are broadcast, and of one id.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 64
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """Rows of both, one a key: the last by `order`."""
@@ -102,3 +106,19 @@ def append_turns(conversations: DataFrame, new: DataFrame) -> DataFrame:
 def without_conversations(conversations: DataFrame, gone: DataFrame) -> DataFrame:
     """Conversations but for those whose conv_id is in gone."""
     return conversations.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def fetch(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of the asked ids (a column `key`), with found true, and for each id that has none a row of nulls with found false.
+
+    An id that is asked twice is fetched once; a null id is never found. A set of ids within BROADCAST_BYTES,
+    counted first, goes to the rows, so that a few ids do not shuffle the table; the ids of missing ones are their difference.
+    """
+    asked = cut(ids.select(F.col(key).alias("_asked")).distinct())
+    few = asked.count() * ID_BYTES <= BROADCAST_BYTES
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    found = rows.join(F.broadcast(asked) if few else asked, F.col(f"`{key}`") == F.col("_asked"), "left_semi")
+    met = found.select(F.col(f"`{key}`").alias("_had")).distinct()
+    missing = asked.join(met, F.col("_asked") == F.col("_had"), "left_anti")
+    blank = [F.col("_asked").cast(rows.schema[c].dataType).alias(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    return found.select(*own, F.lit(True).alias("found")).unionByName(missing.select(*blank, F.lit(False).alias("found")))

@@ -156,10 +156,10 @@ def headings(spark, d):
 @query("p9_split", """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, length(text) AS n FROM documents),
 f AS (SELECT doc_id, 1 AS i, 1 AS part, length(ls[1]) + 1 AS size FROM l WHERE n > 2000
 UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN f.size + length(l.ls[f.i + 1]) + 1 > 2000 THEN part + 1 ELSE part END, CASE WHEN f.size + length(l.ls[f.i + 1]) + 1 > 2000 THEN length(l.ls[f.i + 1]) + 1 ELSE f.size + length(l.ls[f.i + 1]) + 1 END FROM f JOIN l USING (doc_id) WHERE f.i < len(l.ls))
-SELECT doc_id, part, max(size) - 1 AS chars FROM f GROUP BY ALL UNION ALL SELECT doc_id, 1, n FROM l WHERE n <= 2000""")
+SELECT doc_id, part, max(size) - 1 AS chars, string_agg(ls[i], chr(10) ORDER BY i) AS content FROM f JOIN l USING (doc_id) GROUP BY doc_id, part UNION ALL SELECT doc_id, 1, n, text FROM l JOIN documents USING (doc_id) WHERE n <= 2000""")
 def split(spark, d):
     parts = table(spark, d, "documents").select("doc_id", F.posexplode(T.split_lines(F.col("text"), 2000)).alias("part", "content"))
-    return parts.select("doc_id", (F.col("part") + 1).alias("part"), F.length("content").cast("long").alias("chars"))
+    return parts.select("doc_id", (F.col("part") + 1).alias("part"), F.length("content").cast("long").alias("chars"), "content")
 
 
 @query("p21_preview", "SELECT doc_id, CASE WHEN length(t) > 100 THEN left(t, 100) || '...' ELSE t END AS preview FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)")
