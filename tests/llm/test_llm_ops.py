@@ -1102,3 +1102,33 @@ def test_empty_tables_go_through(spark, empty, sf):
     for _, stage in C.STAGES:
         table = stage(spark, table, sf)
         assert table.count() == 0
+
+
+def test_pipeline_run_by_brute_force(spark, docs, sf):
+    """run() over the whole table: the documents that stay, each copy's ids whole and in order, windows gapless."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+
+    known = {r["doc_id"] for r in C.identify(spark, docs, sf).select("doc_id").collect()}
+    by = defaultdict(list)
+    for r in docs.collect():
+        if r["doc_id"] in known:
+            by[lower(r["text"])].append(r)
+    alone = [max(rows, key=lambda r: r["doc_id"]) for rows in by.values()]
+    stay = {c for _, _, c in brute_components([(r["doc_id"], simhash.fingerprint(r["text"])) for r in alone])}
+    mixed = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in alone if r["doc_id"] in stay], mixing.MAX_EPOCHS, mixing.SEED, mixing.BLOCK_TOKENS)
+    copies = {i: n for i, _, n, _ in mixed}
+    t, found = Tokenizer.from_file(encode.default_path()), defaultdict(Counter)
+    text, windows = {r["doc_id"]: r["text"] or "" for r in alone}, defaultdict(list)
+    for r in C.run(spark, sf).collect():
+        found[r["doc_id"]][(r["start"], r["length"], r["ids_crc32"])] += 1
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(found) == stay
+    for i, pieces in found.items():
+        ids = np.asarray([*t.encode(text[i], add_special_tokens=False).ids, 1], "<u4")
+        assert all(zlib.crc32(ids[at : at + n].tobytes()) == crc for at, n, crc in pieces)
+        assert Counter(k for (at, n, _), times in pieces.items() for k in range(at, at + n) for _ in range(times)) == Counter(dict.fromkeys(range(len(ids)), copies[i]))
+    for held in windows.values():
+        held.sort()
+        assert [at for at, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 2048
