@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -26,16 +27,33 @@ def _byte_letters() -> dict[int, int]:
 
 BYTE_LETTERS = _byte_letters()
 SPACE_LETTER = chr(BYTE_LETTERS[32])
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+class NoWord(Exception):
+    """A text is not words between single spaces and line ends."""
+
+
+class Words(dict):
+    """The ids of words; those of a new word come from `learn`."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.learn)
         self.ends: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -56,54 +74,57 @@ class Encoder:
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _learn(self, new: list[str]) -> None:
-        """The ids of new words. A word that starts a line carries that line end and no space; the others carry a space.
+    def learn(self, word: str) -> bytes:
+        """The ids of a new word. A word that starts a line carries that line end and no space; the others carry a space.
 
         Punctuation at a word's end encodes apart from the letter or digit before it, so a word of
         letters alone goes to the library's model as one piece, and the ends are remembered too.
-        Every other word goes through the library's whole pipeline.
+        Every other word goes through the library's whole pipeline. What is empty or holds other white
+        space is no word: its text goes to the library whole.
         """
-        rest, tokenize = [], self.tokenizer.model.tokenize
-        for word in new:
-            core = word.rstrip(".,;:!?")
-            plain = core[1:] if core[:1] == "\n" else core
-            if not plain.isalpha():
-                rest.append(word)
-                continue
-            ids = self.words.get(core)
-            if ids is None:
-                piece = plain if plain.isascii() else plain.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-                found = [t.id for t in tokenize(piece if core is not plain else SPACE_LETTER + piece)]
-                ids = self.words[core] = array("I", [self.break_id, *found] if core is not plain else found).tobytes()
-            if core is not word:
-                end = word[len(core) :]
-                if end not in self.ends:
-                    self.ends[end] = self._raw([end])[0]
-                self.words[word] = ids + self.ends[end]
-        self.words.update(zip(rest, self._raw([w if w[0] == "\n" else " " + w for w in rest]), strict=True))
+        core = word.rstrip(".,;:!?")
+        plain = core[1:] if core[:1] == "\n" else core
+        if not plain.isalpha():
+            bare = word[1:] if word[:1] == "\n" else word
+            if bare.split() != [bare]:
+                raise NoWord
+            return self._raw([word if word[0] == "\n" else " " + word])[0]
+        if core is not word and core in self.words:
+            ids = self.words[core]
+        else:
+            piece = plain if plain.isascii() else plain.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            found = [t.id for t in self.tokenizer.model.tokenize(piece if core is not plain else SPACE_LETTER + piece)]
+            ids = array("I", [self.break_id, *found] if core is not plain else found).tobytes()
+        if core is word:
+            return ids
+        self.words[core] = ids
+        end = word[len(core) :]
+        if end not in self.ends:
+            self.ends[end] = self._raw([end])[0]
+        return ids + self.ends[end]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        split: list[list[str] | None] = []
-        met: set[str] = set()
-        for text in texts:
-            words = None
-            if text and self.break_id >= 0 and " ".join(text.split()) == text.replace("\n", " ") and not any(a in text for a in self.added):
-                words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-                met.update(words)
-            split.append(words)
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words.clear()
-        self._learn([w for w in met if w not in self.words])
-        whole = iter(self._raw([t for t, words in zip(texts, split, strict=True) if t and words is None]))
+        out: list[bytes | None] = []
         get, skip = self.words.__getitem__, 4
-        return [b"" if not t else next(whole) if words is None else b"".join(map(get, words))[skip:] for t, words in zip(texts, split, strict=True)]
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        for text in texts:
+            ids = None if text else b""
+            if text and self.break_id >= 0 and not any(a in text for a in self.added):
+                try:  # a word that is not remembered is learned on the way
+                    ids = b"".join(map(get, ("\n" + text).replace("\n", " \n").split(" ")[1:]))[skip:]
+                except NoWord:
+                    pass
+            out.append(ids)
+        whole = iter(self._raw([t for t, ids in zip(texts, out, strict=True) if ids is None]))
+        return [next(whole) if ids is None else ids for ids in out]
+
+
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 def default_path() -> str:

@@ -33,6 +33,8 @@ from clausegraph.llm.common import cut, file_system, load, new_folder, slices
 from clausegraph.llm.encode import default_path, encoder
 
 MAGIC, BLOCK_IDS, END_ID, ROWS_A_SHARD, MOST_FILES = b"TIDB1\n", 1 << 16, 2, 8192, 50_000
+#: Words that a worker remembers while it writes; it holds little else, so these may take about 260 MB.
+WRITER_WORDS = 600_000
 HEAD, DOC = struct.Struct("<IIQQ"), np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u4")])
 
 
@@ -157,7 +159,7 @@ def _shard_writer(folder: str, path: str, end_id: int) -> Callable[[Iterator[pa.
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = encoder(path, WRITER_WORDS), np.asarray([end_id], "<u4").tobytes()
         out = None
         for batch in slices(batches):
             if out is None and batch.num_rows:

@@ -111,3 +111,16 @@ def test_neighbourhood_moves_edges_once(spark):
     assert "Window" not in plan(found)
     again = patterns.neighbourhood(g, one.select("chunk_id"), messages, parameters)
     assert [tuple(r) for r in found.collect()] == [tuple(r) for r in again.collect()] and found.first()["n"] > 0
+
+
+def test_words_are_met_once(monkeypatch):
+    """op5_token_files: known words are looked up alone, new ones learned on the way; other texts go whole, as the library has them."""
+    from clausegraph.llm import encode
+
+    e = encode.Encoder(encode.default_path())
+    odd = ["a", "a  b", "a\tb", " a", "a ", "\na", "a\n", "a\n\nb", "a\n b", "x <|endoftext|> y", "ab,.;! c?!", "...\n...", "a b c", "a \x1c b", "it's!\n'tis", "Ñandú\nñandú, ñ.", "word word,\nword word"]
+    assert e.encode([None, "", *odd]) == [b"", b"", *e._raw(odd)]
+    learned = []
+    e.words.learn = lambda word: learned.append(word) or b""
+    e.encode(["word word,\nword", "a c?!"])
+    assert learned == []
