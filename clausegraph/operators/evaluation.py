@@ -154,11 +154,17 @@ def hashed_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 20260817,
     """
     diff = pairs.select("group", F.col("qid").cast("string").alias("qid"), F.round(F.col("a") - F.col("b"), 6).cast("decimal(18,6)").alias("d")).where("d is not null")
     whole = diff.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d").cast("double") / F.count(F.lit(1)), 9).alias("delta"))
-    many = diff.join(whole.where(F.col("n") >= least).select("group"), "group", "left_semi")
+    # A few rows become rounds times as many, so they are spread over all cores first, however small they are.
+    many = diff.join(whole.where(F.col("n") >= least).select("group"), "group", "left_semi").repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "qid")
     each = many.select("group", "qid", "d", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", F.col("round").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    counted = each.withColumn("h", hashed).withColumn("w", sum((F.col("h") >= t).cast("int") for t in poisson_steps())).where("w > 0")
-    means = counted.groupBy("group", "round").agg(F.round(F.sum(F.col("w") * F.col("d")).cast("double") / F.sum("w"), 9).alias("m"))
+    # Eight hexadecimal digits compare as the numbers do; without a filter on the weight the hash is taken once a row.
+    hashed = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", F.col("round").cast("string")).cast("binary")), 1, 8)
+    weight, steps = F, poisson_steps()
+    for k, step in enumerate(steps):
+        weight = weight.when(F.col("h") < f"{step:08x}", k)
+    counted = each.select("group", "round", "d", hashed.alias("h")).withColumn("w", weight.otherwise(len(steps)))
+    sums = counted.groupBy("group", "round").agg(F.sum(F.col("w") * F.col("d")).cast("double").alias("s"), F.sum("w").alias("w")).where("w > 0")
+    means = sums.select("group", "round", F.round(F.col("s") / F.col("w"), 9).alias("m"))
     tail = F.least(F.avg((F.col("m") <= 0).cast("int")), F.avg((F.col("m") >= 0).cast("int")))
     ends = means.groupBy("group").agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
     return whole.join(ends, "group", "left").select("group", "n", "delta", "low", "high", "p")

@@ -124,3 +124,23 @@ def test_words_are_met_once(monkeypatch):
     e.words.learn = lambda word: learned.append(word) or b""
     e.encode(["word word,\nword", "a c?!"])
     assert learned == []
+
+
+def test_bootstrap_spreads_few_rows(spark):
+    """e15: questions are spread before each becomes a row a round; one task had them all. Every weight follows from its hash."""
+    import hashlib
+
+    from clausegraph.operators import evaluation
+
+    rows = [("g", str(i), (i * 7 % 11) / 10, (i * 5 % 13) / 10) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "group string, qid string, a double, b double")
+    found = evaluation.hashed_bootstrap(pairs, rounds=60, seed=3)
+    assert "RepartitionByExpression" in plan(found) and "conv(" not in plan(found)
+    means = []
+    for r in range(60):
+        hs = [(int(hashlib.md5(f"3|{q}|{r}".encode()).hexdigest()[:8], 16), round(a - b, 6)) for _, q, a, b in rows]
+        ws = [(sum(h >= t for t in evaluation.poisson_steps()), d) for h, d in hs]
+        means.append(round(sum(w * d for w, d in ws) / sum(w for w, _ in ws), 9))
+    one = found.first()
+    assert one["p"] == round(min(1.0, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / 60), 6)
+    assert min(means) <= one["low"] <= one["high"] <= max(means)
