@@ -11,16 +11,17 @@ from clausegraph.plans.registry import query
 ORDER = "list_position([" + ", ".join(f"'{r}'" for r in C.GRAPH_ROLES) + "], role)"
 
 
-def _closed(spark, d):
+def _asked(spark, d):
+    """The clauses, and (qid, root) of the procedures that questions are about and of those that they only name."""
     chunks = order_graph(spark, d).chunks
     roots = chunks.select(F.col("spec_id").alias("qid"), F.concat(F.lit("p"), F.col("spec_id").cast("string"), F.lit(".2.1.0")).alias("root")).distinct()
-    named = roots.select("qid", F.concat(F.lit("p"), F.col("qid").cast("string"), F.lit(".3")).alias("root"))
-    return chunks, C.graph_closure(roots, order_procedures(spark, d), named)
+    return chunks, roots, roots.select("qid", F.concat(F.lit("p"), F.col("qid").cast("string"), F.lit(".3")).alias("root"))
 
 
 @query("j49_graph_closure", VIEWS + LAYER + "SELECT qid, chunk_id, role FROM closed")
 def graph_closure(spark, d):
-    return _closed(spark, d)[1]
+    _, roots, named = _asked(spark, d)
+    return C.graph_closure(roots, order_procedures(spark, d), named)
 
 
 WORTH = "CASE role " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in C.ROLES.items()) + " END::DOUBLE"
@@ -32,5 +33,5 @@ WORTH = "CASE role " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in C.ROLES.items
 SELECT qid, chunk_id, role, {WORTH} AS score, row_number() OVER (PARTITION BY qid ORDER BY {ORDER}, chunk_id) AS position FROM firsts QUALIFY position <= {C.MOST_CLAUSES}""",
 )
 def closure_assembly(spark, d):
-    chunks, rows = _closed(spark, d)
-    return C.assemble(rows, chunks)
+    chunks, roots, named = _asked(spark, d)
+    return C.assemble(C.graph_closure(roots, order_procedures(spark, d), named), chunks)
