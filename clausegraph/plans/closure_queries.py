@@ -34,4 +34,4 @@ SELECT qid, chunk_id, role, {WORTH} AS score, row_number() OVER (PARTITION BY qi
 )
 def closure_assembly(spark, d):
     chunks, roots, named = _asked(spark, d)
-    return C.assemble(C.graph_closure(roots, order_procedures(spark, d), named), chunks)
+    return C.assembled_closure(roots, order_procedures(spark, d), chunks, named)
